@@ -51,3 +51,9 @@ def path_parts(path: Column) -> Column:
 def fixed(c: Column, digits: int) -> Column:
     """Text with a fixed number of decimals; NULL stays NULL."""
     return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c))
+
+
+def csv_cell(c: Column) -> Column:
+    """One CSV cell: quoted when it holds a comma, quote or line break; NULL becomes empty."""
+    doubled = F.replace(c, F.lit('"'), F.lit('""'))
+    return F.when(c.rlike('[,"\n\r]'), F.concat(F.lit('"'), doubled, F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))

@@ -130,6 +130,7 @@ class Fixtures:
 def with_views(query: str, extra: dict[str, str] | None = None) -> str:
     """Plain SQL for a query over ``{name}`` placeholders, with the views it needs as CTEs."""
     views = {**VIEWS, **(extra or {})}
+    known = {*views, *TABLES}
     ordered: list[str] = []
 
     def visit(text: str) -> None:
@@ -138,14 +139,15 @@ def with_views(query: str, extra: dict[str, str] | None = None) -> str:
                 visit(views[name])
                 ordered.append(name)
 
+    def plain(text: str) -> str:
+        return re.sub(r"\{(\w+)\}", lambda m: m.group(1) if m.group(1) in known else m.group(0), text).strip()
+
     visit(query)
-    plain = re.compile(r"\{(\w+)\}")
-    parts = [f"{name} AS ({plain.sub(r'\1', views[name]).strip()})" for name in ordered]
-    body = plain.sub(r"\1", query).strip()
+    parts = [f"{name} AS ({plain(views[name])})" for name in ordered]
+    body = plain(query)
     if not parts:
         return body
-    if body.upper().startswith("WITH RECURSIVE"):
-        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[len("WITH RECURSIVE"):].lstrip()
-    if body.upper().startswith("WITH"):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[len("WITH"):].lstrip()
+    for opening in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(opening):
+            return f"{opening} " + ",\n".join(parts) + ",\n" + body[len(opening):].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + body
