@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import model, scalars, space  # noqa: F401
+from checks import model, plan, quality, scalars, space  # noqa: F401
 from checks.registry import QUERIES
 
 __all__ = ["QUERIES"]

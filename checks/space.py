@@ -131,7 +131,7 @@ def selection_job(fx):
 
 
 @query("S12_adjacency_frame", """
-SELECT e.source_id AS "SourceObjectId", e.target_id AS "TargetObjectId", coalesce(a.display_name,'') AS "SourceName", coalesce(b.display_name,'') AS "TargetName", printf('%.6f',e.distance) AS "Distance", printf('%.6f',e.overlap_volume) AS "OverlapVolume", e.relation AS "RelationType", a.category AS "SourceCategory", b.category AS "TargetCategory", '0.1500' AS "Tolerance"
+SELECT e.source_id AS "SourceObjectId", e.target_id AS "TargetObjectId", coalesce(a.display_name,'') AS "SourceName", coalesce(b.display_name,'') AS "TargetName", CAST(round(CAST(e.distance AS DECIMAL(30,12)),6) AS DECIMAL(30,6))::VARCHAR AS "Distance", CAST(round(CAST(e.overlap_volume AS DECIMAL(30,12)),6) AS DECIMAL(30,6))::VARCHAR AS "OverlapVolume", e.relation AS "RelationType", a.category AS "SourceCategory", b.category AS "TargetCategory", '0.1500' AS "Tolerance"
 FROM {fx_edges} e JOIN {fx_mesh_geometry} a ON a.object_id=e.source_id JOIN {fx_mesh_geometry} b ON b.object_id=e.target_id""")
 def adjacency_frame(fx):
     edges = spatial.adjacency(fx("fx_mesh_geometry"), TOLERANCE)
@@ -139,8 +139,8 @@ def adjacency_frame(fx):
 
 
 @query("S12_groups_frame", _STATS + """
-SELECT 'G'||CASE WHEN s.group_id<1000 THEN lpad(CAST(s.group_id AS STRING),3,'0') ELSE CAST(s.group_id AS STRING) END AS "GroupId", s.element_count AS "ElementCount", s.edge_count AS "EdgeCount", printf('%.4f',s.total_volume) AS "TotalVolume", s.dominant_category AS "DominantCategory",
- printf('%.4f',s.min_x) AS "BBoxMinX", printf('%.4f',s.max_z) AS "BBoxMaxZ", m.ids AS "MemberObjectIds" FROM stats s JOIN (SELECT group_id, string_agg(object_id, ';' ORDER BY object_id) AS ids FROM members GROUP BY group_id) m ON m.group_id=s.group_id""")
+SELECT 'G'||CASE WHEN s.group_id<1000 THEN lpad(CAST(s.group_id AS STRING),3,'0') ELSE CAST(s.group_id AS STRING) END AS "GroupId", s.element_count AS "ElementCount", s.edge_count AS "EdgeCount", CAST(round(CAST(s.total_volume AS DECIMAL(30,12)),4) AS DECIMAL(30,4))::VARCHAR AS "TotalVolume", s.dominant_category AS "DominantCategory",
+ CAST(round(CAST(s.min_x AS DECIMAL(30,12)),4) AS DECIMAL(30,4))::VARCHAR AS "BBoxMinX", CAST(round(CAST(s.max_z AS DECIMAL(30,12)),4) AS DECIMAL(30,4))::VARCHAR AS "BBoxMaxZ", m.ids AS "MemberObjectIds" FROM stats s JOIN (SELECT group_id, string_agg(object_id, ';' ORDER BY object_id) AS ids FROM members GROUP BY group_id) m ON m.group_id=s.group_id""")
 def groups_frame(fx):
     space = jobs.spatial_job(fx("fx_geometry"), TOLERANCE)
     return frames.connected_groups(space["statistics"], space["groups"]).select(
@@ -150,14 +150,14 @@ def groups_frame(fx):
 
 @query("S13_edge_triples", """
 SELECT 'inst:obj_'||source_id AS s, 'spatial:adjacentTo' AS p, 'inst:obj_'||target_id AS o FROM {fx_edges}
-UNION ALL SELECT 'inst:obj_'||source_id, 'spatial:distanceTo', '[ spatial:target inst:obj_'||target_id||' ; spatial:distance "'||printf('%.6f',distance)||'"^^xsd:double ]' FROM {fx_edges}
-UNION ALL SELECT 'inst:obj_'||source_id, 'spatial:overlapsWith', '[ spatial:target inst:obj_'||target_id||' ; spatial:overlapVolume "'||printf('%.6f',overlap_volume)||'"^^xsd:double ]' FROM {fx_edges} WHERE overlap_volume>0""")
+UNION ALL SELECT 'inst:obj_'||source_id, 'spatial:distanceTo', '[ spatial:target inst:obj_'||target_id||' ; spatial:distance "'||CAST(round(CAST(distance AS DECIMAL(30,12)),6) AS DECIMAL(30,6))::VARCHAR||'"^^xsd:double ]' FROM {fx_edges}
+UNION ALL SELECT 'inst:obj_'||source_id, 'spatial:overlapsWith', '[ spatial:target inst:obj_'||target_id||' ; spatial:overlapVolume "'||CAST(round(CAST(overlap_volume AS DECIMAL(30,12)),6) AS DECIMAL(30,6))::VARCHAR||'"^^xsd:double ]' FROM {fx_edges} WHERE overlap_volume>0""")
 def edge_triples(fx):
     return triples.edge_triples(spatial.adjacency(fx("fx_geometry"), TOLERANCE))
 
 
 @query("S13_group_triples", _STATS + """, u AS (SELECT *, 'spatial:Group_'||CASE WHEN group_id<1000 THEN lpad(CAST(group_id AS STRING),3,'0') ELSE CAST(group_id AS STRING) END AS uri FROM stats)
-SELECT uri AS s, 'a' AS p, 'spatial:ConnectedGroup' AS o FROM u UNION ALL SELECT uri, 'spatial:groupSize', CAST(element_count AS STRING) FROM u UNION ALL SELECT uri, 'spatial:groupVolume', '"'||printf('%.4f',total_volume)||'"^^xsd:double' FROM u
+SELECT uri AS s, 'a' AS p, 'spatial:ConnectedGroup' AS o FROM u UNION ALL SELECT uri, 'spatial:groupSize', CAST(element_count AS STRING) FROM u UNION ALL SELECT uri, 'spatial:groupVolume', '"'||CAST(round(CAST(total_volume AS DECIMAL(30,12)),4) AS DECIMAL(30,4))::VARCHAR||'"^^xsd:double' FROM u
 UNION ALL SELECT 'inst:obj_'||m.object_id, 'spatial:inGroup', u.uri FROM members m JOIN u ON u.group_id=m.group_id""")
 def group_triples(fx):
     space = jobs.spatial_job(fx("fx_geometry"), TOLERANCE)

@@ -88,7 +88,10 @@ class Box:
 
     def present(self) -> Column:
         """All six bounds are known."""
-        return F.concat(*[c.cast("string") for c in (*self.lo.axes(), *self.hi.axes())]).isNotNull()
+        test = F.lit(True)
+        for bound in (*self.lo.axes(), *self.hi.axes()):
+            test = test & bound.isNotNull()
+        return test
 
     def size(self) -> Point:
         return self.hi.minus(self.lo)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from girderframe.functions.boxes import Box
 from girderframe.functions.text import is_empty
 from girderframe.operators.numbering import global_row_number
-from girderframe.session import stored
+from girderframe.session import stored, stored_if_any
 
 MAX_ROUNDS = 200
 
@@ -22,15 +22,13 @@ def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: s
     shuffle, which keeps hubs cheap. The renames of all rounds are chained at the end.
     """
     a, b = F.col(source), F.col(target)
-    pairs = stored(
-        edges.filter(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "pairs"
-    )
+    pairs = edges.filter(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
     renames: list[DataFrame] = []
-    while not pairs.isEmpty():
+    while (left := stored_if_any(pairs, "pairs")) is not None:
         if len(renames) >= MAX_ROUNDS:
             raise RuntimeError("component search did not settle")
         # The smaller end of every edge is u, so only v can hook downwards.
-        hook = stored(pairs.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label")), "hooks")
+        hook = left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
         step = hook.select(F.col("node").alias("label"), F.col("label").alias("_next"))
         far = hook
         for _ in range(2):
@@ -40,13 +38,12 @@ def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: s
         on_u = rename.select(F.col("node").alias("u"), F.col("label").alias("_u"))
         on_v = rename.select(F.col("node").alias("v"), F.col("label").alias("_v"))
         u, v = F.coalesce("_u", "u"), F.coalesce("_v", "v")
-        pairs = stored(
-            pairs.join(on_u, "u", "left")
+        pairs = (
+            left.join(on_u, "u", "left")
             .join(on_v, "v", "left")
             .select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
             .filter("u <> v")
-            .distinct(),
-            "pairs",
+            .distinct()
         )
     ends = edges.select(F.explode(F.array(source, target)).alias("object_id"))
     if nodes is not None:
@@ -149,8 +146,9 @@ def transitive_edges(edges: DataFrame, keys: list[str], depth: int = 5) -> DataF
             .join(found.select(*pred, *succ), pred + succ, "left_anti")
             .withColumn("depth", F.lit(step))
         )
-        frontier = stored(reached, "closure")
-        if frontier.isEmpty():
+        table = stored_if_any(reached, "closure")
+        if table is None:
             break
+        frontier = table
         found = found.unionByName(frontier)
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girderframe.session import stored
+from girderframe.session import stored, stored_if_any
 
 _LOCAL_BITS = 33
 
@@ -42,5 +42,4 @@ def oversized(df: DataFrame, key: str, limit: int, *aggregates: Column) -> DataF
     caller can leave the splitting out of its plan.
     """
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), *aggregates).filter(F.col("rows") > limit)
-    table = stored(counted, "oversized")
-    return None if table.isEmpty() else table
+    return stored_if_any(counted, "oversized")

@@ -173,8 +173,8 @@ def ungroup(groups: DataFrame) -> DataFrame:
     """Back from grouped objects to property rows."""
     identity = [c for c in IDENTITY if c in groups.columns]
     marks = ["is_selected"] if "is_selected" in groups.columns else []
-    rows = groups.select("object_id", *identity, *[F.col(c).alias("_group") for c in marks], F.explode("properties").alias("p"))
-    rows = rows.select("object_id", *identity, *["_group" for _ in marks], "p.*")
+    rows = groups.select("object_id", *identity, *[F.col(c).alias("_group") for c in marks], F.explode("properties").alias("_entry"))
+    rows = rows.select("object_id", *identity, *["_group" for _ in marks], "_entry.*")
     if marks:
         own = F.coalesce("is_selected", F.lit(False)) if "is_selected" in rows.columns else F.lit(False)
         rows = rows.withColumn("is_selected", F.coalesce("_group", F.lit(False)) | own).drop("_group")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from girderframe.functions.boxes import Box, relation, tolerance as category_tolerance
 from girderframe.schema import BOX_COLUMNS
-from girderframe.session import stored
+from girderframe.session import spread, stored, stored_if_any
 
 CELL = ["grid", "cx", "cy", "cz"]
 FINEST_CELL = 0.5
@@ -25,22 +25,28 @@ class GridOptions:
     ``hot_pairs``: candidate pairs of one cell from which its work is split.
     ``block``: boxes per side of a split block."""
 
-    max_cells: int = 24
+    max_cells: int = 32
     hot_pairs: int = 4_000_000
     block: int = 1_000
 
 
-def _grid_of(box: Box, reach: Column, cell: float, max_cells: int) -> Column:
-    """Finest grid on which the box covers few cells; grid g has cells of ``cell * 2^g``."""
-    sides = [s + 2 * reach for s in box.size().axes()]
-    chain = F
+def _grid_of(cell: float, max_cells: int) -> Column:
+    """Finest grid on which the box covers few cells; grid g has cells of ``cell * 2^g``.
+
+    One SQL text, since the chain has many branches.
+    """
+    sides = [f"(max_{a} - min_{a} + 2 * reach)" for a in "xyz"]
+    branches = []
     for grid in range(TOP_GRID):
-        width = cell * 2.0**grid
-        covered = 1.0
-        for side in sides:
-            covered = covered * (side / width + 1.0)
-        chain = chain.when(covered <= float(max_cells), F.lit(grid))
-    return chain.otherwise(F.lit(TOP_GRID))
+        width = repr(cell * 2.0**grid)
+        covered = " * ".join(f"({side} / {width}D + 1)" for side in sides)
+        branches.append(f"WHEN {covered} <= {max_cells} THEN {grid}")
+    return F.expr(f"CASE {' '.join(branches)} ELSE {TOP_GRID} END")
+
+
+def _grids_in_use(boxes: DataFrame) -> list[int]:
+    """Distinct grids of the boxes: at most TOP_GRID + 1 values."""
+    return sorted(r["own_grid"] for r in boxes.select("own_grid").distinct().collect()) or [0]
 
 
 def _register(boxes: DataFrame, cell: float, grids: list[int]) -> DataFrame:
@@ -72,8 +78,8 @@ def _split_hot_cells(rows: DataFrame, own: DataFrame, options: GridOptions) -> t
         .agg(F.count_if("own").alias("n_own"), F.count(F.lit(1)).alias("n_all"))
         .filter(F.col("n_own") * F.col("n_all") > options.hot_pairs)
     )
-    hot = stored(counts, "hot-cells")
-    if hot.isEmpty():
+    hot = stored_if_any(counts, "hot-cells")
+    if hot is None:
         zero = {"own_block": F.lit(0), "all_block": F.lit(0)}
         return own.withColumns(zero), rows.withColumns(zero)
     hot = hot.select(
@@ -116,13 +122,11 @@ def adjacency(geometry: DataFrame, tolerance: float | None = None, options: Grid
         geometry.filter(box.present())
         .select("object_id", *BOX_COLUMNS, own_tolerance.alias("tolerance"))
         .withColumn("reach", share + SLACK)
-        .withColumn("own_grid", _grid_of(box, F.col("reach"), cell, options.max_cells))
+        .withColumn("own_grid", _grid_of(cell, options.max_cells))
     )
-    # At most TOP_GRID + 1 values.
-    grids = sorted(r["own_grid"] for r in boxes.select("own_grid").distinct().collect())
-    if not grids:
-        grids = [0]
-    rows = _register(boxes, cell, grids)
+    # Stored once, since the cell counts and both sides of the join read it.
+    boxes = spread(stored(boxes, "boxes"))
+    rows = _register(boxes, cell, _grids_in_use(boxes))
     own, everything = _split_hot_cells(rows, rows.filter("own"), options)
     a = own.select(*[F.col(c).alias(f"a_{c}") for c in own.columns])
     b = everything.select(*[F.col(c).alias(f"b_{c}") for c in everything.columns])
@@ -168,11 +172,11 @@ def matching_boxes(geometry: DataFrame, probe: DataFrame, predicate: str) -> Dat
     def placed(df: DataFrame) -> DataFrame:
         return df.filter(Box.of().present()).select(
             "object_id", *BOX_COLUMNS, F.lit(SLACK).alias("reach")
-        ).withColumn("own_grid", _grid_of(Box.of(), F.col("reach"), FINEST_CELL, GridOptions().max_cells))
+        ).withColumn("own_grid", _grid_of(FINEST_CELL, GridOptions().max_cells))
 
     both = placed(geometry).withColumn("probe", F.lit(False)).unionByName(placed(probe).withColumn("probe", F.lit(True)))
-    grids = sorted(r["own_grid"] for r in both.select("own_grid").distinct().collect()) or [0]
-    rows = _register(both, FINEST_CELL, grids)
+    both = spread(stored(both, "boxes"))
+    rows = _register(both, FINEST_CELL, _grids_in_use(both))
     a = rows.filter("probe").select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.filter("not probe").select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
     box_a, box_b = Box.of("a_"), Box.of("b_")

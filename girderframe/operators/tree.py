@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from girderframe.functions import ids
 from girderframe.functions.text import is_empty, null_if_blank, path_parts
 from girderframe.schema import EMPTY_GUID, PATH_SEPARATOR
-from girderframe.session import stored
+from girderframe.session import stored_if_any
 
 MAX_DEPTH = 1000
 
@@ -47,10 +47,8 @@ def walk(
     joined = F.when(above == "", name).otherwise(F.concat(above, F.lit(separator), name))
     path = F.when(name == "", above).otherwise(joined) if skip_empty_names else joined
     visited: list[DataFrame] = []
-    while True:
-        level = stored(level, "tree")
-        if visited and level.isEmpty():
-            break
+    while (table := stored_if_any(level, "tree")) is not None:
+        level = table
         visited.append(level)
         if len(visited) > MAX_DEPTH:
             raise ValueError("the parent links form a cycle below the start nodes")
@@ -65,6 +63,8 @@ def walk(
             .withColumns({"root_id": F.col("_root"), "level": F.col("_level") + 1, "path": path})
             .select(*level.columns)
         )
+    if not visited:
+        return level.limit(0)
     out = visited[0]
     for frame in visited[1:]:
         out = out.unionByName(frame)

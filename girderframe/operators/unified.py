@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girderframe.functions.boxes import Box
+from girderframe.functions.display import with_parsed
 from girderframe.operators.props import group_objects, properties_json
 from girderframe.schema import BOX_COLUMNS, EMPTY_GUID, SCHEMA_VERSION
 
@@ -76,6 +77,8 @@ def merge(properties: DataFrame, geometry: DataFrame, with_json: bool = True) ->
     """
     named = ~F.col("object_id").isin("", EMPTY_GUID)
     rows = properties.filter(named)
+    if with_json and "raw_value" not in rows.columns:
+        rows = with_parsed(rows)
     if with_json:
         groups = group_objects(rows).withColumns(
             {"object_category": object_category(F.col("properties")), "properties_json": properties_json(F.col("properties"))}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "girderframe", master: str | None = None, **conf) -> SparkSession:
@@ -55,3 +56,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(spark)}/girderframe/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_if_any(df: DataFrame, label: str) -> DataFrame | None:
+    """As ``stored``, or ``None`` for an empty frame; the rows are counted while writing."""
+    seen = Observation()
+    table = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return table if seen.get["rows"] else None
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a stored table over all cores when it has fewer partitions than that.
+
+    Large tables have enough partitions of their own and are left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
