@@ -439,7 +439,7 @@ def inverse(fx):
 
 
 @query("D19_scored_match", r"""
-WITH s AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(name),'[^a-z0-9]+'), x -> x<>'')) AS t FROM {fx_score_schedule}), o AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(name),'[^a-z0-9]+'), x -> x<>'')) AS t FROM {fx_score_objects}),
+WITH s AS (SELECT *, list_distinct(regexp_extract_all(lower(name),'[a-z0-9]+')) AS t FROM {fx_score_schedule}), o AS (SELECT *, list_distinct(regexp_extract_all(lower(name),'[a-z0-9]+')) AS t FROM {fx_score_objects}),
 c AS (SELECT row_id, object_id FROM s JOIN o ON s.level_name=o.level_name AND s.category=o.category UNION SELECT row_id, object_id FROM s JOIN o ON s.level_name=o.level_name AND s.path=o.path UNION SELECT row_id, object_id FROM s JOIN o ON s.category=o.category AND s.path=o.path),
 v AS (SELECT row_id, object_id, round(CASE WHEN s.level_name=o.level_name THEN 0.30::DOUBLE ELSE 0 END+CASE WHEN s.category=o.category THEN 0.25::DOUBLE ELSE 0 END+CASE WHEN s.path=o.path THEN 0.20::DOUBLE ELSE 0 END+CASE WHEN len(s.t)>0 AND len(o.t)>0 AND len(list_intersect(s.t,o.t))::DOUBLE/len(list_distinct(list_concat(s.t,o.t)))>=0.6 THEN 0.25::DOUBLE*(len(list_intersect(s.t,o.t))::DOUBLE/len(list_distinct(list_concat(s.t,o.t)))) ELSE 0 END,6) AS score FROM c JOIN s USING (row_id) JOIN o USING (object_id))
 SELECT row_id, object_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, object_id) AS r FROM v WHERE score>=0.7) WHERE r=1""")

@@ -100,13 +100,15 @@ def match(
         )
         joined = joined.withColumn("_k2", F.col("sync_id")).join(others, "_k2", "left")
         found, hits, rank = F.coalesce("_o1", "_o2"), F.coalesce("_h1", "_h2"), F.coalesce(rank, F.col("_r2"))
-    labels = F.array(*[F.lit(f"{c}.{n}") for c, n in pairs])
+    label = F
+    for i, (category, name) in enumerate(pairs):
+        label = label.when(rank == i, F.lit(f"{category}.{name}"))
     blank = is_empty(F.col("sync_id"))
     return joined.withColumns(
         {
             "matched_object_id": F.when(~blank, found),
             "match_count": F.when(blank, F.lit(0)).otherwise(F.coalesce(hits, F.lit(0))),
-            "match_property": F.when(~blank, F.element_at(labels, rank + 1)),
+            "match_property": F.when(~blank, label),
             "match_status": F.when(blank, F.lit(MatchStatus.ERROR))
             .when(found.isNotNull(), F.lit(MatchStatus.MATCHED))
             .otherwise(F.lit(MatchStatus.NOT_FOUND)),
