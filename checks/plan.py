@@ -373,11 +373,12 @@ def post_checks(fx):
     return jobs.schedule_job(schedule(fx), with_parsed(fx("fx_records"))).frames["post_checks"]
 
 
-@query("L10_clear_outputs", "SELECT seq, (SELECT count(*) FROM {fx_schedule} WHERE seq%3=0) AS deleted FROM {fx_schedule} WHERE seq%3<>0")
+@query("L10_clear_outputs", "SELECT seq, CAST(0 AS BIGINT) AS deleted FROM {fx_schedule} WHERE seq%3<>0 UNION ALL SELECT -1, count(*) FROM {fx_schedule} WHERE seq%3=0")
 def clear(fx):
     table = fx("fx_schedule").withColumn("root_folder", F.when(F.col("seq") % 3 == 0, "AWP 4D Tasks").otherwise("Other"))
     out = jobs.clear_outputs(table, table, ScheduleOptions())
-    return out["tasks"].select("seq").join(F.broadcast(out["deleted_tasks"]), F.lit(True))
+    kept = out["tasks"].select("seq", F.lit(0).cast("bigint").alias("deleted"))
+    return kept.unionByName(out["deleted_tasks"].select(F.lit(-1).cast("bigint").alias("seq"), "deleted"))
 
 
 _RULES = r"""

@@ -252,3 +252,16 @@ def full_export(fx):
     )
     out = jobs.full_export(fx("fx_records"), geometry, links, fx("fx_node_info"), fx("fx_mesh_diag"))
     return out["validation"].select("object_id", "mesh_quality")
+
+
+@query("S16_failure_frame", f"""
+SELECT object_id AS "ObjectId", '(unnamed)' AS "DisplayName", coalesce(class_name,'') AS "ClassDisplayName", CASE WHEN NOT has_geometry THEN 'NoGeometry' WHEN is_hidden THEN 'Hidden' WHEN fragment_count=0 THEN 'NoFragments' ELSE 'AllStrategiesFail' END AS "Reason", '' AS "Detail" FROM {{fx_mesh_diag}} WHERE {_OUTCOME} IS NULL""")
+def failure_frame(fx):
+    return frames.tessellation_failures(validation.failures(fx("fx_mesh_diag")))
+
+
+@query("S16_diagnostic_frame", _DIAG + """
+SELECT coalesce(class_name,'') AS "ClassDisplayName", CASE WHEN is_leaf THEN 'LEAF' ELSE 'PARENT' END AS "NodeType", CASE WHEN is_hidden THEN 'True' ELSE 'False' END AS "IsHidden", fragment_count AS "FragmentCount", '0.0000' AS "BBoxVolume", status AS "Status" FROM s""")
+def diagnostic_frame(fx):
+    rows = frames.mesh_diagnostics(validation.with_mesh_status(fx("fx_mesh_diag")))
+    return rows.select("ClassDisplayName", "NodeType", "IsHidden", "FragmentCount", "BBoxVolume", "Status")

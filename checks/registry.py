@@ -32,6 +32,12 @@ SELECT least(a.object_id,b.object_id) AS source_id, greatest(a.object_id,b.objec
  greatest(0,least(a.max_x,b.max_x)-greatest(a.min_x,b.min_x))*greatest(0,least(a.max_y,b.max_y)-greatest(a.min_y,b.min_y))*greatest(0,least(a.max_z,b.max_z)-greatest(a.min_z,b.min_z)) AS overlap_volume
 FROM {fx_geometry} a JOIN {fx_geometry} b ON a.object_id<b.object_id AND a.min_x-0.16<=b.max_x AND b.min_x-0.16<=a.max_x AND a.min_y-0.16<=b.max_y AND b.min_y-0.16<=a.max_y AND a.min_z-0.16<=b.max_z AND b.min_z-0.16<=a.max_z) e
 WHERE distance<=0.15""",
+    "fx_category_edges": """
+SELECT * FROM (SELECT least(a.object_id,b.object_id) AS source_id, greatest(a.object_id,b.object_id) AS target_id, greatest(a.tol,b.tol) AS tolerance,
+ sqrt(pow(greatest(0,a.min_x-b.max_x,b.min_x-a.max_x),2)+pow(greatest(0,a.min_y-b.max_y,b.min_y-a.max_y),2)+pow(greatest(0,a.min_z-b.max_z,b.min_z-a.max_z),2)) AS distance,
+ greatest(0,least(a.max_x,b.max_x)-greatest(a.min_x,b.min_x))*greatest(0,least(a.max_y,b.max_y)-greatest(a.min_y,b.min_y))*greatest(0,least(a.max_z,b.max_z)-greatest(a.min_z,b.min_z)) AS overlap_volume
+FROM {fx_tolerances} a JOIN {fx_tolerances} b ON a.object_id<b.object_id AND a.min_x-0.21<=b.max_x AND b.min_x-0.21<=a.max_x AND a.min_y-0.21<=b.max_y AND b.min_y-0.21<=a.max_y AND a.min_z-0.21<=b.max_z AND b.min_z-0.21<=a.max_z) e WHERE distance<=tolerance""",
+    "fx_tolerances": "SELECT *, CASE category WHEN 'Pipe' THEN 0.05::DOUBLE WHEN 'Structural Steel' THEN 0.20::DOUBLE WHEN 'HVAC Duct' THEN 0.08::DOUBLE WHEN 'Equipment' THEN 0.10::DOUBLE WHEN 'Insulation' THEN 0.01::DOUBLE ELSE 0.15::DOUBLE END AS tol FROM {fx_geometry}",
     "fx_match": """
 SELECT s.*, CASE WHEN s.sync_id='' THEN 'Error' WHEN e.object_id IS NOT NULL THEN 'Matched' ELSE 'NotFound' END AS match_status, CASE WHEN s.sync_id<>'' THEN e.object_id END AS matched_object_id
 FROM {fx_schedule} s LEFT JOIN (SELECT raw_value, min_by(object_id, seq) AS object_id FROM {fx_split} WHERE category='Element' AND property_name='Id' GROUP BY raw_value) e ON e.raw_value=s.sync_id""",

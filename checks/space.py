@@ -12,13 +12,7 @@ from girderframe.sinks import frames
 TOLERANCE = 0.15
 
 
-@query("D07_adjacency_by_category", """
-SELECT * FROM (SELECT least(a.object_id,b.object_id) AS source_id, greatest(a.object_id,b.object_id) AS target_id, greatest(a.tol,b.tol) AS tolerance,
- round(sqrt(pow(greatest(0,a.min_x-b.max_x,b.min_x-a.max_x),2)+pow(greatest(0,a.min_y-b.max_y,b.min_y-a.max_y),2)+pow(greatest(0,a.min_z-b.max_z,b.min_z-a.max_z),2)),6) AS distance,
- greatest(0,least(a.max_x,b.max_x)-greatest(a.min_x,b.min_x))*greatest(0,least(a.max_y,b.max_y)-greatest(a.min_y,b.min_y))*greatest(0,least(a.max_z,b.max_z)-greatest(a.min_z,b.min_z)) AS overlap_volume
-FROM t a JOIN t b ON a.object_id<b.object_id AND a.min_x-0.21<=b.max_x AND b.min_x-0.21<=a.max_x AND a.min_y-0.21<=b.max_y AND b.min_y-0.21<=a.max_y AND a.min_z-0.21<=b.max_z AND b.min_z-0.21<=a.max_z) e WHERE distance<=tolerance""".replace(
-    "SELECT * FROM (SELECT least", """WITH t AS (SELECT *, CASE category WHEN 'Pipe' THEN 0.05::DOUBLE WHEN 'Structural Steel' THEN 0.20::DOUBLE WHEN 'HVAC Duct' THEN 0.08::DOUBLE WHEN 'Equipment' THEN 0.10::DOUBLE WHEN 'Insulation' THEN 0.01::DOUBLE ELSE 0.15::DOUBLE END AS tol FROM {fx_geometry})
-SELECT * FROM (SELECT least"""))
+@query("D07_adjacency_by_category", "SELECT source_id, target_id, tolerance, round(distance,6) AS distance, overlap_volume FROM {fx_category_edges}")
 def by_category(fx):
     edges = spatial.adjacency(fx("fx_geometry"))
     return edges.select("source_id", "target_id", "tolerance", F.round("distance", 6).alias("distance"), "overlap_volume")
@@ -118,9 +112,9 @@ def summary_lines(fx):
     return lines.filter("line_no in (1, 6)")
 
 
-@query("L02_spatial_job_by_category")
+@query("L02_spatial_job_by_category", _COMPONENTS.replace("{fx_edges}", "{fx_category_edges}") + "SELECT object_id, group_id, element_count FROM members")
 def spatial_job(fx):
-    return jobs.spatial_job(fx("fx_geometry"))["statistics"]
+    return jobs.spatial_job(fx("fx_geometry"))["groups"]
 
 
 @query("L02_selection_spatial_job", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girderframe.functions.boxes import Box
 from girderframe.functions.text import is_empty
-from girderframe.operators.numbering import global_row_number
+from girderframe.operators.numbering import global_row_number, one_row
 from girderframe.session import stored, stored_if_any
 
 MAX_ROUNDS = 200
@@ -123,8 +123,7 @@ def spatial_summary(edges: DataFrame, groups: DataFrame) -> DataFrame:
         F.count_if(F.col("n") == 1).alias("singleton_groups"),
         F.count_if(F.col("n") > 1).alias("multi_groups"),
     )
-    # Two one-row frames.
-    return relations.join(F.broadcast(shapes), F.lit(True))
+    return one_row(relations, shapes)
 
 
 def transitive_edges(edges: DataFrame, keys: list[str], depth: int = 5) -> DataFrame:

@@ -43,3 +43,11 @@ def oversized(df: DataFrame, key: str, limit: int, *aggregates: Column) -> DataF
     """
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), *aggregates).filter(F.col("rows") > limit)
     return stored_if_any(counted, "oversized")
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Put one-row frames with different columns side by side, without a join."""
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

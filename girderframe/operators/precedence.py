@@ -42,24 +42,29 @@ def precedence_edges(classified: DataFrame, rules=None) -> DataFrame:
             F.col("key").alias("succ_key"), "pred_objects", "succ_objects",
         )
         out = edges if out is None else out.unionByName(edges)
-    for condition in ("always", "lower_level_first"):
-        out = out.unionByName(_unscoped_edges(classified, table, condition))
-    return out
+    always = F.broadcast(table.filter("condition = 'always'"))
+    totals = classified.filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("objects"))
+    before = totals.select(F.col("class").alias("pred_class"), F.col("objects").alias("pred_objects"))
+    after = totals.select(F.col("class").alias("succ_class"), F.col("objects").alias("succ_objects"))
+    everywhere = before.join(always, "pred_class").join(after, "succ_class").select(
+        "condition", "priority", "pred_class", F.lit("").alias("pred_key"), "succ_class",
+        F.lit("").alias("succ_key"), "pred_objects", "succ_objects",
+    )
+    return out.unionByName(everywhere).unionByName(_level_edges(classified, rules))
+
 
+def _level_edges(classified: DataFrame, rules=None) -> DataFrame:
+    """Edges from each level of a class to its next higher level.
 
-def _unscoped_edges(classified: DataFrame, table: DataFrame, condition: str) -> DataFrame:
+    Further levels follow by transitivity. A class has at most as many rows here as there
+    are named levels.
+    """
+    wanted = {a: p for a, b, c, p in (R.PRECEDENCE_RULES if rules is None else rules) if c == "lower_level_first" and a == b}
+    priority = F.lit(wanted.get("*"))
+    for name, value in wanted.items():
+        if name != "*":
+            priority = F.when(F.col("class") == name, F.lit(value)).otherwise(priority)
     nodes = class_nodes(classified, "level_name")
-    rule = F.broadcast(table.filter(F.col("condition") == condition))
-    if condition == "always":
-        totals = nodes.groupBy("class").agg(F.sum("objects").alias("objects"))
-        before = totals.select(F.col("class").alias("pred_class"), F.col("objects").alias("pred_objects"))
-        after = totals.select(F.col("class").alias("succ_class"), F.col("objects").alias("succ_objects"))
-        return before.join(rule, "pred_class").join(after, "succ_class").select(
-            "condition", "priority", "pred_class", F.lit("").alias("pred_key"), "succ_class",
-            F.lit("").alias("succ_key"), "pred_objects", "succ_objects",
-        )
-    # Each level points at the next higher level of the same class; further levels follow
-    # by transitivity. A class has at most as many rows here as there are named levels.
     ordered = nodes.withColumn("order_no", level_order(F.col("key"))).filter(F.col("order_no").isNotNull())
     per_order = ordered.groupBy("class", "order_no").agg(
         F.sum("objects").alias("objects"), F.min("key").alias("key")
@@ -68,11 +73,10 @@ def _unscoped_edges(classified: DataFrame, table: DataFrame, condition: str) ->
     linked = per_order.withColumns(
         {"succ_key": F.lead("key").over(up), "succ_objects": F.lead("objects").over(up)}
     ).filter(F.col("succ_key").isNotNull())
-    applies = (F.col("rule_class") == "*") | (F.col("rule_class") == F.col("class"))
-    wanted = rule.select(F.col("pred_class").alias("rule_class"), "condition", "priority")
-    return linked.join(F.broadcast(wanted), applies).select(
-        "condition", "priority", F.col("class").alias("pred_class"), F.col("key").alias("pred_key"),
-        F.col("class").alias("succ_class"), "succ_key", F.col("objects").alias("pred_objects"), "succ_objects",
+    return linked.withColumn("priority", priority.cast("int")).filter("priority is not null").select(
+        F.lit("lower_level_first").alias("condition"), "priority", F.col("class").alias("pred_class"),
+        F.col("key").alias("pred_key"), F.col("class").alias("succ_class"), "succ_key",
+        F.col("objects").alias("pred_objects"), "succ_objects",
     )
 
 

@@ -137,35 +137,38 @@ def in_window(geometry: DataFrame, min_x: float, min_y: float, max_x: float, max
     )
 
 
-def group_objects(df: DataFrame, max_rows: int = MAX_PROPERTIES_PER_ROW) -> DataFrame:
+def group_objects(df: DataFrame, max_rows: int = MAX_PROPERTIES_PER_ROW, extras: dict[str, Column] | None = None) -> DataFrame:
     """One row per object with its property array, in extraction order.
 
     An object with more than ``max_rows`` properties continues on further rows numbered
     by ``part`` (slices of its seq range), so no row or task holds an unbounded group.
+    ``extras`` are further aggregates over the whole object.
     """
+    extras = extras or {}
     identity = [c for c in IDENTITY if c in df.columns]
     details = [c for c in DETAILS if c in df.columns]
     entry = F.struct("seq", *details)
-    first = F.min_by(F.struct(*identity), "seq")
+    whole = {"_identity": F.min_by(F.struct(*identity), "seq"), **extras}
     large = oversized(
-        df, "object_id", max_rows, first.alias("_first"), F.min("seq").alias("_from"), F.max("seq").alias("_to")
+        df, "object_id", max_rows, F.min("seq").alias("_from"), F.max("seq").alias("_to"),
+        *[c.alias(f"_whole_{n}") for n, c in whole.items()],
     )
     keys = ["object_id"]
     if large is not None:
         share = (F.col("seq") - F.col("_from")) / (F.col("_to") - F.col("_from") + 1)
         part = F.floor(share * F.ceil(F.col("rows") / max_rows)).cast("int")
         df = df.join(large, "object_id", "left").withColumn("part", F.coalesce(part, F.lit(0)))
-        first = F.coalesce(F.any_value("_first"), first)
+        whole = {n: F.coalesce(F.any_value(f"_whole_{n}"), c) for n, c in whole.items()}
         keys = ["object_id", "part"]
     grouped = df.groupBy(*keys).agg(
-        first.alias("_identity"),
+        *[c.alias(n) for n, c in whole.items()],
         F.array_sort(F.collect_list(entry)).alias("properties"),
         F.array_sort(F.collect_set(F.nullif(F.col("category"), F.lit("")))).alias("categories"),
     )
     if large is None:
         grouped = grouped.withColumn("part", F.lit(0))
     return grouped.select(
-        "object_id", "part", "_identity.*", "properties", "categories", F.size("properties").alias("property_count")
+        "object_id", "part", "_identity.*", "properties", "categories", F.size("properties").alias("property_count"), *extras
     )
 
 

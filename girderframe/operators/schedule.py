@@ -9,7 +9,7 @@ from girderframe.functions import scheduling
 from girderframe.functions.boxes import Box
 from girderframe.functions.ids import canonical_guid
 from girderframe.functions.text import is_empty, path_parts
-from girderframe.operators.numbering import global_row_number
+from girderframe.operators.numbering import global_row_number, one_row
 from girderframe.operators.tree import folder_paths
 from girderframe.schema import MatchStatus, ScheduleOptions
 
@@ -236,8 +236,7 @@ def set_totals(set_table: DataFrame) -> DataFrame:
     totals = set_table.agg(
         F.count(F.lit(1)).alias("set_count"), F.coalesce(F.sum("item_count"), F.lit(0)).alias("item_count")
     )
-    # Two one-row frames.
-    return totals.join(F.broadcast(folders), F.lit(True))
+    return one_row(totals, folders)
 
 
 def set_links(matched: DataFrame, set_table: DataFrame, strategy: str = "parent_set", legacy_link: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from girderframe.functions import ids
 from girderframe.functions.text import is_empty, null_if_blank, path_parts
+from girderframe.operators.numbering import one_row
 from girderframe.schema import EMPTY_GUID, PATH_SEPARATOR
 from girderframe.session import stored_if_any
 
@@ -186,8 +187,7 @@ def node_counts(nodes: DataFrame, walked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_nodes"), F.count_if("has_geometry").alias("geometry_nodes")
     )
     visible = walked.agg(F.count(F.lit(1)).alias("visible_nodes"))
-    # Two one-row frames.
-    return everything.join(F.broadcast(visible), F.lit(True))
+    return one_row(everything, visible)
 
 
 def id_statistics(properties: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def id_statistics(properties: DataFrame) -> DataFrame:
         )
 
     objects, parents = distinct_ids("object_id"), distinct_ids("parent_id").drop("parent_rows")
-    return objects.withColumnRenamed("object_rows", "total_rows").join(F.broadcast(parents), F.lit(True))
+    return one_row(objects.withColumnRenamed("object_rows", "total_rows"), parents)
 
 
 def lookup(df: DataFrame, wanted: DataFrame) -> DataFrame:

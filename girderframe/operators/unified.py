@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girderframe.functions.boxes import Box
 from girderframe.functions.display import with_parsed
-from girderframe.operators.props import group_objects, properties_json
+from girderframe.operators.props import MAX_PROPERTIES_PER_ROW, group_objects, properties_json
 from girderframe.schema import BOX_COLUMNS, EMPTY_GUID, SCHEMA_VERSION
 
 # Item properties that name the category of an object.
@@ -33,66 +33,49 @@ def latest_geometry(geometry: DataFrame) -> DataFrame:
     )
 
 
-def _first_value(properties: Column, test) -> Column:
-    return F.try_element_at(F.filter(properties, test), F.lit(1))
-
-
-def object_category(properties: Column) -> Column:
-    """Category of a grouped object: item type, else element category, else first row's category."""
-    item = _first_value(
-        properties, lambda p: (p["category"] == "Item") & p["property_name"].isin(ITEM_TYPE_NAMES)
-    )
-    element = _first_value(
-        properties, lambda p: (p["category"] == "Element") & (p["property_name"] == "Category")
-    )
-    head = F.try_element_at(properties, F.lit(1))
-    return (
-        F.when(item.isNotNull(), F.coalesce(item["property_value"], F.lit("")))
-        .when(element.isNotNull(), F.coalesce(element["property_value"], F.lit("")))
-        .otherwise(F.coalesce(head["category"], F.lit("")))
-    )
-
-
-def object_categories(df: DataFrame) -> DataFrame:
-    """Category per object by aggregation alone, without building property arrays."""
+def object_category() -> Column:
+    """Aggregate: the item type, else the element category, else the category of the first row."""
     item = (F.col("category") == "Item") & F.col("property_name").isin(ITEM_TYPE_NAMES)
     element = (F.col("category") == "Element") & (F.col("property_name") == "Category")
 
     def first(test: Column, column: str) -> Column:
+        # The struct keeps a NULL value apart from no row at all.
         value = F.struct(F.coalesce(column, F.lit("")).alias("v"))
         return F.min_by(F.when(test, value), F.when(test, F.col("seq")))["v"]
 
-    return df.groupBy("object_id").agg(
-        F.coalesce(
-            first(item, "property_value"), first(element, "property_value"), first(F.lit(True), "category")
-        ).alias("object_category")
-    )
+    return F.coalesce(first(item, "property_value"), first(element, "property_value"), first(F.lit(True), "category"))
+
+
+def object_categories(df: DataFrame) -> DataFrame:
+    """Category per object."""
+    return df.groupBy("object_id").agg(object_category().alias("object_category"))
 
 
-def merge(properties: DataFrame, geometry: DataFrame, with_json: bool = True) -> DataFrame:
+def merge(
+    properties: DataFrame, geometry: DataFrame, with_json: bool = True, max_rows: int = MAX_PROPERTIES_PER_ROW
+) -> DataFrame:
     """Full outer merge of property rows and boxes.
 
     Objects with empty ids are left out. A box without properties keeps its name, or
-    ``Unknown``. A zero-volume box counts as no box, but keeps its centroid.
+    ``Unknown``. A zero-volume box counts as no box, but keeps its centroid. Objects with
+    more than ``max_rows`` properties continue on further rows, numbered by ``part``.
     """
     named = ~F.col("object_id").isin("", EMPTY_GUID)
     rows = properties.filter(named)
     if with_json and "raw_value" not in rows.columns:
         rows = with_parsed(rows)
     if with_json:
-        groups = group_objects(rows).withColumns(
-            {"object_category": object_category(F.col("properties")), "properties_json": properties_json(F.col("properties"))}
+        groups = group_objects(rows, max_rows, {"object_category": object_category()}).withColumn(
+            "properties_json", properties_json(F.col("properties"))
         )
     else:
         identity = [c for c in ("parent_id", "level", "display_name", "sys_path") if c in rows.columns]
         groups = (
-            object_categories(rows)
-            .join(
-                rows.groupBy("object_id").agg(
-                    F.count(F.lit(1)).alias("property_count"),
-                    F.min_by(F.struct(*identity), "seq").alias("_i"),
-                ),
-                "object_id",
+            rows.groupBy("object_id")
+            .agg(
+                object_category().alias("object_category"),
+                F.count(F.lit(1)).alias("property_count"),
+                F.min_by(F.struct(*identity), "seq").alias("_i"),
             )
             .select("object_id", F.lit(0).alias("part"), "_i.*", "object_category", "property_count")
         )

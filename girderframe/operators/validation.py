@@ -208,14 +208,15 @@ def _mesh_outcome():
     return verdicts.mesh_outcome(*[F.col(c) for c in names])
 
 
+def failures(diagnostics: DataFrame) -> DataFrame:
+    """Objects without a mesh, with the ``reason``."""
+    reason = verdicts.failure_reason(*[F.col(c) for c in ("has_geometry", "is_hidden", "fragment_count")])
+    return diagnostics.filter(_mesh_outcome().isNull()).withColumn("reason", reason)
+
+
 def failure_counts(diagnostics: DataFrame) -> DataFrame:
     """Objects without a mesh per failure reason."""
-    reason = verdicts.failure_reason(*[F.col(c) for c in ("has_geometry", "is_hidden", "fragment_count")])
-    return (
-        diagnostics.filter(_mesh_outcome().isNull())
-        .groupBy(reason.alias("reason"))
-        .agg(F.count(F.lit(1)).alias("objects"))
-    )
+    return failures(diagnostics).groupBy("reason").agg(F.count(F.lit(1)).alias("objects"))
 
 
 def with_mesh_quality(geometry: DataFrame, diagnostics: DataFrame, container_table: DataFrame, supplemented: bool = False) -> DataFrame:

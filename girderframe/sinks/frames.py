@@ -175,6 +175,48 @@ def validation(df: DataFrame) -> DataFrame:
     return df.select(*[cell(c).alias(h) for h, c in VALIDATION.items()])
 
 
+# Columns of the mesh diagnostic output.
+DIAGNOSTIC = {
+    "Depth": ("depth", 0), "HierarchyPath": ("sys_path", ""), "DisplayName": ("display_name", ""),
+    "ClassDisplayName": ("class_name", ""), "NodeType": ("node_type", ""), "ChildCount": ("child_count", 0),
+    "HasGeometry": ("has_geometry", False), "HasBBox": ("has_box", False), "BBoxVolume": ("box_volume", 0.0),
+    "FragmentCount": ("fragment_count", 0), "EmptyFragments": ("empty_fragment_count", 0),
+    "FragmentErrors": ("fragment_errors", 0), "VertexCount": ("vertex_count", 0), "TriangleCount": ("triangle_count", 0),
+    "LineCount": ("line_count", 0), "PointCount": ("point_count", 0), "SnapPointCount": ("snap_point_count", 0),
+    "HasTransform": ("has_transform", False), "IsHidden": ("is_hidden", False), "SourceFile": ("source_file", ""),
+    "StrategyTriangles": ("strategy_triangles", ""), "StrategyLines": ("strategy_lines", ""), "Status": ("status", ""),
+}
+
+
+def mesh_diagnostics(df: DataFrame) -> DataFrame:
+    """Mesh diagnostics with status in 23 columns; absent inputs take their defaults."""
+    rows = df.withColumn("node_type", F.when(F.col("is_leaf"), "LEAF").otherwise("PARENT"))
+
+    def cell(name: str, default) -> Column:
+        c = F.coalesce(F.col(name), F.lit(default)) if name in rows.columns else F.lit(default)
+        if isinstance(default, bool):
+            return _flag(c)
+        return fixed(c, 4) if isinstance(default, float) else c
+
+    return rows.select(*[cell(name, default).alias(h) for h, (name, default) in DIAGNOSTIC.items()])
+
+
+def tessellation_failures(df: DataFrame) -> DataFrame:
+    """Objects without a mesh, with the reason; commas in texts become semicolons."""
+
+    def text(name: str, default: str) -> Column:
+        c = F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+        return F.translate(c, ",", ";")
+
+    return df.select(
+        F.col("object_id").alias("ObjectId"),
+        text("display_name", "(unnamed)").alias("DisplayName"),
+        text("class_name", "").alias("ClassDisplayName"),
+        F.col("reason").alias("Reason"),
+        text("detail", "").alias("Detail"),
+    )
+
+
 def schedule(df: DataFrame, date_mode: str) -> DataFrame:
     """Generated tasks in 7 columns, or 9 with actual dates."""
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girderframe.operators.tree import is_root_parent, walk
+from girderframe.operators.tree import MAX_DEPTH, is_root_parent, walk
+from girderframe.session import stored_if_any
 
 # Sorts before every character of a key; the tilde sorts after the digits a key starts with.
 _STEP = "\u0001"
@@ -17,10 +18,12 @@ _PROPERTY_FIELDS = {
 }
 
 
-def tree_nodes(records: DataFrame) -> DataFrame:
+def tree_nodes(records: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """First row of each object, with ``was_orphan``.
 
-    An object whose parent has no rows itself hangs under the root, so no subtree is lost.
+    An object whose parent has no rows itself hangs under its nearest ancestor that has
+    some, found in ``tree`` (object_id, parent_id of all nodes), or under the root when
+    there is none or no tree is given. So no subtree is lost.
     """
     firsts = (
         records.groupBy("object_id")
@@ -28,22 +31,49 @@ def tree_nodes(records: DataFrame) -> DataFrame:
         .select("object_id", "_f.*")
     )
     known = firsts.select(F.col("object_id").alias("parent_id"), F.lit(True).alias("_has"))
-    present = F.col("_has").isNotNull()
-    return firsts.join(known, "parent_id", "left").select(
+    marked = firsts.join(known, "parent_id", "left").withColumn(
+        "was_orphan", ~is_root_parent(F.col("parent_id")) & F.col("_has").isNull()
+    )
+    adopted = F.when(F.col("_has").isNotNull(), F.col("parent_id")).otherwise(F.lit(""))
+    if tree is not None:
+        found = nearest_emitted(marked.filter("was_orphan").select("object_id", "parent_id"), tree, known)
+        marked = marked.join(found, "object_id", "left")
+        adopted = F.coalesce("_ancestor", adopted)
+    return marked.select(
         "object_id",
-        F.when(present, F.col("parent_id")).otherwise(F.lit("")).alias("parent_id"),
+        adopted.alias("parent_id"),
         F.coalesce("display_name", F.lit("")).alias("node_name"),
         F.col("level").alias("node_level"),
         "seq",
-        (~is_root_parent(F.col("parent_id")) & ~present).alias("was_orphan"),
+        "was_orphan",
     )
 
 
+def nearest_emitted(orphans: DataFrame, tree: DataFrame, known: DataFrame) -> DataFrame:
+    """(object_id, _ancestor): the nearest ancestor with rows; climbs one level per round."""
+    up = tree.select(F.col("object_id").alias("parent_id"), F.col("parent_id").alias("_above"))
+    found: list[DataFrame] = []
+    climbing = orphans
+    while (table := stored_if_any(climbing, "orphans")) is not None and len(found) < MAX_DEPTH:
+        above = table.join(up, "parent_id").filter(~is_root_parent(F.col("_above"))).select(
+            "object_id", F.col("_above").alias("parent_id")
+        )
+        seen = above.join(known, "parent_id", "left")
+        found.append(seen.filter("_has").select("object_id", F.col("parent_id").alias("_ancestor")))
+        climbing = seen.filter("_has is null").select("object_id", "parent_id")
+    if not found:
+        return orphans.select("object_id", F.lit(None).cast("string").alias("_ancestor"))
+    out = found[0]
+    for frame in found[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 def _comma(first: Column) -> Column:
     return F.when(first, F.lit("")).otherwise(F.lit(","))
 
 
-def nested_json_lines(records: DataFrame) -> DataFrame:
+def nested_json_lines(records: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """Lines (key, kind, no, text) which, sorted, form one JSON array of nested nodes.
 
     A node opens before its properties and children and closes after them. Its key is its
@@ -51,7 +81,7 @@ def nested_json_lines(records: DataFrame) -> DataFrame:
     in place and no task ever holds a subtree.
     """
     order = F.concat(F.lpad(F.col("seq").cast("string"), 20, "0"), F.col("object_id"))
-    placed = walk(tree_nodes(records).withColumn("display_name", order), separator=_STEP, prune_hidden=False)
+    placed = walk(tree_nodes(records, tree).withColumn("display_name", order), separator=_STEP, prune_hidden=False)
     heads = placed.groupBy("parent_id").agg(F.min("path").alias("_head"))
     nodes = placed.join(heads, "parent_id")
     zero = F.lit(0).cast("bigint")

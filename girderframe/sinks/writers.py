@@ -40,9 +40,9 @@ def write_hierarchy(records: DataFrame, path: str, include_unit: bool = True) ->
     write_csv(frames.hierarchy(records, include_unit), path)
 
 
-def write_nested_json(records: DataFrame, path: str) -> None:
+def write_nested_json(records: DataFrame, path: str, tree: DataFrame | None = None) -> None:
     """Nested tree; the part files in order, inside ``[`` and ``]``, are one JSON array."""
-    write_lines(nested_json_lines(records), ["key", "kind", "no"], "text", path)
+    write_lines(nested_json_lines(records, tree), ["key", "kind", "no"], "text", path)
 
 
 def write_dual(records: DataFrame, path: str) -> DataFrame:

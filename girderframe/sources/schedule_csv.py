@@ -75,8 +75,18 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "EUC-KR"
 
 
+_BUILT_IN_ENCODINGS = {"ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "UTF-8"}
+
+
+def _allow_encoding(spark: SparkSession, encoding: str) -> None:
+    """Spark reads other Java charsets, such as EUC-KR, only with this session setting."""
+    if encoding.upper() not in _BUILT_IN_ENCODINGS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def header_cells(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
     """Trimmed cells of the first non-blank line."""
+    _allow_encoding(spark, encoding)
     reader = spark.read.options(**CSV_OPTIONS, encoding=encoding)
     row = reader.csv(path).limit(1).collect()
     if not row:
