@@ -12,6 +12,7 @@ from girderframe.functions.text import is_empty, path_parts
 from girderframe.operators.numbering import global_row_number, one_row
 from girderframe.operators.tree import folder_paths
 from girderframe.schema import MatchStatus, ScheduleOptions
+from girderframe.session import stored
 
 # Property pairs tried in turn when the chosen one has no hit.
 FALLBACK_PROPERTIES = [
@@ -88,6 +89,9 @@ def match(
     """
     pairs = match_pairs(options, fallback)
     index = value_index(properties, options, fallback, value)
+    if fallback:
+        # Both lookups read it; stored, the property table is scanned once.
+        index = stored(index, "values")
     key = F.lower("sync_id") if options.ignore_case else F.col("sync_id")
     chosen = index.filter("not _fallback").select(
         F.col("_key").alias("_k1"), F.col("_object").alias("_o1"), F.col("_hits").alias("_h1")
