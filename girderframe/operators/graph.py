@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from girderframe.functions.boxes import Box
 from girderframe.functions.text import is_empty
 from girderframe.operators.numbering import global_row_number, one_row
-from girderframe.session import stored, stored_if_any
+from girderframe.session import stored, stored_counting, stored_if_any
 
-MAX_ROUNDS = 200
+MAX_ROUNDS = 64
 
 
 def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: str = "source_id", target: str = "target_id") -> DataFrame:
     """Label every node with the smallest id of its component; isolated nodes keep their own.
 
-    Each round hooks a node to its smallest neighbour, follows the hooks three steps, and
+    Each round hooks a node to its smallest neighbour, follows the hooks to their end, and
     renames the ends of all edges. Edges inside a component vanish and the others are
-    merged, so the edge table shrinks every round. The minimum is combined before the
-    shuffle, which keeps hubs cheap. The renames of all rounds are chained at the end.
+    merged. At most half of the names are left after a round, so the rounds are few even
+    for long chains. The minimum is combined before the shuffle, which keeps hubs cheap.
+    The renames of all rounds are chained at the end.
     """
     a, b = F.col(source), F.col(target)
     pairs = edges.filter(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
@@ -28,12 +29,8 @@ def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: s
         if len(renames) >= MAX_ROUNDS:
             raise RuntimeError("component search did not settle")
         # The smaller end of every edge is u, so only v can hook downwards.
-        hook = left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
-        step = hook.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        far = hook
-        for _ in range(2):
-            far = far.join(step, "label", "left").select("node", F.coalesce("_next", "label").alias("label"))
-        rename = stored(far, "renames")
+        hooks = left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
+        rename = _followed(hooks)
         renames.append(rename)
         on_u = rename.select(F.col("node").alias("u"), F.col("label").alias("_u"))
         on_v = rename.select(F.col("node").alias("v"), F.col("label").alias("_v"))
@@ -55,6 +52,22 @@ def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: s
     return labels
 
 
+def _followed(hooks: DataFrame) -> DataFrame:
+    """Follow (node, label) pointers to their end; the reach doubles with every join."""
+
+    def doubled(pointers: DataFrame) -> DataFrame:
+        step = pointers.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+        return pointers.join(step, "label", "left").select(
+            "node", F.coalesce("_next", "label").alias("label"), F.col("_next").isNotNull().alias("moved")
+        )
+
+    # Most pointers end within two steps, so the first two joins share one table.
+    pointers, moved = stored_counting(doubled(doubled(hooks).drop("moved")), "pointers", F.col("moved"))
+    while moved:
+        pointers, moved = stored_counting(doubled(pointers.drop("moved")), "pointers", F.col("moved"))
+    return pointers.drop("moved")
+
+
 def number_groups(labels: DataFrame) -> DataFrame:
     """Add ``group_id`` 1..n by descending size, then smallest member id."""
     labels = stored(labels, "labels")

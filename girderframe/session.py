@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,11 +58,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_if_any(df: DataFrame, label: str) -> DataFrame | None:
-    """As ``stored``, or ``None`` for an empty frame; the rows are counted while writing."""
+def stored_counting(df: DataFrame, label: str, counted: Column) -> tuple[DataFrame, int]:
+    """As ``stored``, with the number of rows for which ``counted`` holds, taken while writing."""
     seen = Observation()
-    table = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return table if seen.get["rows"] else None
+    table = stored(df.observe(seen, F.count_if(counted).alias("rows")), label)
+    return table, seen.get["rows"]
+
+
+def stored_if_any(df: DataFrame, label: str) -> DataFrame | None:
+    """As ``stored``, or ``None`` for an empty frame."""
+    table, rows = stored_counting(df, label, F.lit(True))
+    return table if rows else None
 
 
 def spread(table: DataFrame) -> DataFrame:
