@@ -11,15 +11,17 @@ from girderframe.operators.numbering import global_row_number, one_row
 from girderframe.session import stored, stored_counting, stored_if_any
 
 MAX_ROUNDS = 64
+# Pointers are followed further while more than one in this many still moved.
+FEW_MOVED = 20
 
 
 def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: str = "source_id", target: str = "target_id") -> DataFrame:
     """Label every node with the smallest id of its component; isolated nodes keep their own.
 
-    Each round hooks a node to its smallest neighbour, follows the hooks to their end, and
-    renames the ends of all edges. Edges inside a component vanish and the others are
-    merged. At most half of the names are left after a round, so the rounds are few even
-    for long chains. The minimum is combined before the shuffle, which keeps hubs cheap.
+    Each round hooks a node to its smallest neighbour, follows the hooks, and renames the
+    ends of all edges. Edges inside a component vanish and the others are merged. About
+    half of the names or fewer are left after a round, so the rounds are few even for long
+    chains. The minimum is combined before the shuffle, which keeps hubs cheap.
     The renames of all rounds are chained at the end.
     """
     a, b = F.col(source), F.col(target)
@@ -53,7 +55,11 @@ def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: s
 
 
 def _followed(hooks: DataFrame) -> DataFrame:
-    """Follow (node, label) pointers to their end; the reach doubles with every join."""
+    """Follow (node, label) pointers towards their end; the reach doubles with every join.
+
+    Stops when few pointers moved in the last step. Those that are not at their end yet
+    go on in the next round, where they are still joined to the rest by an edge.
+    """
 
     def doubled(pointers: DataFrame) -> DataFrame:
         step = pointers.select(F.col("node").alias("label"), F.col("label").alias("_next"))
@@ -62,10 +68,12 @@ def _followed(hooks: DataFrame) -> DataFrame:
         )
 
     # Most pointers end within two steps, so the first two joins share one table.
-    pointers, moved = stored_counting(doubled(doubled(hooks).drop("moved")), "pointers", F.col("moved"))
-    while moved:
-        pointers, moved = stored_counting(doubled(pointers.drop("moved")), "pointers", F.col("moved"))
-    return pointers.drop("moved")
+    following = doubled(doubled(hooks).drop("moved"))
+    while True:
+        pointers, rows, moved = stored_counting(following, "pointers", F.col("moved"))
+        if moved * FEW_MOVED <= rows:
+            return pointers.drop("moved")
+        following = doubled(pointers.drop("moved"))
 
 
 def number_groups(labels: DataFrame) -> DataFrame:

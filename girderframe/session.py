@@ -58,16 +58,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_counting(df: DataFrame, label: str, counted: Column) -> tuple[DataFrame, int]:
-    """As ``stored``, with the number of rows for which ``counted`` holds, taken while writing."""
+def stored_counting(df: DataFrame, label: str, counted: Column) -> tuple[DataFrame, int, int]:
+    """As ``stored``, with the rows and those for which ``counted`` holds, taken while writing."""
     seen = Observation()
-    table = stored(df.observe(seen, F.count_if(counted).alias("rows")), label)
-    return table, seen.get["rows"]
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(counted).alias("hits"))
+    table = stored(observed, label)
+    return table, seen.get["rows"], seen.get["hits"]
 
 
 def stored_if_any(df: DataFrame, label: str) -> DataFrame | None:
     """As ``stored``, or ``None`` for an empty frame."""
-    table, rows = stored_counting(df, label, F.lit(True))
+    table, rows, _ = stored_counting(df, label, F.lit(True))
     return table if rows else None
 
 
