@@ -18,7 +18,7 @@ from girderframe.session import stored
 #: Times a document may be taken.
 MAX_REPEATS = 3
 #: Bits of the hash, and of it that one histogram resolves.
-HASH_BITS, STEP_BITS = 60, 10
+HASH_BITS, STEP_BITS = 60, 15
 #: Sources up to which their table is sent to all executors.
 SENT_SOURCES = 100_000
 
@@ -65,9 +65,10 @@ def thresholds(documents: DataFrame, sources: DataFrame) -> DataFrame:
     plan = sources.withColumn("repeats", F.when(F.col("source_size") > 0, whole).otherwise(0).cast("int"))
     plan = plan.withColumn("need", F.col("target") - F.col("repeats") * F.col("source_size")).withColumn("base", F.lit(0).cast("long"))
     plan = stored(plan, "budgets")
+    count = sources.count()
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         # The bucket in which a source's budget ends is the only one that is counted again.
-        b = _sent(plan.select("source", "base"), plan)
+        b = _sent(plan.select("source", "base"), count)
         inside = documents.join(b, same(documents, b)).drop(b.source)
         inside = inside.filter(F.shiftright(F.col("hash") - F.col("base"), shift + STEP_BITS) == 0) if shift < HASH_BITS - STEP_BITS else inside
         inside = inside.filter(F.col("hash") >= F.col("base"))
@@ -76,7 +77,7 @@ def thresholds(documents: DataFrame, sources: DataFrame) -> DataFrame:
         sums = sums.withColumn("before", F.sum("words").over(upto) - F.col("words"))
         p = plan.alias("p")
         h = sums.alias("h")
-        joined = h.join(_sent(p, plan), F.col("h.source").eqNullSafe(F.col("p.source")), "right").filter(F.col("h.bucket").isNull() | (F.col("h.before") <= F.col("p.need")))
+        joined = h.join(_sent(p, count), F.col("h.source").eqNullSafe(F.col("p.source")), "right").filter(F.col("h.bucket").isNull() | (F.col("h.before") <= F.col("p.need")))
         # The last bucket that begins within the budget.
         last = joined.groupBy("p.source").agg(
             F.first("p.source_size").alias("source_size"),
@@ -100,9 +101,9 @@ def thresholds(documents: DataFrame, sources: DataFrame) -> DataFrame:
     return plan.select("source", "source_size", "target", "repeats", (F.col("base") + nearer.cast("long")).alias("threshold"))
 
 
-def _sent(frame: DataFrame, counted: DataFrame) -> DataFrame:
-    """Marked for broadcast if the stored table ``counted`` has few rows; else left to adaptive skew splitting."""
-    return F.broadcast(frame) if counted.count() <= SENT_SOURCES else frame
+def _sent(frame: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has few rows; else left to adaptive skew splitting."""
+    return F.broadcast(frame) if rows <= SENT_SOURCES else frame
 
 
 def mix(documents: DataFrame, seed: str = "mix") -> DataFrame:
@@ -116,7 +117,7 @@ def mix(documents: DataFrame, seed: str = "mix") -> DataFrame:
     sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     # Documents without words change no sum.
     plan = stored(thresholds(sized.filter("size > 0").select("source", "size", "hash"), sources), "thresholds")
-    p = _sent(plan, plan)
+    p = _sent(plan, plan.count())
     times = F.col("repeats") + (F.col("hash") < F.col("threshold")).cast("int")
     return sized.join(p, sized.source.eqNullSafe(p.source)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.alias("repeats")
@@ -129,7 +130,7 @@ WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text
 s AS (SELECT source, sum(size)::DOUBLE AS s, 1 + (row_number() OVER (ORDER BY (source IS NULL), encode(source)) - 1) % 3 AS w FROM d GROUP BY source),
 o AS (SELECT *, coalesce(sum(3*s) OVER (ORDER BY 3*s/w, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
   sum(w) OVER (ORDER BY 3*s/w DESC, encode(source) DESC ROWS UNBOUNDED PRECEDING) AS open, sum(s) OVER () AS total FROM s),
-r AS (SELECT coalesce(min((total - held)/open) FILTER (WHERE (total - held)/open <= 3*s/w), max(3*s/w)) AS rate FROM o),
+r AS (SELECT coalesce(arg_min((total - held)/open, 3*s/w) FILTER (WHERE (total - held)/open <= 3*s/w), max(3*s/w)) AS rate FROM o),
 t AS (SELECT source, s, round(least(w*rate, 3*s), 6) AS target FROM s, r),
 p AS (SELECT source, s, target, CASE WHEN s>0 THEN least(floor(target/s),3) ELSE 0 END AS repeats FROM t),
 c AS (SELECT d.*, p.s, p.target, p.repeats, p.target - p.repeats*p.s AS need,
