@@ -96,12 +96,21 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(base, dtype=np.uint64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of concatenated texts, A-Z lower-cased: (row, 64-bit hash, start, end) of each."""
+#: Bytes of letters: A-Z, a-z and all of other scripts.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Words of concatenated texts, A-Z lower-cased: (row, 64-bit hash, start, end) of each.
+
+    ``letters`` tells which bytes belong to words. For each of ``prefixes`` an array follows with the hash of
+    that many bytes at the word's start; of shorter words it is that of the word.
+    """
     empty = np.zeros(0, np.int64)
     if not len(data):
-        return empty, empty.astype(np.uint64), empty, empty
-    inside = ~_IS_SPACE[data]
+        return (empty, empty.astype(np.uint64), empty, empty, *[empty.astype(np.uint64)] * len(prefixes))
+    inside = ~_IS_SPACE[data] if letters is None else letters[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     before = np.empty(len(data), bool)
@@ -109,7 +118,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | first[:-1]))
     if not len(starts):
-        return empty, empty.astype(np.uint64), empty, empty
+        return (empty, empty.astype(np.uint64), empty, empty, *[empty.astype(np.uint64)] * len(prefixes))
     last = np.empty(len(data), bool)
     last[-1] = True
     last[:-1] = ~inside[1:] | first[1:-1]
@@ -122,7 +131,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     value[~inside] = 0
     hashes = mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    return rows, hashes, starts, ends
+    some = [mix(np.add.reduceat(np.where(place < k, value, np.uint64(0)), starts) + np.minimum(ends - starts, k).astype(np.uint64)) for k in prefixes]
+    return (rows, hashes, starts, ends, *some)
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
