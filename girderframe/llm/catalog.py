@@ -1,8 +1,8 @@
 """All queries of this package."""
 
-from girderframe.llm import mixing, ngram_join, suffix_dedup, toxicity, url_filter, vector_neighbours
+from girderframe.llm import decontamination, mixing, ngram_join, suffix_dedup, toxicity, url_filter, vector_neighbours
 from girderframe.llm.common import Query
 
 __all__ = ["QUERIES", "Query"]
 
-QUERIES = {**url_filter.QUERIES, **mixing.QUERIES, **ngram_join.QUERIES, **suffix_dedup.QUERIES, **toxicity.QUERIES, **vector_neighbours.QUERIES}
+QUERIES = {**decontamination.QUERIES, **url_filter.QUERIES, **mixing.QUERIES, **ngram_join.QUERIES, **suffix_dedup.QUERIES, **toxicity.QUERIES, **vector_neighbours.QUERIES}
