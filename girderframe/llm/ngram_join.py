@@ -26,9 +26,9 @@ from girderframe.session import stored
 
 #: N-grams whose frequency is known when they are ordered; all others count as rare. The order has no
 #: influence on the result, only on the number of pairs that are looked at.
-ORDERED = 16_384
+ORDERED = 65_536
 #: Hashes that one count of frequent n-grams looks at, and repeats from which it reports one.
-CHUNK, REPEATS = 2_000_000, 3
+CHUNK, REPEATS = 2_000_000, 2
 
 
 def _document_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -123,17 +123,23 @@ def _full_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(whole, "doc_id long, grams array<long>")
 
 
-def _within_bounds(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, shared) of the first block that can still reach the overlap that their sizes ask for.
+def _early_enough(percent: int, na, nb, ia, ib):
+    """Whether a column at places ia and ib of two documents can be the first one that linked documents share."""
+    return (na - ia >= _needed(percent, na, nb)) & (nb - ib >= _needed(percent, na, nb))
+
+
+def _within_bounds(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose overlap in the first block can still grow to what their sizes ask for.
 
     Of the two, the one whose block ends first has met all it shares up to there, so only its other
     columns can add to the overlap.
     """
-    a = sizes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("last").alias("la"))
-    b = sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("last").alias("lb"))
-    rest = F.when(F.col("la") <= F.col("lb"), F.least(F.col("na") - F.col("pa"), F.col("nb"))).otherwise(F.least(F.col("nb") - F.col("pb"), F.col("na")))
+    a, b = (rows.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b")
-    return joined.filter(F.col("shared") + rest >= _needed(percent, F.col("na"), F.col("nb"))).select("a", "b")
+    shared = F.size(F.array_intersect("block_a", "block_b"))
+    first_ends = F.element_at("block_a", -1) <= F.element_at("block_b", -1)
+    rest = F.when(first_ends, F.col("na") - F.size("block_a")).otherwise(F.col("nb") - F.size("block_b"))
+    return joined.filter(shared + rest >= _needed(percent, F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _linked(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -166,29 +172,26 @@ def ngram_components(documents: DataFrame, size: int = 4, percent: int = 85) ->
     same = ["n", "s1", "s2"]
     reps = stored(blocks.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "representatives")
     rows = blocks.join(reps.select("rep"), blocks.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    rows = stored(rows.select(F.col("doc_id").alias("rep"), "n", F.size("block").cast("long").alias("p"), F.element_at("block", -1).alias("last"), "block"), "rows")
-    cells = rows.select("rep", "n", F.explode("block").alias("column"))
-    firsts = cells.groupBy("column").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("count")).filter("count > 1").select("column", "first")
+    rows = stored(rows.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "block"), "rows")
+    cells = rows.select("rep", "n", F.posexplode("block").alias("at", "column"))
+    firsts = cells.groupBy("column").agg(F.min(F.struct("rep", "n", "at")).alias("first"), F.count(F.lit(1)).alias("count")).filter("count > 1").select("column", "first")
     shared = stored(cells.join(firsts, "column"), "shared")
-    sizes = rows.drop("block")
 
-    stars = shared.filter("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = stored(stars, "stars")
-    near = _linked(documents, _within_bounds(stars, sizes, percent), size, percent)
+    stars = shared.filter((F.col("rep") != F.col("first.rep")) & _early_enough(percent, F.col("first.n"), F.col("n"), F.col("first.at"), F.col("at")))
+    stars = stored(stars.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    near = _linked(documents, _within_bounds(stars, rows, percent), size, percent)
 
     # Columns whose documents lie in several classes are multiplied across these.
     labels = stored(component_labels(near), "labels")
-    placed = shared.join(labels.withColumnRenamed("object_id", "rep"), "rep", "left").select("column", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    placed = shared.join(labels.withColumnRenamed("object_id", "rep"), "rep", "left").select("column", "rep", "n", "at", F.coalesce("label", "rep").alias("label"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("column").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("column")
     open_ = stored(placed.join(mixed, "column", "left_semi"), "open")
-    a = open_.select("column", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = open_.select("column", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    across = a.join(b, "column").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
-    across = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    far = _linked(documents, _within_bounds(across, sizes, percent), size, percent)
+    a, b = (open_.select("column", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+    early = _early_enough(percent, F.col("na"), F.col("nb"), F.col("at_a"), F.col("at_b"))
+    across = a.join(b, (a.column == b.column) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & early).select("a", "b").distinct()
+    across = across.join(stars, ["a", "b"], "left_anti")
+    far = _linked(documents, _within_bounds(across, rows, percent), size, percent)
 
     labels = stored(component_labels(near.unionByName(far)), "labels")
     of_rep = reps.join(labels.withColumnRenamed("object_id", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
