@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: White space that ends a word: blank and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step works on at most, but for one longer text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)

@@ -26,11 +26,11 @@ MIN_BYTES = 100
 #: Bytes of an anchor.
 PIECE = 32
 #: Windows of one text that are looked at together; longer texts continue in the next stretch.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Different contexts of one anchor up to which they are sorted in one task. More of them are dealt out by window.
 IN_ONE_TASK = 1_000
 #: Bytes of contexts that one suffix array holds, about.
-ARRAY_BYTES = 1 << 19
+ARRAY_BYTES = 1 << 17
 
 _U = np.uint64
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
