@@ -1,8 +1,8 @@
 """All queries of this package."""
 
-from girderframe.llm import decontamination, html_text, mixing, ngram_join, pii, suffix_dedup, toxicity, url_filter, vector_neighbours
+from girderframe.llm import decontamination, html_text, mixing, ngram_join, pii, quality_model, suffix_dedup, toxicity, url_filter, vector_neighbours
 from girderframe.llm.common import Query
 
 __all__ = ["QUERIES", "Query"]
 
-QUERIES = {**decontamination.QUERIES, **html_text.QUERIES, **url_filter.QUERIES, **mixing.QUERIES, **ngram_join.QUERIES, **pii.QUERIES, **suffix_dedup.QUERIES, **toxicity.QUERIES, **vector_neighbours.QUERIES}
+QUERIES = {**decontamination.QUERIES, **html_text.QUERIES, **url_filter.QUERIES, **mixing.QUERIES, **ngram_join.QUERIES, **pii.QUERIES, **quality_model.QUERIES, **suffix_dedup.QUERIES, **toxicity.QUERIES, **vector_neighbours.QUERIES}
