@@ -226,4 +226,10 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(search, _FOUND)
 
 
+def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents``, with all their columns, in which no item leaked."""
+    found = leaks(documents, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    return documents.join(found, F.col("doc_id") == F.col("_leaked"), "left_anti")
+
+
 QUERIES = {"op9_benchmark_decontamination": Query(lambda spark, folder: leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")))}

@@ -106,21 +106,35 @@ def _sent(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= SENT_SOURCES else frame
 
 
+def _planned(documents: DataFrame, seed: str) -> DataFrame:
+    """(source, source_size, target, repeats, threshold) of all sources of ``documents``."""
+    sized = stored(documents.select("source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), seed).alias("hash")), "sizes")
+    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    # Documents without words change no sum.
+    return stored(thresholds(sized.filter("size > 0"), sources), "thresholds")
+
+
+def with_repeats(documents: DataFrame, seed: str = "mix") -> DataFrame:
+    """All rows and columns of ``documents`` with ``repeats``, how often the mix takes them, and source_size and target of their source.
+
+    Columns of ``documents`` that are called so are replaced.
+    """
+    plan = _planned(documents, seed)
+    p = _sent(plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("repeats").alias("_times"), F.col("threshold").alias("_below")), plan.count())
+    rows = documents.drop("source_size", "target", "repeats")
+    times = F.col("_times") + (document_hash(F.col("doc_id"), seed) < F.col("_below")).cast("int")
+    return rows.join(p, rows.source.eqNullSafe(p["_source"])).withColumn("repeats", times).drop("_source", "_times", "_below")
+
+
 def mix(documents: DataFrame, seed: str = "mix") -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target`` of its source and ``taken`` words.
 
     Null and empty texts have size 0 and are taken with 0 words; a null source is a source of its own.
     Rows that repeat an id share one hash and are taken or left together. An empty table gives none.
     """
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), seed).alias("hash"))
-    sized = stored(sized, "sizes")
-    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    # Documents without words change no sum.
-    plan = stored(thresholds(sized.filter("size > 0").select("source", "size", "hash"), sources), "thresholds")
-    p = _sent(plan, plan.count())
-    times = F.col("repeats") + (F.col("hash") < F.col("threshold")).cast("int")
-    return sized.join(p, sized.source.eqNullSafe(p.source)).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.alias("repeats")
+    size = word_count(F.col("text"))
+    return with_repeats(documents.select("doc_id", "source", "text"), seed).select(
+        "doc_id", size.alias("size"), "source_size", "target", (size * F.col("repeats")).cast("long").alias("taken"), "repeats"
     )
 
 

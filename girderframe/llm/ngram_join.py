@@ -199,4 +199,15 @@ def ngram_components(documents: DataFrame, size: int = 4, percent: int = 85) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose id is the smallest of their class; one row for an id.
+
+    Rows without an id have no class and stay.
+    """
+    classes = ngram_components(documents, size, percent)
+    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    first = documents.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(documents.filter("doc_id IS NULL"))
+
+
 QUERIES = {"op8_ngram_jaccard_join": Query(lambda spark, folder: ngram_components(table(spark, folder, "documents")))}

@@ -178,4 +178,20 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return score(documents, fit(documents, labels))
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose score stays below the threshold."""
+    model = fit(documents, labels)
+    terms, w0, w, v = model.terms, model.w0, model.w, model.v
+    columns = documents.columns
+
+    def keep(parts):
+        machine = Model(terms, w0, w, v)
+        for batch in parts:
+            fine = [_sigmoid(machine.raw(*_found(terms, r, t), end - first)) < threshold for first, end, r, t in _terms(batch)]
+            if fine:
+                yield batch.filter(pa.array(np.concatenate(fine)))
+
+    return documents.mapInArrow(keep, documents.schema).select(*columns)
+
+
 QUERIES = {"op2_toxicity": Query(lambda spark, folder: toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")))}
