@@ -32,11 +32,11 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ["ba", "dor", "fel", "gan", "hol", "jen", "kas", "lin", "mer", "nov", "pel", "ros", "sten", "tal", "vin", "wes"], "cyrillic": ["ба", "дор", "фел", "ган", "кас", "лин", "мер", "нов"]}
 
-_TITLE = rf"(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})"
+_TITLE = rf"(?=[MHSDFPГ])(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})"
 #: Patterns by kind, in order of precedence.
 KINDS = {
-    "email": r"[\p{L}0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9_\-./+]{8,}",
+    "email": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
+    "secret": r"(?<=[=:\s\"'])(?<=[=:][\s\"']{0,4})(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9_\-./+]{8,}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "hex": r"\b(?=[a-f]*\d)[0-9a-f]{32,64}\b",
@@ -48,7 +48,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every entity contains; other texts are not searched.
-QUICK = rf"[0-9@]|(?:password|passwd|pwd|secret|token|api_key|apikey)\s{{0,3}}[=:]|{_TITLE}\.? \p{{Lu}}"
+QUICK = rf"[0-9@]|[=:](?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{{0,3}}[=:])|{_TITLE}\.? \p{{Lu}}"
 
 
 def entities(text: Column) -> Column:
