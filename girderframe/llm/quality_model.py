@@ -126,7 +126,7 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     good, bad = (votes == GOOD).sum(1), (votes == BAD).sum(1)
     p = np.where(bad > 0, 0.15 * good / np.maximum(good + bad, 1), 0.95)
     model = LabelModel(0.8, np.full((votes.shape[1], 2, 3), 1 / 3))
-    for _ in range(rounds):
+    for _ in range(rounds if len(votes) else 0):
         chances = np.empty((votes.shape[1], 2, 3))
         for c, weight in ((GOOD, counts * p), (BAD, counts * (1 - p))):
             for v in range(3):
