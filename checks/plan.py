@@ -83,7 +83,7 @@ def generic(fx):
     line = F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, F.lit("x,cut off")))
     rows = fx("supplier").select(F.col("s_suppkey").alias("n"), line.alias("line"))
     head = fx.spark.createDataFrame([(-1, ",name,name,name")], "n bigint, line string")
-    writers.write_lines(head.unionByName(rows).coalesce(1), ["n"], "line", path)
+    writers.write_lines(head.unionByName(rows), ["n"], "line", path)
     return schedule_csv.read_table(fx.spark, path)
 
 

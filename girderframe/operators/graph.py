@@ -10,7 +10,6 @@ from girderframe.functions.text import is_empty
 from girderframe.operators.numbering import global_row_number, one_row
 from girderframe.session import stored, stored_counting, stored_if_any
 
-MAX_ROUNDS = 64
 # Pointers are followed further while more than one in this many still moved.
 FEW_MOVED = 20
 
@@ -28,8 +27,6 @@ def component_labels(edges: DataFrame, nodes: DataFrame | None = None, source: s
     pairs = edges.filter(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
     renames: list[DataFrame] = []
     while (left := stored_if_any(pairs, "pairs")) is not None:
-        if len(renames) >= MAX_ROUNDS:
-            raise RuntimeError("component search did not settle")
         # The smaller end of every edge is u, so only v can hook downwards.
         hooks = left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
         rename = _followed(hooks)

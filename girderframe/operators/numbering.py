@@ -1,11 +1,11 @@
-"""Global row numbers and oversized groups, without a single-task window."""
+"""Global row numbers without a single-task window."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girderframe.session import stored, stored_if_any
+from girderframe.session import stored
 
 _LOCAL_BITS = 33
 
@@ -35,16 +35,6 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no")
     )
 
 
-def oversized(df: DataFrame, key: str, limit: int, *aggregates: Column) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, with their ``rows`` and extra aggregates.
-
-    Counts are combined before the shuffle. ``None`` when no key is that large, so the
-    caller can leave the splitting out of its plan.
-    """
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), *aggregates).filter(F.col("rows") > limit)
-    return stored_if_any(counted, "oversized")
-
-
 def one_row(*frames: DataFrame) -> DataFrame:
     """Put one-row frames with different columns side by side, without a join."""
     rows = frames[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girderframe.functions import formats
 from girderframe.functions.text import any_contains_ci, contains_ci, is_empty
-from girderframe.operators.numbering import global_row_number, oversized
+from girderframe.operators.numbering import global_row_number
 from girderframe.schema import EMPTY_GUID
 
 IDENTITY = ["parent_id", "level", "display_name", "sys_path"]
@@ -15,7 +15,6 @@ DETAILS = [
     "category", "property_name", "property_value", "data_type", "raw_value",
     "numeric_value", "unit", "rw_status", "is_selected",
 ]
-MAX_PROPERTIES_PER_ROW = 100_000
 
 
 def _text_filters(name: str | None, value: str | None) -> Column:
@@ -137,39 +136,34 @@ def in_window(geometry: DataFrame, min_x: float, min_y: float, max_x: float, max
     )
 
 
-def group_objects(df: DataFrame, max_rows: int = MAX_PROPERTIES_PER_ROW, extras: dict[str, Column] | None = None) -> DataFrame:
-    """One row per object with its property array, in extraction order.
+def group_objects(df: DataFrame, extras: dict[str, Column] | None = None) -> DataFrame:
+    """One row per object with its property array in extraction order, at any size.
 
-    An object with more than ``max_rows`` properties continues on further rows numbered
-    by ``part`` (slices of its seq range), so no row or task holds an unbounded group.
-    ``extras`` are further aggregates over the whole object.
+    ``extras`` are further aggregates over the object. ``property_chunks`` gives the same
+    properties as a long table for objects too large for one row.
     """
     extras = extras or {}
     identity = [c for c in IDENTITY if c in df.columns]
     details = [c for c in DETAILS if c in df.columns]
-    entry = F.struct("seq", *details)
-    whole = {"_identity": F.min_by(F.struct(*identity), "seq"), **extras}
-    large = oversized(
-        df, "object_id", max_rows, F.min("seq").alias("_from"), F.max("seq").alias("_to"),
-        *[c.alias(f"_whole_{n}") for n, c in whole.items()],
-    )
-    keys = ["object_id"]
-    if large is not None:
-        share = (F.col("seq") - F.col("_from")) / (F.col("_to") - F.col("_from") + 1)
-        part = F.floor(share * F.ceil(F.col("rows") / max_rows)).cast("int")
-        df = df.join(large, "object_id", "left").withColumn("part", F.coalesce(part, F.lit(0)))
-        whole = {n: F.coalesce(F.any_value(f"_whole_{n}"), c) for n, c in whole.items()}
-        keys = ["object_id", "part"]
-    grouped = df.groupBy(*keys).agg(
-        *[c.alias(n) for n, c in whole.items()],
-        F.array_sort(F.collect_list(entry)).alias("properties"),
+    grouped = df.groupBy("object_id").agg(
+        F.min_by(F.struct(*identity), "seq").alias("_identity"),
+        *[c.alias(n) for n, c in extras.items()],
+        F.array_sort(F.collect_list(F.struct("seq", *details))).alias("properties"),
         F.array_sort(F.collect_set(F.nullif(F.col("category"), F.lit("")))).alias("categories"),
     )
-    if large is None:
-        grouped = grouped.withColumn("part", F.lit(0))
-    return grouped.select(
-        "object_id", "part", "_identity.*", "properties", "categories", F.size("properties").alias("property_count"), *extras
-    )
+    return grouped.select("object_id", "_identity.*", "properties", "categories", F.size("properties").alias("property_count"), *extras)
+
+
+def property_chunks(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """(object_id, chunk, properties): the properties of every object in arrays of about ``rows``.
+
+    Chunks are even slices by a hash of the row, however uneven ``seq`` is; inside a chunk the
+    properties are in extraction order. Counts are combined before the shuffle.
+    """
+    details = [c for c in DETAILS if c in df.columns]
+    counts = df.groupBy("object_id").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_chunks"))
+    placed = df.join(counts, "object_id").withColumn("chunk", F.pmod(F.xxhash64("seq", *details), F.col("_chunks")).cast("int"))
+    return placed.groupBy("object_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", *details))).alias("properties"))
 
 
 def ungroup(groups: DataFrame) -> DataFrame:

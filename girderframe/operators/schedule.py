@@ -96,7 +96,9 @@ def match(
     chosen = index.filter("not _fallback").select(
         F.col("_key").alias("_k1"), F.col("_object").alias("_o1"), F.col("_hits").alias("_h1")
     )
-    joined = schedule.withColumn("_k1", key).join(chosen, "_k1", "left")
+    # Blank ids match nothing and do not meet under one key.
+    blank = is_empty(F.col("sync_id"))
+    joined = schedule.filter(~blank).withColumn("_k1", key).join(chosen, "_k1", "left")
     found, hits, rank = F.col("_o1"), F.col("_h1"), F.when(F.col("_o1").isNotNull(), F.lit(0))
     if fallback:
         others = index.filter("_fallback").select(
@@ -104,10 +106,10 @@ def match(
         )
         joined = joined.withColumn("_k2", F.col("sync_id")).join(others, "_k2", "left")
         found, hits, rank = F.coalesce("_o1", "_o2"), F.coalesce("_h1", "_h2"), F.coalesce(rank, F.col("_r2"))
+    joined = joined.unionByName(schedule.filter(blank), allowMissingColumns=True)
     label = F
     for i, (category, name) in enumerate(pairs):
         label = label.when(rank == i, F.lit(f"{category}.{name}"))
-    blank = is_empty(F.col("sync_id"))
     return joined.withColumns(
         {
             "matched_object_id": F.when(~blank, found),
@@ -126,7 +128,10 @@ def match(
 def match_direct(schedule: DataFrame, objects: DataFrame) -> DataFrame:
     """Match sync ids that are GUIDs of existing objects."""
     known = objects.select(F.col("object_id").alias("_guid")).distinct().withColumn("_hit", F.lit(True))
-    joined = schedule.withColumn("_guid", canonical_guid(F.col("sync_id"))).join(known, "_guid", "left")
+    marked = schedule.withColumn("_guid", canonical_guid(F.col("sync_id")))
+    # Texts that are no GUID match nothing and do not meet under one key.
+    joined = marked.filter("_guid IS NOT NULL").join(known, "_guid", "left")
+    joined = joined.unionByName(marked.filter("_guid IS NULL"), allowMissingColumns=True)
     hit = F.col("_hit").isNotNull()
     return joined.withColumns(
         {

@@ -11,7 +11,8 @@ from girderframe.operators.numbering import one_row
 from girderframe.schema import EMPTY_GUID, PATH_SEPARATOR
 from girderframe.session import stored_if_any
 
-MAX_DEPTH = 1000
+# Levels from which a walk looks whether the parent links form a cycle.
+CYCLE_TEST = 100
 
 
 def is_root_parent(parent: Column) -> Column:
@@ -48,10 +49,12 @@ def walk(
     joined = F.when(above == "", name).otherwise(F.concat(above, F.lit(separator), name))
     path = F.when(name == "", above).otherwise(joined) if skip_empty_names else joined
     visited: list[DataFrame] = []
+    count = None
     while (table := stored_if_any(level, "tree")) is not None:
         level = table
         visited.append(level)
-        if len(visited) > MAX_DEPTH:
+        # No path without a cycle is longer than there are nodes; they are counted once the walk is deep.
+        if len(visited) >= CYCLE_TEST and len(visited) > (count := count or nodes.count()):
             raise ValueError("the parent links form a cycle below the start nodes")
         parents = level.select(
             F.col("object_id").alias("parent_id"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girderframe.functions.boxes import Box
 from girderframe.functions.display import with_parsed
-from girderframe.operators.props import MAX_PROPERTIES_PER_ROW, group_objects, properties_json
+from girderframe.operators.props import group_objects, properties_json
 from girderframe.schema import BOX_COLUMNS, EMPTY_GUID, SCHEMA_VERSION
 
 # Item properties that name the category of an object.
@@ -51,21 +51,19 @@ def object_categories(df: DataFrame) -> DataFrame:
     return df.groupBy("object_id").agg(object_category().alias("object_category"))
 
 
-def merge(
-    properties: DataFrame, geometry: DataFrame, with_json: bool = True, max_rows: int = MAX_PROPERTIES_PER_ROW
-) -> DataFrame:
+def merge(properties: DataFrame, geometry: DataFrame, with_json: bool = True) -> DataFrame:
     """Full outer merge of property rows and boxes.
 
     Objects with empty ids are left out. A box without properties keeps its name, or
-    ``Unknown``. A zero-volume box counts as no box, but keeps its centroid. Objects with
-    more than ``max_rows`` properties continue on further rows, numbered by ``part``.
+    ``Unknown``. A zero-volume box counts as no box, but keeps its centroid. There is
+    one row for each object, whatever the number of its properties.
     """
     named = ~F.col("object_id").isin("", EMPTY_GUID)
     rows = properties.filter(named)
     if with_json and "raw_value" not in rows.columns:
         rows = with_parsed(rows)
     if with_json:
-        groups = group_objects(rows, max_rows, {"object_category": object_category()}).withColumn(
+        groups = group_objects(rows, {"object_category": object_category()}).withColumn(
             "properties_json", properties_json(F.col("properties"))
         )
     else:
@@ -77,7 +75,7 @@ def merge(
                 F.count(F.lit(1)).alias("property_count"),
                 F.min_by(F.struct(*identity), "seq").alias("_i"),
             )
-            .select("object_id", F.lit(0).alias("part"), "_i.*", "object_category", "property_count")
+            .select("object_id", "_i.*", "object_category", "property_count")
         )
     groups = groups.withColumn("_known", F.lit(True))
     optional = [c for c in ("display_name", *MESH_DEFAULTS) if c in geometry.columns]
@@ -102,7 +100,6 @@ def merge(
     columns = {
         "schema_version": F.lit(SCHEMA_VERSION),
         "object_id": F.col("object_id"),
-        "part": F.coalesce("part", F.lit(0)),
         "parent_id": F.coalesce("parent_id", F.lit("")),
         "level": F.coalesce("level", F.lit(0)),
         "display_name": F.when(known, F.coalesce(own_name, F.lit(""))).otherwise(F.coalesce(box_name, F.lit("Unknown"))),

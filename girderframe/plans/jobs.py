@@ -64,6 +64,12 @@ def full_export(
     }
 
 
+# Codes of findings.
+DATA_WARNING, LOW_MATCH_RATE, NO_ROWS, BAD_OPTION = 100, 202, 301, 600
+# Errors whose messages a stopped run lists; all of them are in its findings.
+SHOWN_ERRORS = 20
+
+
 @dataclass
 class ScheduleRun:
     """Outcome of a schedule job: frames by name, and why it stopped early, if it did."""
@@ -78,15 +84,15 @@ def pre_checks(schedule: DataFrame, options: ScheduleOptions) -> DataFrame:
     """Findings (code, severity, message, item) before a run: options, counts, duplicates, dates."""
     spark = schedule.sparkSession
     schema = "code int, severity string, message string, item string"
-    out = spark.createDataFrame([(600, "error", m, "") for m in options.errors()], schema)
+    out = spark.createDataFrame([(BAD_OPTION, "error", m, "") for m in options.errors()], schema)
     totals = sched.date_checks(schedule)
-    empty = totals.filter("total = 0").select(F.lit(300 + 1).alias("code"), F.lit("error").alias("severity"), F.lit("no valid schedule rows").alias("message"), F.lit("").alias("item"))
+    empty = totals.filter("total = 0").select(F.lit(NO_ROWS).alias("code"), F.lit("error").alias("severity"), F.lit("no valid schedule rows").alias("message"), F.lit("").alias("item"))
     late = totals.filter("start_after_end > 0").select(
-        F.lit(100).alias("code"), F.lit("warning").alias("severity"),
+        F.lit(DATA_WARNING).alias("code"), F.lit("warning").alias("severity"),
         F.concat(F.lit("start after end: "), F.col("start_after_end").cast("string")).alias("message"), F.lit("").alias("item"),
     )
     doubled = sched.duplicate_sync_ids(schedule).select(
-        F.lit(100).alias("code"), F.lit("warning").alias("severity"),
+        F.lit(DATA_WARNING).alias("code"), F.lit("warning").alias("severity"),
         F.concat(F.lit("duplicate sync id, rows: "), F.col("n").cast("string")).alias("message"), F.col("sync_id").alias("item"),
     )
     return out.unionByName(empty).unionByName(late).unionByName(doubled).unionByName(check_schedule(schedule))
@@ -104,17 +110,17 @@ def post_checks(match_totals: DataFrame, write_counts: DataFrame | None, task_to
         return F.concat(F.lit(f"{label}: "), F.col(column).cast("string"))
 
     out = note(
-        match_totals, F.col("match_rate") < options.min_match_rate, 202, "warning",
+        match_totals, F.col("match_rate") < options.min_match_rate, LOW_MATCH_RATE, "warning",
         F.concat(F.lit("match rate below target: "), F.format_string("%.1f%%", "match_rate")),
     ).unionByName(note(match_totals, F.col("not_found") > 0, 0, "info", count_text("not matched", "not_found")))
     if write_counts is not None:
         rate = F.coalesce(F.try_divide(F.col("succeeded") * 100.0, F.col("total")), F.lit(0.0))
-        out = out.unionByName(note(write_counts, F.col("failed") > 0, 100, "warning", count_text("property rows failed", "failed")))
+        out = out.unionByName(note(write_counts, F.col("failed") > 0, DATA_WARNING, "warning", count_text("property rows failed", "failed")))
         out = out.unionByName(
             note(write_counts, F.lit(True), 0, "info", F.concat(F.lit("overall success: "), F.format_string("%.1f%%", rate)))
         )
     if task_totals is not None:
-        out = out.unionByName(note(task_totals, F.col("unlinked") > 0, 100, "warning", count_text("tasks without objects", "unlinked")))
+        out = out.unionByName(note(task_totals, F.col("unlinked") > 0, DATA_WARNING, "warning", count_text("tasks without objects", "unlinked")))
     return out
 
 
@@ -134,10 +140,14 @@ def schedule_job(
     if options.pre_checks:
         findings = pre_checks(schedule, options)
         run.frames["pre_checks"] = findings
-        errors = findings.filter("severity = 'error'").limit(20).collect()
-        if errors:
+        errors = findings.filter("severity = 'error'")
+        found = errors.count()
+        if found:
             run.success, run.stopped_at = False, "pre_checks"
-            run.messages = [r["message"] for r in errors]
+            shown = errors.orderBy("code", "item", "message").limit(SHOWN_ERRORS).collect()
+            run.messages = [r["message"] for r in shown]
+            if found > len(shown):
+                run.messages.append(f"and {found - len(shown)} more, see pre_checks")
             return run
     matched = sched.match_direct(schedule, objects) if direct else sched.match(schedule, properties, options)
     matched = stored(matched, "matched")

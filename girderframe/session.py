@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +42,31 @@ def work_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
     return folder
 
 
+# Folders of the open runs, innermost last.
+_RUNS: list[str] = []
+
+
+@contextlib.contextmanager
+def run_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are removed at its end, so results must be used up before."""
+    run = f"run-{uuid.uuid4().hex}"
+    _RUNS.append(run)
+    try:
+        yield
+    finally:
+        _RUNS.remove(run)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/girderframe/{run}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -53,7 +74,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     size of the table, so a later join broadcasts it only when it is small.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/girderframe/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/girderframe/{_RUNS[-1] if _RUNS else spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

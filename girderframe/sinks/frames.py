@@ -33,7 +33,6 @@ VALIDATION = {
     "AdjacencyCount": "adjacency_count", "GroupId": "group_code", "GlbExists": "file_exists",
     "GlbSizeBytes": "file_bytes", "Verdict": "verdict",
 }
-MEMBERS_PER_ROW = 10_000
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -134,18 +133,12 @@ def adjacency(named_edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_groups(stats: DataFrame, groups: DataFrame, members_per_row: int = MEMBERS_PER_ROW) -> DataFrame:
-    """Groups in 15 columns and ``MemberPart``.
+def connected_groups(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups in 15 columns, one row each. Member ids are sorted and joined with ``;``.
 
-    Member ids are sorted and joined with ``;``. A group with more members than fit in a
-    row continues on further rows, each with its own part of the members.
+    The long table of members is ``groups`` itself.
     """
-    parts = F.ceil(F.col("element_count") / members_per_row)
-    members = (
-        groups.withColumn("part", F.pmod(F.xxhash64("object_id"), parts))
-        .groupBy("group_id", "part")
-        .agg(F.array_join(F.array_sort(F.collect_list("object_id")), ";").alias("members"))
-    )
+    members = groups.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_list("object_id")), ";").alias("members"))
 
     def four(name: str) -> Column:
         return fixed(F.coalesce(F.col(name), F.lit(0.0)), 4)
@@ -159,7 +152,6 @@ def connected_groups(stats: DataFrame, groups: DataFrame, members_per_row: int =
         *[four(c).alias(f"BBox{h}") for c, h in zip(BOX_COLUMNS, BOX_HEADERS)],
         *[four(f"centroid_{x}").alias(f"Centroid{x.upper()}") for x in "xyz"],
         F.col("members").alias("MemberObjectIds"),
-        F.col("part").alias("MemberPart"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girderframe.operators.tree import MAX_DEPTH, is_root_parent, walk
+from girderframe.operators.tree import is_root_parent, walk
 from girderframe.session import stored_if_any
 
 # Sorts before every character of a key; the tilde sorts after the digits a key starts with.
@@ -50,11 +50,17 @@ def tree_nodes(records: DataFrame, tree: DataFrame | None = None) -> DataFrame:
 
 
 def nearest_emitted(orphans: DataFrame, tree: DataFrame, known: DataFrame) -> DataFrame:
-    """(object_id, _ancestor): the nearest ancestor with rows; climbs one level per round."""
+    """(object_id, _ancestor): the nearest ancestor with rows; climbs one level per round.
+
+    A chain without a cycle is no longer than the tree has nodes; a longer climb raises.
+    """
     up = tree.select(F.col("object_id").alias("parent_id"), F.col("parent_id").alias("_above"))
     found: list[DataFrame] = []
-    climbing = orphans
-    while (table := stored_if_any(climbing, "orphans")) is not None and len(found) < MAX_DEPTH:
+    climbing, nodes = orphans, None
+    while (table := stored_if_any(climbing, "orphans")) is not None:
+        # The nodes are counted only once a chain is unusually long.
+        if len(found) >= 100 and len(found) > (nodes := nodes or tree.count()):
+            raise ValueError("the parent links above an orphan form a cycle")
         above = table.join(up, "parent_id").filter(~is_root_parent(F.col("_above"))).select(
             "object_id", F.col("_above").alias("parent_id")
         )

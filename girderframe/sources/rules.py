@@ -149,8 +149,19 @@ def class_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "class string, superclass string")
 
 
+# Names in rule documents and here.
+WEIGHT_NAMES = {"level_match": "level", "category_match": "category", "name_similarity": "name", "sys_path_match": "path"}
+PATTERN_NAMES = {"areaName": "area_name", "unitName": "unit_name", "zoneName": "zone_name", "levelName": "level_name"}
+
+
 def load_rules(document: dict) -> dict:
-    """Rule tables from a parsed rule document; disabled rules are dropped."""
+    """Rule tables from a parsed rule document, in the form that their consumers take.
+
+    Disabled rules are dropped. Weights, score limit and depth that the document leaves out keep
+    their built-in values.
+    """
+    settings = document.get("advanced_settings", {})
+    weights = {WEIGHT_NAMES.get(k, k): float(v) for k, v in document.get("matching_weights", {}).items()}
 
     def enabled(section: str) -> list[dict]:
         return [r for r in document.get(section, []) if r.get("enabled", True)]
@@ -164,11 +175,13 @@ def load_rules(document: dict) -> dict:
             (bare(r["target_class"]), int(r.get("priority", 0)), list(r["keywords"]))
             for r in enabled("systempath_classification")
         ],
-        "area": {bare(r["property"]): r["pattern"] for r in enabled("area_extraction_patterns")},
+        "area": {PATTERN_NAMES.get(bare(r["property"]), bare(r["property"])): r["pattern"] for r in enabled("area_extraction_patterns")},
         "precedence": [
             (bare(r["predecessor_class"]), bare(r["successor_class"]), r["condition"], int(r.get("priority", 0)))
             for r in enabled("precedence_rules")
         ],
         "level_order": dict(document.get("level_order", {})),
-        "weights": dict(document.get("matching_weights", {})),
+        "weights": {**MATCH_WEIGHTS, **weights},
+        "min_score": float(settings.get("min_match_score", MIN_MATCH_SCORE)),
+        "max_depth": int(settings.get("max_inference_depth", MAX_INFERENCE_DEPTH)),
     }

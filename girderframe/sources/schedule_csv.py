@@ -58,21 +58,19 @@ def alias_table(strict: bool = False) -> dict[str, str]:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 or UTF-16 by byte order mark, UTF-8 by content, else EUC-KR; reads one file head."""
-    content = F.substring(F.col("content"), 1, 4096)
-    row = spark.read.format("binaryFile").load(path).select(content.alias("head")).limit(1).collect()
-    head = bytes(row[0]["head"]) if row else b""
+    """UTF-8 or UTF-16 by byte order mark, UTF-8 if all lines are valid UTF-8, else EUC-KR.
+
+    The lines of all files are tested where they lie; only the answer comes back.
+    """
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"))
+    first = lines.select(F.substring("line", 1, 2).alias("head")).limit(1).collect()
+    head = bytes(first[0]["head"] or b"") if first else b""
     if head.startswith(b"\xff\xfe"):
         return "UTF-16LE"
     if head.startswith(b"\xfe\xff"):
         return "UTF-16BE"
-    for cut in range(4):
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "EUC-KR"
+    bad = lines.filter(~F.is_valid_utf8(F.col("line").cast("string")))
+    return "UTF-8" if bad.isEmpty() else "EUC-KR"
 
 
 _BUILT_IN_ENCODINGS = {"ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "UTF-8"}
@@ -88,7 +86,8 @@ def header_cells(spark: SparkSession, path: str, encoding: str = "UTF-8") -> lis
     """Trimmed cells of the first non-blank line."""
     _allow_encoding(spark, encoding)
     reader = spark.read.options(**CSV_OPTIONS, encoding=encoding)
-    row = reader.csv(path).limit(1).collect()
+    # Of a folder, the first file by name that is not empty holds the header.
+    row = next((found for file in sorted(reader.csv(path).inputFiles()) if (found := reader.csv(file).limit(1).collect())), None)
     if not row:
         raise ScheduleFileError("the file is empty")
     cells = ["" if c is None else c.strip() for c in row[0]]
@@ -112,11 +111,21 @@ def table_columns(cells: list[str]) -> list[str]:
 
 
 def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Any CSV as text columns. Short rows are padded with NULL, long rows are cut."""
-    names = table_columns(header_cells(spark, path, encoding))
+    """Any CSV as text columns. Short rows are padded with NULL, long rows are cut.
+
+    Lines equal to the header are header lines, wherever they stand, so a folder may repeat the
+    header in every part file, or hold it in one of them.
+    """
+    cells = header_cells(spark, path, encoding)
+    names = table_columns(cells)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {**CSV_OPTIONS, "header": "true", "enforceSchema": "true", "encoding": encoding}
-    return spark.read.schema(schema).options(**options).csv(path)
+    options = {**CSV_OPTIONS, "header": "false", "enforceSchema": "true", "encoding": encoding}
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    is_header = F.lit(True)
+    for name, cell in zip(names, cells):
+        value = F.trim(F.ltrim(F.coalesce(F.col(f"`{name}`"), F.lit("")), F.lit("\ufeff")))
+        is_header = is_header & (value == F.lit(cell))
+    return rows.filter(~is_header)
 
 
 def read_schedule(spark: SparkSession, path: str, encoding: str = "UTF-8", strict_aliases: bool = False) -> DataFrame:

@@ -61,12 +61,12 @@ def test_overlapping_seeds_each_give_their_subtree(spark, model):
 
 def test_cycles_are_reported(spark):
     loop = nodes_of(spark, [("x", "y", "X", False, False), ("y", "x", "Y", False, False)])
-    before, tree.MAX_DEPTH = tree.MAX_DEPTH, 3
+    before, tree.CYCLE_TEST = tree.CYCLE_TEST, 1
     try:
         with pytest.raises(ValueError):
             tree.descendants(loop, spark.createDataFrame([("x",)], "object_id string"))
     finally:
-        tree.MAX_DEPTH = before
+        tree.CYCLE_TEST = before
 
 
 def test_containers_keep_their_place_but_emit_nothing(spark, model):
@@ -105,19 +105,20 @@ def test_pivot_never_cuts_columns(spark):
         props.pivot_wide(random_rows(spark, 3), max_columns=2)
 
 
-def test_large_objects_continue_on_further_rows(spark):
+def test_objects_of_any_size_are_one_row(spark):
     rows = random_rows(spark, 5, 300)
-    hot = rows.withColumn("object_id", F.when(F.col("seq") % 3 == 0, "hot").otherwise(F.col("object_id")))
-    groups = props.group_objects(hot, max_rows=60)
-    sizes = {r["object_id"]: (r["parts"], r["n"]) for r in groups.groupBy("object_id").agg(F.count("*").alias("parts"), F.sum("property_count").alias("n")).collect()}
-    assert sizes["hot"] == (2, 100)
-    assert all(parts == 1 for obj, (parts, _) in sizes.items() if obj != "hot")
-    ordered = [r for r in groups.filter("object_id = 'hot'").orderBy("part").collect()]
-    seqs = [p["seq"] for r in ordered for p in r["properties"]]
+    # Uneven seq: one row far away from the others.
+    hot = rows.withColumn("object_id", F.when(F.col("seq") % 3 == 0, "hot").otherwise(F.col("object_id"))).withColumn("seq", F.when(F.col("seq") == 0, 10**9).otherwise(F.col("seq")))
+    groups = props.group_objects(hot)
+    assert groups.count() == groups.select("object_id").distinct().count()
+    one = groups.filter("object_id = 'hot'").first()
+    assert one["property_count"] == 100 == len(one["properties"])
+    seqs = [p["seq"] for p in one["properties"]]
     assert seqs == sorted(seqs)
-    assert len({(r["display_name"], r["sys_path"]) for r in ordered}) == 1
     key = ["object_id", "category", "property_name", "property_value", "seq"]
     assert sorted(props.ungroup(groups).select(*key).collect()) == sorted(hot.select(*key).collect())
+    chunks = props.property_chunks(hot, 20).filter("object_id = 'hot'").collect()
+    assert len(chunks) == 5 and sum(len(c["properties"]) for c in chunks) == 100 and max(len(c["properties"]) for c in chunks) < 45
 
 
 def test_selection_joins_group_and_row_marks(spark):
@@ -156,14 +157,23 @@ def test_merge_rules(spark):
     assert json.loads(flat["properties_json"])[0]["numericValue"] is None
 
 
-def test_large_objects_keep_one_category_in_all_parts(spark):
+def test_large_objects_are_merged_to_one_row(spark):
     rows = random_rows(spark, 9, 200).withColumn("object_id", F.lit("hot")).unionByName(
         spark.createDataFrame([("hot", "", 1, "late", "p", "Item", "Type", "Walls", 500)], ROWS)
     )
     boxes = spark.createDataFrame([("hot", "Pipe", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1)], "object_id string, category string, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, seq bigint")
-    merged = unified.merge(rows, boxes, max_rows=50).collect()
-    assert len(merged) > 1 and sum(r["property_count"] for r in merged) == 201
-    assert {(r["object_category"], r["volume"]) for r in merged} == {("Walls", 1.0)}
+    merged = unified.merge(rows, boxes).collect()
+    assert [(r["property_count"], r["object_category"], r["volume"]) for r in merged] == [(201, "Walls", 1.0)]
+
+
+def test_deep_orphans_find_their_ancestor(spark):
+    from girderframe.sinks.nested import nearest_emitted
+
+    tree_rows = [("top", "")] + [(f"n{k}", "top" if k == 0 else f"n{k - 1}") for k in range(6)]
+    nodes = spark.createDataFrame(tree_rows, "object_id string, parent_id string")
+    known = spark.createDataFrame([("top", True)], "parent_id string, _has boolean")
+    orphans = spark.createDataFrame([("leaf", "n5")], "object_id string, parent_id string")
+    assert [tuple(r) for r in nearest_emitted(orphans, nodes, known).collect()] == [("leaf", "top")]
 
 
 def test_nested_json_is_one_tree(spark, tmp_path):

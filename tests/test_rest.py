@@ -128,12 +128,26 @@ def test_rules_from_a_document():
             "systempath_classification": [{"target_class": "x:Pipe", "keywords": ["p"], "priority": 3}],
             "precedence_rules": [{"predecessor_class": "*", "successor_class": "*", "condition": "always", "enabled": True}],
             "level_order": {"L": 1},
+            "area_extraction_patterns": [{"property": "x:areaName", "pattern": "(Q[0-9])"}],
+            "matching_weights": {"level_match": 0.4, "sys_path_match": 0.1},
+            "advanced_settings": {"min_match_score": 0.8, "max_inference_depth": 3},
         }
     )
+    assert made["area"] == {"area_name": "(Q[0-9])"} and made["weights"] == {"level": 0.4, "category": 0.25, "name": 0.25, "path": 0.1}
+    assert (made["min_score"], made["max_depth"]) == (0.8, 3)
     assert made["classification"] == [("Wall", ["w"])] and made["path"] == [("Pipe", 3, ["p"])]
     assert made["precedence"] == [("*", "*", "always", 0)] and made["level_order"] == {"L": 1}
 
 
+def test_loaded_rules_reach_their_consumers(spark, fx):
+    made = rules.load_rules({"matching_weights": {"level_match": 0.30, "category_match": 0.25, "name_similarity": 0.25, "sys_path_match": 0.20}, "advanced_settings": {"min_match_score": 0.7}, "area_extraction_patterns": [{"property": "x:areaName", "pattern": rules.AREA_PATTERNS["area_name"]}]})
+    plan, objects = fx("fx_score_schedule").limit(60), fx("fx_score_objects").limit(60)
+    loaded = precedence.scored_matches(plan, objects, made["weights"], made["min_score"])
+    assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, precedence.scored_matches(plan, objects).collect()))
+    df = spark.createDataFrame([("Plant > A3 > x",)], "p string")
+    assert df.select(classify.extract(F.col("p"), "area_name", made["area"])).first()[0] == "A3"
+
+
 def test_path_rules_prefer_priority_then_order(spark):
     df = spark.createDataFrame([("a > Structural Column > Beam",), ("x > Water > Tank",), ("Structure",), ("nothing",)], "p string")
     assert [r["c"] for r in df.select(classify.classify_path(F.col("p")).alias("c")).collect()] == ["Column", "Equipment", "StructuralElement", None]
@@ -176,17 +190,13 @@ def test_scored_match_equals_brute_force(spark, fx):
     assert {r["row_id"]: (r["object_id"], r["score"]) for r in got} == want and want
 
 
-def test_group_rows_continue_when_members_do_not_fit(spark, fx):
+def test_groups_of_any_size_are_one_row(spark, fx):
     space = jobs.spatial_job(fx("fx_geometry"), 2.0)
-    whole = frames.connected_groups(space["statistics"], space["groups"])
-    split = frames.connected_groups(space["statistics"], space["groups"], members_per_row=4)
-    assert whole.select("GroupId").distinct().count() == whole.count()
-    assert split.count() > whole.count()
-
-    def members(df):
-        return sorted(m for r in df.select("MemberObjectIds").collect() for m in r[0].split(";"))
-
-    assert members(split) == members(whole)
+    rows = frames.connected_groups(space["statistics"], space["groups"]).collect()
+    assert len({r["GroupId"] for r in rows}) == len(rows)
+    for r in rows:
+        members = r["MemberObjectIds"].split(";")
+        assert members == sorted(members) and len(members) == r["ElementCount"]
 
 
 def test_turtle_output_and_append(spark, fx, tmp_path):

@@ -68,6 +68,23 @@ def test_encodings(spark, tmp_path, encoding, name):
     assert (row["sync_id"], row["task_name"]) == ("a", "기초 공사")
 
 
+def test_encoding_is_judged_on_all_lines(spark, tmp_path):
+    late = "SyncID,Name\n" + "".join(f"{k},plain text\n" for k in range(2000)) + "last,기초 공사\n"
+    path = written(tmp_path, late, "euc-kr")
+    assert sc.detect_encoding(spark, path) == "EUC-KR"
+    assert sc.read_table(spark, path, "EUC-KR").filter("SyncID = 'last'").first()["Name"] == "기초 공사"
+
+
+def test_parts_may_lack_or_repeat_the_header(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("a,b\n1,2\n")
+    (folder / "part-1.csv").write_text("3,4\n5,6\n")
+    (folder / "part-2.csv").write_text("a,b\n7,8\n")
+    got = sorted(map(tuple, sc.read_table(spark, str(folder)).collect()))
+    assert got == [("1", "2"), ("3", "4"), ("5", "6"), ("7", "8")]
+
+
 def property_frame(spark, rows):
     full = [(o, "", 3, f"Part {o}", f"Site > {o}", c, n, v, v, i) for i, (o, c, n, v) in enumerate(rows)]
     return spark.createDataFrame(full, PROPERTIES)
