@@ -424,10 +424,10 @@ def test_quality(spark):
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(3)
     good = rng.random(20000) < 0.85
-    votes = np.where(rng.random((20000, 5)) < np.where(good[:, None], 0.995, 0.6), quality_model.GOOD, quality_model.BAD)
+    votes = np.where(rng.random((20000, 5)) < np.where(good[:, None], 0.998, 0.6), quality_model.GOOD, quality_model.BAD)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     model = quality_model.expectation_maximisation(patterns, counts.astype(float))
-    assert ((model.posterior(votes) > 0.5) == good).mean() > 0.93 and abs(model.prior - 0.85) < 0.1
+    assert ((model.posterior(votes) > 0.5) == good).mean() > 0.95 and abs(model.prior - 0.85) < 0.15
 
 
 def test_schema_of_ids(spark):
