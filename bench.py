@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from girderframe.functions.display import with_parsed  # noqa: E402
-from girderframe.operators import graph, props, quality, schedule, spatial, unified  # noqa: E402
+from girderframe.operators import graph, precedence, props, quality, schedule, spatial, tree, unified  # noqa: E402
 from girderframe.session import build_session, stored  # noqa: E402
 from girderframe.sources.fixtures import Fixtures  # noqa: E402
 
@@ -43,6 +43,8 @@ def main() -> None:
     geometry = stored(fx("fx_geometry"), "geometry")
     plan = stored(fx("fx_schedule"), "schedule")
     parsed = stored(with_parsed(records), "parsed")
+    nodes = stored(fx("fx_nodes"), "nodes")
+    plan_names, object_names = stored(fx("fx_score_schedule"), "plan_names"), stored(fx("fx_score_objects"), "object_names")
     edges = stored(spatial.adjacency(geometry, TOLERANCE), "edges")
 
     queries = {
@@ -53,6 +55,9 @@ def main() -> None:
         "connected_components": lambda: consume(graph.components(edges, geometry)),
         "schedule_match": lambda: consume(schedule.match(plan, parsed)),
         "quality_report": lambda: consume(quality.report(parsed)),
+        "tree_walk": lambda: consume(tree.walk(nodes)),
+        "five_way_filter": lambda: consume(props.filter_rows(records, level=3, path="Customer", category="Item", name="type", value="urgent")),
+        "scored_match": lambda: consume(precedence.scored_matches(plan_names, object_names)),
     }
     seconds = {}
     for name, run in queries.items():

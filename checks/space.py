@@ -106,10 +106,19 @@ def summary(fx):
 
 
 @query("S20_summary_lines", _COMPONENTS + """
-SELECT 1 AS line_no, 'Total relations: '||format('{:,}', count(*)) AS line FROM {fx_edges} UNION ALL SELECT 6, 'Total groups: '||format('{:,}', count(*)) FROM sizes""")
+SELECT 0 AS line_no, '--- Adjacency Relations ---' AS line UNION ALL SELECT 1, 'Total relations: '||format('{:,}', count(*)) FROM {fx_edges}
+UNION ALL SELECT 2, '  Overlap: '||format('{:,}', count(*)) FROM {fx_edges} WHERE relation='overlap'
+UNION ALL SELECT 3, '  Touch: '||format('{:,}', count(*)) FROM {fx_edges} WHERE relation='touch'
+UNION ALL SELECT 4, '  NearTouch: '||format('{:,}', count(*)) FROM {fx_edges} WHERE relation='neartouch'
+UNION ALL SELECT 5, '--- Connected Groups ---' UNION ALL SELECT 6, 'Total groups: '||format('{:,}', count(*)) FROM sizes
+UNION ALL SELECT 7, '  Total elements: '||format('{:,}', CAST(sum(element_count) AS BIGINT)) FROM sizes
+UNION ALL SELECT 8, '  Largest group: '||format('{:,}', max(element_count))||' elements' FROM sizes
+UNION ALL SELECT 9, '  Singleton groups: '||format('{:,}', count(*)) FROM sizes WHERE element_count=1
+UNION ALL SELECT 10, '  Multi-element groups: '||format('{:,}', count(*)) FROM sizes WHERE element_count>1
+UNION ALL SELECT 11, '--- Output Files ---' UNION ALL SELECT 12, '  adjacency.csv' UNION ALL SELECT 13, '  connected_groups.csv'
+UNION ALL SELECT 14, '  spatial_relationships.ttl' UNION ALL SELECT 15, '  spatial_summary.txt'""")
 def summary_lines(fx):
-    lines = frames.summary_lines(jobs.spatial_job(fx("fx_geometry"), TOLERANCE)["summary"])
-    return lines.filter("line_no in (1, 6)")
+    return frames.summary_lines(jobs.spatial_job(fx("fx_geometry"), TOLERANCE)["summary"])
 
 
 @query("L02_spatial_job_by_category", _COMPONENTS.replace("{fx_edges}", "{fx_category_edges}") + "SELECT object_id, group_id, element_count FROM members")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girderframe.functions.classify import level_order
+from girderframe.session import stored
 from girderframe.sources import rules as R
 
 
@@ -19,7 +20,9 @@ def superclass_members(classified: DataFrame) -> DataFrame:
 def class_nodes(classified: DataFrame, scope: str) -> DataFrame:
     """(class, key, objects) for one scope column: level_name, area_name or unit_name."""
     rows = classified.filter(F.col("class").isNotNull() & F.col(scope).isNotNull())
-    return rows.groupBy("class", F.col(scope).alias("key")).agg(F.count(F.lit(1)).alias("objects"))
+    # Rows that are counted already carry their number of objects.
+    objects = F.sum("objects") if "objects" in classified.columns else F.count(F.lit(1))
+    return rows.groupBy("class", F.col(scope).alias("key")).agg(objects.alias("objects"))
 
 
 def precedence_edges(classified: DataFrame, rules=None) -> DataFrame:
@@ -31,6 +34,9 @@ def precedence_edges(classified: DataFrame, rules=None) -> DataFrame:
     spark = classified.sparkSession
     table = R.precedence_table(spark, rules)
     scopes = {"same_level": "level_name", "same_area": "area_name", "same_unit": "unit_name"}
+    # One pass over the objects; all else reads the small counted table.
+    counted = classified.filter("class is not null").groupBy("class", *scopes.values()).agg(F.count(F.lit(1)).alias("objects"))
+    classified = stored(counted, "class_counts")
     out = None
     for condition, scope in scopes.items():
         nodes = class_nodes(classified, scope)
@@ -43,7 +49,7 @@ def precedence_edges(classified: DataFrame, rules=None) -> DataFrame:
         )
         out = edges if out is None else out.unionByName(edges)
     always = F.broadcast(table.filter("condition = 'always'"))
-    totals = classified.filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("objects"))
+    totals = classified.groupBy("class").agg(F.sum("objects").alias("objects"))
     before = totals.select(F.col("class").alias("pred_class"), F.col("objects").alias("pred_objects"))
     after = totals.select(F.col("class").alias("succ_class"), F.col("objects").alias("succ_objects"))
     everywhere = before.join(always, "pred_class").join(after, "succ_class").select(

@@ -286,11 +286,15 @@ def manifest_metadata(df: DataFrame, project: str, exported_at: str, generator:
     )
 
 
+# Files that the summary names.
+SUMMARY_FILES = ["adjacency.csv", "connected_groups.csv", "spatial_relationships.ttl", "spatial_summary.txt"]
+
+
 def summary_lines(summary: DataFrame) -> DataFrame:
     """Text lines of a one-row spatial summary."""
 
-    def line(label: str, column: str) -> Column:
-        return F.concat(F.lit(f"{label}: "), F.format_number(F.col(column), 0))
+    def line(label: str, column: str, after: str = "") -> Column:
+        return F.concat(F.lit(f"{label}: "), F.format_number(F.col(column), 0), F.lit(after))
 
     lines = F.array(
         F.lit("--- Adjacency Relations ---"),
@@ -301,9 +305,11 @@ def summary_lines(summary: DataFrame) -> DataFrame:
         F.lit("--- Connected Groups ---"),
         line("Total groups", "total_groups"),
         line("  Total elements", "total_elements"),
-        line("  Largest group", "largest_group"),
+        line("  Largest group", "largest_group", " elements"),
         line("  Singleton groups", "singleton_groups"),
         line("  Multi-element groups", "multi_groups"),
+        F.lit("--- Output Files ---"),
+        *[F.lit(f"  {name}") for name in SUMMARY_FILES],
     )
     return summary.select(F.posexplode(lines).alias("line_no", "line"))
 
