@@ -234,6 +234,14 @@ def test_main_text(spark):
     assert html_text.main_text(rows).count() == 8 and html_text.main_text(rows.limit(0)).count() == 0
 
 
+def test_roles_of_elements():
+    blocks = lambda body: html_text.page_blocks(f"<html><body class='no-sidebar'>{body}</body></html>")[1]
+    assert blocks("<article><div class='ad-free post'>text</div><div class='leftSidebar'>x</div><article class='comment'>c</article></article>") == [(True, "text")]
+    assert blocks("<main id=content><header><h1>t</h1></header><p class=notice>n<p>a<div role=search>s</div>b</main>") == [(True, "t"), (True, "a"), (True, "b")]
+    assert blocks("<!-- <p>no --><p>a<b>b</b> c<p>d</article>e<script>1<2</script") == [(False, "ab c"), (False, "d"), (False, "e")]
+    assert html_text.page_blocks("<p>1 < 2 &amp;&amp; 3 > 2</p>")[1] == [(False, "1 < 2 && 3 > 2")]
+
+
 def test_repeated_runs():
     page = lambda text, p: (tuple(text.split()), p, p)
     assert html_text.repeated_runs([page("a b c d e", 1), page("a b c d f", 2), page("x y z w", 1)], 4) == [4, 4, 0]
