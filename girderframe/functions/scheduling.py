@@ -18,6 +18,12 @@ TASK_STAGE_DEMOLISH_WORDS = ["demolish", "remove", "철거", "해체"]
 TASK_STAGE_TEMPORARY_WORDS = ["temp", "임시", "가설"]
 KOREAN_TASK_TYPES = {"Construct": "구성", "Demolish": "철거", "Temporary": "임시"}
 
+# English months, the first three letters and the rest.
+MONTHS = {
+    "jan": "uary", "feb": "ruary", "mar": "ch", "apr": "il", "may": "", "jun": "e", "jul": "y", "aug": "ust",
+    "sep": "tember", "oct": "ober", "nov": "ember", "dec": "ember",
+}
+
 DATE_MODES = ("planned_only", "actual_from_planned", "both_separate")
 
 
@@ -51,7 +57,33 @@ def parse_date(text: Column) -> Column:
         _timestamp(ty, tm, td, hh, mi, ss),
         _timestamp(cy, cm, cd),
     )
-    return F.when(~is_blank(text), F.coalesce(exact, text.try_cast("timestamp_ntz")))
+    return F.when(~is_blank(text), F.coalesce(exact, text.try_cast("timestamp_ntz"), _free_date(F.trim(text))))
+
+
+def _free_date(text: Column) -> Column:
+    """Timestamp from looser spellings: single digits, month names, a time with or without AM and PM."""
+    clock = r"(?:[ ,T]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?: ?([AaPp])[Mm])?)?$"
+
+    def found(pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
+        part = lambda i: F.nullif(F.regexp_extract(text, pattern + clock, i), F.lit(""))
+        names = F.create_map(*[F.lit(x) for n, name in enumerate(MONTHS, 1) for x in (name, str(n))])
+        # A name counts by its first three letters if the rest agrees with the full name.
+        full = F.create_map(*[F.lit(x) for name, rest in MONTHS.items() for x in (name, name + rest)])
+        short = F.substring(F.lower(part(month)), 1, 3)
+        known = F.startswith(F.try_element_at(full, short), F.lower(part(month)))
+        m = F.when(known, F.try_element_at(names, short)) if named else part(month)
+        hour = F.coalesce(part(4), F.lit("0")).try_cast("int")
+        half = F.lower(part(7))
+        hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+        return _timestamp(part(year), m, part(day), hour.cast("string"), F.coalesce(part(5), F.lit("0")), F.coalesce(part(6), F.lit("0")))
+
+    return F.coalesce(
+        found(r"^(\d{4})[-/. ]+(\d{1,2})[-/. ]+(\d{1,2})\.?", 1, 2, 3),
+        found(r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", 3, 1, 2),
+        found(r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", 3, 2, 1),
+        found(r"^(\d{1,2})[ \-]([A-Za-z]{3,9})\.?[ \-,]+(\d{4})", 3, 2, 1, named=True),
+        found(r"^([A-Za-z]{3,9})\.?[ \-](\d{1,2}),?[ \-]+(\d{4})", 3, 1, 2, named=True),
+    )
 
 
 def parse_money(text: Column) -> Column:

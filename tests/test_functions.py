@@ -77,6 +77,16 @@ def test_dates(spark):
     assert mapped(spark, list(cases), scheduling.parse_date) == list(cases.values())
 
 
+def test_free_dates(spark):
+    day = dt.datetime
+    cases = {
+        "1/5/2024": day(2024, 1, 5), "25/3/2024": day(2024, 3, 25), "5 Jan 2024": day(2024, 1, 5), "Jan 5, 2024": day(2024, 1, 5),
+        "september 9 2023": day(2023, 9, 9), "5-Mar-2024": day(2024, 3, 5), "2024-1-5": day(2024, 1, 5), "2024. 1. 5.": day(2024, 1, 5),
+        "1/5/2024 3:07 PM": day(2024, 1, 5, 15, 7), "1/5/2024 12:00:09 AM": day(2024, 1, 5, 0, 0, 9), "5 Janx 2024": None, "13/13/2024": None, "soon": None,
+    }
+    assert mapped(spark, list(cases), scheduling.parse_date) == list(cases.values())
+
+
 def test_dates_ignore_the_session_time_zone(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     try:
