@@ -366,13 +366,28 @@ def pre_checks(fx):
     return jobs.pre_checks(schedule(fx), ScheduleOptions(batch_size=0))
 
 
-@query("E27_post_checks", """
+@query("E27_post_checks", _TASKS + """
 SELECT 0 AS code, 'info' AS severity, 'not matched: '||CAST(count(*) FILTER (match_status='NotFound') AS STRING) AS message, '' AS item FROM {fx_match}
-UNION ALL SELECT 0, 'info', 'overall success: '||CAST(round(count(*) FILTER (match_status='Matched')*100.0::DECIMAL(20,10)/count(*),1) AS DECIMAL(20,1))::VARCHAR||'%', '' FROM {fx_match}""")
+UNION ALL SELECT 0, 'info', 'property rows written: '||CAST(count(*) FILTER (match_status='Matched') AS STRING)||'/'||CAST(count(*) AS STRING), '' FROM {fx_match}
+UNION ALL SELECT 0, 'info', 'sets: '||CAST(count(*) AS STRING)||', objects: '||CAST(CAST(sum(item_count) AS BIGINT) AS STRING), '' FROM sets
+UNION ALL SELECT 0, 'info', 'tasks: '||CAST(count(*) AS STRING)||', linked: '||CAST(count(*) FILTER (linked) AS STRING), '' FROM tasks
+UNION ALL SELECT 0, 'info', 'overall success: '||CAST(round(count(*) FILTER (match_status='Matched')*100.0::DECIMAL(20,10)/count(*),1) AS DECIMAL(20,1))::VARCHAR||'% ('||CAST(count(*) FILTER (match_status='Matched') AS STRING)||'/'||CAST(count(*) AS STRING)||')', '' FROM {fx_match}""")
 def post_checks(fx):
     return jobs.schedule_job(schedule(fx), with_parsed(fx("fx_records"))).frames["post_checks"]
 
 
+@query("G07_finding_lines", """
+WITH d AS (SELECT sync_id, count(*) AS n FROM (SELECT lower(p_brand) AS sync_id FROM {part}) GROUP BY sync_id HAVING count(*)>1),
+r AS (SELECT *, row_number() OVER (ORDER BY sync_id) AS k, count(*) OVER () AS total FROM d)
+SELECT 1000 AS line_no, 'warnings: '||CAST(max(total) AS STRING) AS line FROM r HAVING count(*)>0
+UNION ALL SELECT CAST(1000+k AS INT), '  - [100] duplicate, rows: '||CAST(n AS STRING) FROM r WHERE k<=3
+UNION ALL SELECT 1999, '  ... '||CAST(max(total)-3 AS STRING)||' more' FROM r HAVING max(total)>3""")
+def finding_lines(fx):
+    doubled = fx("part").groupBy(F.lower("p_brand").alias("item")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    findings = doubled.select(F.lit(100).alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("duplicate, rows: "), F.col("n").cast("string")).alias("message"), "item")
+    return jobs.finding_lines(findings)
+
+
 @query("L10_clear_outputs", "SELECT seq, CAST(0 AS BIGINT) AS deleted FROM {fx_schedule} WHERE seq%3<>0 UNION ALL SELECT -1, count(*) FROM {fx_schedule} WHERE seq%3=0")
 def clear(fx):
     table = fx("fx_schedule").withColumn("root_folder", F.when(F.col("seq") % 3 == 0, "AWP 4D Tasks").otherwise("Other"))

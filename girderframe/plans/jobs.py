@@ -98,7 +98,9 @@ def pre_checks(schedule: DataFrame, options: ScheduleOptions) -> DataFrame:
     return out.unionByName(empty).unionByName(late).unionByName(doubled).unionByName(check_schedule(schedule))
 
 
-def post_checks(match_totals: DataFrame, write_counts: DataFrame | None, task_totals: DataFrame | None, options: ScheduleOptions) -> DataFrame:
+def post_checks(
+    match_totals: DataFrame, write_counts: DataFrame | None, task_totals: DataFrame | None, options: ScheduleOptions, set_totals: DataFrame | None = None
+) -> DataFrame:
     """Findings after a run from the one-row totals of its stages, with the success rate."""
 
     def note(df: DataFrame, test, code: int, severity: str, message) -> DataFrame:
@@ -116,11 +118,36 @@ def post_checks(match_totals: DataFrame, write_counts: DataFrame | None, task_to
     if write_counts is not None:
         rate = F.coalesce(F.try_divide(F.col("succeeded") * 100.0, F.col("total")), F.lit(0.0))
         out = out.unionByName(note(write_counts, F.col("failed") > 0, DATA_WARNING, "warning", count_text("property rows failed", "failed")))
-        out = out.unionByName(
-            note(write_counts, F.lit(True), 0, "info", F.concat(F.lit("overall success: "), F.format_string("%.1f%%", rate)))
-        )
+        share = F.concat(F.col("succeeded").cast("string"), F.lit("/"), F.col("total").cast("string"))
+        out = out.unionByName(note(write_counts, F.lit(True), 0, "info", F.concat(F.lit("property rows written: "), share)))
+        overall = F.concat(F.lit("overall success: "), F.format_string("%.1f%%", rate), F.lit(" ("), share, F.lit(")"))
+        out = out.unionByName(note(write_counts, F.col("total") > 0, 0, "info", overall))
+    if set_totals is not None:
+        made = F.concat(F.lit("sets: "), F.col("set_count").cast("string"), F.lit(", objects: "), F.col("item_count").cast("string"))
+        out = out.unionByName(note(set_totals, F.lit(True), 0, "info", made))
     if task_totals is not None:
         out = out.unionByName(note(task_totals, F.col("unlinked") > 0, DATA_WARNING, "warning", count_text("tasks without objects", "unlinked")))
+        made = F.concat(F.lit("tasks: "), F.col("total").cast("string"), F.lit(", linked: "), F.col("linked").cast("string"))
+        out = out.unionByName(note(task_totals, F.lit(True), 0, "info", made))
+    return out
+
+
+def finding_lines(findings: DataFrame, errors: int = 5, warnings: int = 3) -> DataFrame:
+    """(line_no, line): number of errors and the first few, the rest as a count, then the same for warnings.
+
+    The first few are a report; all findings stay in ``findings``.
+    """
+    out = None
+    for place, (severity, label, top) in enumerate([("error", "errors", errors), ("warning", "warnings", warnings)]):
+        own = findings.filter(F.col("severity") == severity)
+        total = own.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+        head = total.select(F.lit(place * 1000).alias("line_no"), F.concat(F.lit(f"{label}: "), F.col("n").cast("string")).alias("line"))
+        first = own.orderBy("code", "item", "message").limit(top).agg(F.array_sort(F.collect_list(F.struct("code", "item", "message"))).alias("f"))
+        text = F.concat(F.lit("  - ["), F.col("x.code").cast("string"), F.lit("] "), F.col("x.message"))
+        listed = first.select(F.posexplode("f").alias("k", "x")).select((F.lit(place * 1000 + 1) + F.col("k")).alias("line_no"), text.alias("line"))
+        rest = total.filter(F.col("n") > top).select(F.lit(place * 1000 + 999).alias("line_no"), F.concat(F.lit("  ... "), (F.col("n") - top).cast("string"), F.lit(" more")).alias("line"))
+        part = head.unionByName(listed).unionByName(rest)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -178,7 +205,7 @@ def schedule_job(
         summary = sched.task_totals(task_table)
         run.frames |= {"tasks": task_table, "task_folders": sched.task_folders(task_table), "task_totals": summary}
     if options.post_checks:
-        run.frames["post_checks"] = post_checks(totals, counts, summary, options)
+        run.frames["post_checks"] = post_checks(totals, counts, summary, options, run.frames.get("set_totals"))
     return run
 
 
