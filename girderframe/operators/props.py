@@ -195,12 +195,16 @@ def properties_json(properties: Column) -> Column:
     return F.to_json(F.transform(properties, entry), {"ignoreNullFields": "false"})
 
 
+class TooManyColumns(ValueError):
+    """The wide form would have more columns than allowed."""
+
+
 def pivot_keys(df: DataFrame, max_columns: int) -> list[str]:
     """Sorted ``Category|PropertyName`` keys; raises when there are more than allowed."""
     key = F.concat_ws("|", F.coalesce("category", F.lit("")), F.coalesce("property_name", F.lit("")))
     rows = df.select(key.alias("k")).distinct().limit(max_columns + 1).collect()
     if len(rows) > max_columns:
-        raise ValueError(f"more than {max_columns} property columns; raise max_columns or filter first")
+        raise TooManyColumns(f"more than {max_columns} property columns; raise max_columns or filter first")
     return sorted(r["k"] for r in rows)
 
 

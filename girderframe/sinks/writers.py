@@ -45,6 +45,22 @@ def write_nested_json(records: DataFrame, path: str, tree: DataFrame | None = No
     write_lines(nested_json_lines(records, tree), ["key", "kind", "no"], "text", path)
 
 
+def write_wide(records: DataFrame, path: str, max_columns: int = 5000) -> str:
+    """One row per object and one column per property; returns ``wide``.
+
+    With more properties than columns allowed it writes the long form, one row per object and
+    property with the last value, and returns ``long``. Nothing is cut either way.
+    """
+    try:
+        wide = props.pivot_wide(records, max_columns)
+    except props.TooManyColumns:
+        last = props.last_rows(records, ["object_id", "category", "property_name"])
+        write_csv(last.select("object_id", "category", "property_name", "property_value"), path)
+        return "long"
+    write_csv(wide, path)
+    return "wide"
+
+
 def write_dual(records: DataFrame, path: str) -> DataFrame:
     """Raw and refined property CSV; returns the category statistics."""
     kept = records.persist()
