@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from girderframe.functions import rdf
 from girderframe.operators import graph, spatial, triples
 from girderframe.plans import jobs
 from girderframe.sinks import frames
@@ -174,21 +175,43 @@ def _double(c: str) -> str:
     return "'\"'||" + _N.replace("{c}", c) + "||'\"^^xsd:double'"
 
 
+def _number(c: str) -> str:
+    return _N.replace("{c}", c)
+
+
+_CORNERS = "||', '||".join(f"{_number(f'{x}_x')}||' '||{_number(f'{y}_y')}" for x, y in (("min", "min"), ("max", "min"), ("max", "max"), ("min", "max"), ("min", "min")))
+_CENTRE = "||' '||".join(_number(f"((min_{a}+max_{a})*0.5)") for a in "xyz")
+
+
 @query("S14_geometry_triples", f"""
 WITH g AS (SELECT *, abs((max_x-min_x)*(max_y-min_y)*(max_z-min_z)) AS v FROM {{fx_mesh_geometry}})
 SELECT 'bso:Object_'||object_id AS s, 'bso:hasBoundingBox' AS p, 'bso:BBox_'||object_id AS o FROM g
 UNION ALL SELECT 'bso:BBox_'||object_id, 'a', 'bso:BoundingBox' FROM g
 {' '.join(f"UNION ALL SELECT 'bso:BBox_'||object_id, 'bso:{e}{a.upper()}', {_double(f'{e}_{a}')} FROM g" for e in ('min', 'max') for a in 'xyz')}
 {' '.join(f"UNION ALL SELECT 'bso:Object_'||object_id, 'bso:centroid{a.upper()}', {_double(f'((min_{a}+max_{a})*0.5)')} FROM g" for a in 'xyz')}
+UNION ALL SELECT 'bso:BBox_'||object_id, 'geo:asWKT', '"POLYGON(('||{_CORNERS}||'))"^^geo:wktLiteral' FROM g
+UNION ALL SELECT 'bso:Object_'||object_id, 'bso:centroidWKT', '"POINT('||{_CENTRE}||')"^^geo:wktLiteral' FROM g
 UNION ALL SELECT 'bso:Object_'||object_id, 'bso:volume', {_double('v')} FROM g WHERE v>0
 UNION ALL SELECT 'bso:Object_'||object_id, 'bso:hasMesh', '"'||CAST(has_mesh AS STRING)||'"^^xsd:boolean' FROM g
 UNION ALL SELECT 'bso:Object_'||object_id, 'bso:meshUri', '"'||mesh_uri||'"' FROM g WHERE mesh_uri IS NOT NULL
 UNION ALL SELECT 'bso:Object_'||object_id, 'rdfs:label', '"'||display_name||'"' FROM g WHERE display_name IS NOT NULL
 UNION ALL SELECT 'bso:Object_'||object_id, 'bso:category', '"'||category||'"' FROM g""")
 def geometry_triples(fx):
-    return triples.geometry_triples(fx("fx_mesh_geometry")).filter(~F.col("p").isin("geo:asWKT", "bso:centroidWKT"))
+    return triples.geometry_triples(fx("fx_mesh_geometry"))
+
+
+_OBJECT = f"'  <{rdf.GEOMETRY_PREFIXES['bso']}Object_'||object_id||'> '"
+_SHAPE = f"'<{rdf.GEOMETRY_PREFIXES['bso']}BBox_'||object_id||'>'"
+_LINES = [
+    f"{_OBJECT}||'bso:hasBoundingBox '||{_SHAPE}||' .'",
+    f"'  '||{_SHAPE}||' a bso:BoundingBox .'",
+    *[f"'  '||{_SHAPE}||' bso:{e}{a.upper()} '||{_double(f'{e}_{a}')}||' .'" for e in ("min", "max") for a in "xyz"],
+    *[f"{_OBJECT}||'bso:centroid{a.upper()} '||{_double(f'((min_{a}+max_{a})*0.5)')}||' .'" for a in "xyz"],
+    f"{_OBJECT}||'bso:hasMesh \"'||CAST(has_mesh AS STRING)||'\"^^xsd:boolean .'",
+    f"CASE WHEN mesh_uri IS NOT NULL THEN {_OBJECT}||'bso:meshUri \"'||mesh_uri||'\" .' END",
+]
 
 
-@query("S15_sparql_insert")
+@query("S15_sparql_insert", f"SELECT object_id, concat_ws(chr(10), 'INSERT DATA {{', {', '.join(_LINES)}, '}}') AS sparql FROM {{fx_mesh_geometry}}")
 def sparql(fx):
     return triples.sparql_insert(fx("fx_mesh_geometry"))
