@@ -121,6 +121,9 @@ def anchor_rows(documents: DataFrame, min_bytes: int) -> DataFrame:
             doc = ids[r] if len(r) else np.zeros(0, np.int64)
             order = np.lexsort((start, doc, c, h))
             doc, h, c, start, count = doc[order], h[order], c[order], start[order], count[order]
+            if len(h):  # rows that repeat a doc_id are one document
+                new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+                doc, h, c, start, count = doc[new], h[new], c[new], start[new], count[new]
             again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])) if len(h) else np.zeros(0, bool)
             key = np.where(again, mix(doc.astype(np.uint64) * _U(_ODD) + start.astype(np.uint64)), h)
             for lo in range(0, len(key), 50_000):
@@ -245,7 +248,8 @@ def covered_spans(documents: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame
     # One sort serves both windows: contexts of an anchor lie together, the first occurrence ahead.
     one = Window.partitionBy("key", "again", "context").orderBy("doc_id", "start")
     anchor = Window.partitionBy("key", "again")
-    rows = rows.repartition("key").withColumn("nth", F.row_number().over(one))
+    # The same place comes from several batches if rows repeat a doc_id; it counts once.
+    rows = rows.repartition("key").withColumns({"nth": F.row_number().over(one), "rank": F.rank().over(one)}).filter("nth = rank")
     rows = rows.withColumns({"low": F.min("context").over(anchor), "high": F.max("context").over(anchor)})
     rows = rows.filter("again OR nth > 1 OR low < high").withColumn("whole", F.expr("again OR nth > 1")).select("key", "doc_id", "start", "windows", "whole")
     rows = stored(rows, "repeats")

@@ -128,6 +128,22 @@ def test_suffix_dedup(spark, monkeypatch, in_one_task):
     assert got == digest_of(texts, 100)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("in_one_task", [1000, 2])
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch, parts, in_one_task):
+    monkeypatch.setattr(suffix_dedup, "IN_ONE_TASK", in_one_task)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdé ") for _ in range(300))
+    texts = {k: "".join(rng.choice("xyz ") for _ in range(150)) for k in range(20)}
+    texts |= {k: texts[k] + passage[k:] for k in (3, 4, 9)} | {5: texts[2], 6: "ab" * 200}
+    repeated = [0, 3, 3, 4, 5, 6, 9]
+    rows = [(i, t, None) for i, t in texts.items()] + [(i, texts[i], None) for i in repeated]
+    got = suffix_dedup.deduplicated(frame(spark, rows).repartition(parts)).collect()
+    want = digest_of(texts, 100)
+    assert len(got) == len(rows) and want[0][1] == 0 and want[3][1] == 0 < want[4][1]
+    assert sorted(tuple(r) for r in got) == sorted((i, *want[i]) for i in [*texts, *repeated])
+
+
 def test_suffix_dedup_of_long_texts_in_stretches(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 1000)
     rng = random.Random(1)
