@@ -5,9 +5,10 @@ quantisation: one codebook for each subspace. Distances of a query to the coded
 from a table of query-to-codeword distances. The coding error e of every vector is kept with its code,
 so a vector can only lie within r of the query if its coded distance is at most r + e; exactly these
 are compared by cosine in double precision. A query probes every list whose border with the query's own
-list is near enough for a vector within r to lie behind it. Lists at a distance of r cannot hold any. In d
-dimensions a step of length r leads towards a given border by r / sqrt(d) on average, so lists further
-than ``SURE`` times that are left out: few links cross such a border, and the measured recall stays above 0.99.
+list is near enough for a vector within r to lie behind it. Lists at a distance of r cannot hold any. How
+far links really lead beyond a border is measured: queries picked by hash are compared with all vectors,
+and the farthest border that one of their links crosses is the reach. Where the picked queries show links
+in too few lists to tell, every border within r is probed, which is exact.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ FIT_ROWS = 20_000
 SUBSPACES, CODEWORDS = 8, 64
 #: Coarse lists for n vectors: the root of n, at most this many.
 MOST_LISTS = 4096
-#: Probed borders lie within this many times radius / sqrt(dimensions); all within the radius if that is less.
+#: Borders within this many times radius / sqrt(dimensions) are probed in any case.
 SURE = 3.0
-#: Vectors of one list that lie in one block.
-BLOCK = 1024
+#: Queries compared with all vectors to measure the reach, at most.
+PROOF_ROWS = 2048
+#: Lists whose queries must show links before the measured reach counts, unless all vectors were compared.
+LEAST_LISTS = 30
+#: Vectors of one list that lie in one block, and queries that probe a list from one block.
+BLOCK, QUERY_BLOCK = 1024, 8192
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -79,6 +84,13 @@ class Codec:
         between = apart[own] if apart is not None else np.sqrt(np.maximum((self.centres**2).sum(1)[None, :] + (self.centres[own] ** 2).sum(1)[:, None] - 2 * self.centres[own] @ self.centres.T, 0))
         return np.nonzero(gap <= 2 * between * (radius + 1e-9) + 1e-9)
 
+    def borders(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Distance of each vector from the border of its own list with another one; 0 for its own."""
+        other, mine = self.centres[lists], self.centres[own]
+        gap = ((other**2).sum(1) - (mine**2).sum(1)) - 2 * np.einsum("ij,ij->i", x, other - mine)
+        between = np.sqrt(((other - mine) ** 2).sum(1))
+        return np.where(between > 0, gap / (2 * np.where(between > 0, between, 1)), 0)
+
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and coding errors."""
         residual = x - self.centres[own]
@@ -182,6 +194,39 @@ def neighbours(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), (F.col("vec_id").isNotNull() & F.col("vec_id").eqNullSafe(label)).alias("kept"))
 
 
+def _reach(placed: DataFrame, codec: Codec, sent, n: int, size: int, cosine: float, radius: float) -> float:
+    """How far the links of picked queries lead beyond a border; the radius where these show too little."""
+    spark = placed.sparkSession
+    share = min(1.0, 1.2 * PROOF_ROWS / max(n, 1))
+    picked = placed.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).limit(PROOF_ROWS)
+    picked = picked.select("vec_id", "own", "v").toArrow().combine_chunks()
+    if not picked.num_rows:
+        return radius
+    q_id, q_own = (picked.column(k).to_numpy().astype(np.int64) for k in ("vec_id", "own"))
+    queries = spark.sparkContext.broadcast((q_id, q_own, _unit(_matrix(picked.column("v").chunk(0), size))))
+
+    def farthest(parts):
+        q_id, q_own, q = queries.value
+        codec, most = Codec.restored(sent.value), np.full(len(q), -1.0)
+        for batch in parts:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                x, own = _unit(_matrix(part.column(2), size)), part.column(1).to_numpy().astype(np.int64)
+                row, col = np.nonzero(q @ x.T >= cosine)
+                row, col = (k[q_id[row] != part.column(0).to_numpy()[col]] for k in (row, col))
+                pair = np.unique(row * len(codec.centres) + own[col])
+                row, lists = np.divmod(pair, len(codec.centres))
+                np.maximum.at(most, row, np.maximum(codec.borders(q[row], q_own[row], lists), 0))
+        seen = np.flatnonzero(most >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(q_own[seen]), pa.array(most[seen])], names=["own", "far"])
+
+    # At most one row for each list of the picked queries.
+    far = placed.select("vec_id", "own", "v").mapInArrow(farthest, "own long, far double").groupBy("own").agg(F.max("far").alias("far")).collect()
+    if len(far) < LEAST_LISTS and len(q_id) < n:
+        return radius
+    return min(radius, max([r["far"] for r in far], default=0.0) + 1e-6)
+
+
 def _neighbours_of_size(vectors: DataFrame, size: int, cosine: float) -> DataFrame:
     """(vec_id, links, other): for each block, how many of its vectors a vector links to as a query, and the
     smallest vector of its class among the block's links. Every link lies in one block, so these classes
@@ -190,7 +235,6 @@ def _neighbours_of_size(vectors: DataFrame, size: int, cosine: float) -> DataFra
     spark, kind = vectors.sparkSession, vectors.schema["v"].dataType.simpleString()
     n = vectors.count()
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-    reach = radius * min(1.0, SURE / math.sqrt(size))
     share = min(1.0, 1.2 * FIT_ROWS / max(n, 1))
     picked = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("v").limit(FIT_ROWS)
     sample = _unit(_matrix(picked.toArrow().column("v").combine_chunks(), size))
@@ -207,11 +251,25 @@ def _neighbours_of_size(vectors: DataFrame, size: int, cosine: float) -> DataFra
 
     placed = vectors.select("vec_id", "v").mapInArrow(assign, f"vec_id long, own int, v {kind}")
     placed = stored(placed, "placed")
-    # Blocks of a list: by hash, as many as its size asks for, so that a large list is dealt to many tasks.
-    blocks = placed.groupBy("own").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    blocks = stored(blocks, "blocks")
-    sizes = {r["own"]: r["blocks"] for r in blocks.collect()}  # at most MOST_LISTS rows
-    of_list = spark.sparkContext.broadcast(sizes)
+    reach = max(radius * min(1.0, SURE / math.sqrt(size)), _reach(placed, codec, sent, n, size, cosine, radius))
+
+    def probed(parts):
+        total = np.zeros(len(sent.value[0]), np.int64)
+        for batch in parts:
+            if batch.num_rows:
+                _, lists = Codec.restored(sent.value).probes(_unit(_matrix(batch.column(1), size)), batch.column(0).to_numpy(), reach)
+                total += np.bincount(lists, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["list", "probes"])
+
+    # Blocks of a list, by hash: of its vectors as many as its size asks for, of queries as many as probe it.
+    probes = placed.select("own", "v").mapInArrow(probed, "list long, probes long").groupBy("list").agg(F.sum("probes").alias("probes"))
+    i_blocks, q_blocks = np.zeros((2, len(codec.centres)), np.int64)
+    for r in placed.groupBy("own").count().collect():  # at most MOST_LISTS rows, as the next
+        i_blocks[r["own"]] = -(-r["count"] // BLOCK)
+    for r in probes.collect():
+        q_blocks[r["list"]] = -(-r["probes"] // QUERY_BLOCK)
+    of_list = spark.sparkContext.broadcast((i_blocks, q_blocks))
 
     def deal(parts):
         for batch in parts:
@@ -221,20 +279,20 @@ def _neighbours_of_size(vectors: DataFrame, size: int, cosine: float) -> DataFra
             own = batch.column(1).to_numpy()
             x = _unit(_matrix(batch.column(2), size))
             hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            i_blocks, q_blocks = of_list.value
             rows, lists = Codec.restored(sent.value).probes(x, own, reach)
-            keep = np.array([of_list.value.get(int(k), 0) > 0 for k in lists], bool)
-            rows, lists = rows[keep], lists[keep]
-            counts = np.array([of_list.value[int(k)] for k in lists], np.int64)
-            mine = (hashed[rows] % counts.astype(np.uint64)).astype(np.int64)
+            rows, lists = rows[i_blocks[lists] > 0], lists[i_blocks[lists] > 0]
             # As a query: its own number of block, against every block of the list.
+            counts = i_blocks[lists]
+            mine = (hashed[rows] % q_blocks[lists].astype(np.uint64)).astype(np.int64)
             reps = np.repeat(np.arange(len(rows)), counts)
             against = np.arange(len(reps)) - np.repeat(np.cumsum(counts) - counts, counts)
             q = rows[reps]
             # As an item: in its own list, for every block of queries that probes it.
-            own_counts = np.array([of_list.value[int(k)] for k in own], np.int64)
-            own_mine = (hashed % own_counts.astype(np.uint64)).astype(np.int64)
-            reps_i = np.repeat(np.arange(len(own)), own_counts)
-            for_block = np.arange(len(reps_i)) - np.repeat(np.cumsum(own_counts) - own_counts, own_counts)
+            counts = q_blocks[own]
+            own_mine = (hashed % i_blocks[own].astype(np.uint64)).astype(np.int64)
+            reps_i = np.repeat(np.arange(len(own)), counts)
+            for_block = np.arange(len(reps_i)) - np.repeat(np.cumsum(counts) - counts, counts)
             who = np.concatenate([q, reps_i])
             lists_all = np.concatenate([lists[reps], own[reps_i]]).astype(np.int64)
             q_block = np.concatenate([mine[reps], for_block])

@@ -6,8 +6,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,14 @@ def frame(spark, rows):
     return spark.createDataFrame(full, DOCUMENT)
 
 
+class _Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def odd_documents():
     rng = random.Random(3)
     vocabulary = ["alpha", "beta", "Gamma", "delta", "x", "éte", "und", "of"]
@@ -306,6 +316,35 @@ def test_vector_neighbours_recall_on_table(spark):
     assert 0.9 * near <= got <= near
 
 
+def test_vector_neighbours_near_a_subspace(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5000, 3)) @ rng.normal(size=(3, 64)) + rng.normal(size=(5000, 64)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.95).sum() - len(x)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    got = vector_neighbours.neighbours(df).agg(F.sum("n_links")).first()[0]
+    assert near > 10_000 and 0.99 * near <= got <= near
+
+
+def test_vector_blocks_are_bounded_by_queries(spark, monkeypatch):
+    monkeypatch.setattr(vector_neighbours, "BLOCK", 64)
+    monkeypatch.setattr(vector_neighbours, "QUERY_BLOCK", 64, raising=False)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1, 16)) + rng.normal(size=(500, 16)) * 0.02, rng.normal(size=(500, 16))])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    seen = spark.sparkContext.accumulator(0, _Most())
+    real = vector_neighbours._links_of_block
+
+    def watched(codec, at, queries, items, *rest):
+        seen.add(max(len(queries[0]), len(items[0])))
+        return real(codec, at, queries, items, *rest)
+
+    monkeypatch.setattr(vector_neighbours, "_links_of_block", watched)
+    got = vector_neighbours.neighbours(df).agg(F.sum("n_links")).first()[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == (x @ x.T >= 0.95).sum() - len(x) and 0 < seen.value <= 2 * 64
+
+
 def test_factorisation_machine_learns_pairs():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 12)) < 0.3
