@@ -32,14 +32,16 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ["ba", "dor", "fel", "gan", "hol", "jen", "kas", "lin", "mer", "nov", "pel", "ros", "sten", "tal", "vin", "wes"], "cyrillic": ["ба", "дор", "фел", "ган", "кас", "лин", "мер", "нов"]}
 
+_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)"
 _TITLE = rf"(?=[MHSDFPГ])(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})"
 #: Patterns by kind, in order of precedence.
 KINDS = {
     "email": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "secret": r"(?<=[=:\s\"'])(?<=[=:][\s\"']{0,4})(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9_\-./+]{8,}",
+    "secret": rf"(?<=[=:\s\"'])(?<=[=:][\s\"']{{0,4}})(?<={_SECRET}\s{{0,3}}[=:]\s{{0,3}}[\"']{{0,1}})[A-Za-z0-9_\-./+]{{8,}}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
+    # Ahead of account numbers: none of 32 characters or more has hexadecimal ones alone.
+    "hex": r"\b(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,64}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "hex": r"\b(?=[a-f]*\d)[0-9a-f]{32,64}\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -48,7 +50,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every entity contains; other texts are not searched.
-QUICK = rf"[0-9@]|[=:](?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{{0,3}}[=:])|{_TITLE}\.? \p{{Lu}}"
+QUICK = rf"[0-9@]|[=:](?<={_SECRET}\s{{0,3}}[=:])|{_TITLE}\.? \p{{Lu}}"
 
 
 def entities(text: Column) -> Column:
@@ -147,7 +149,7 @@ def _rewritten(value: Column, key: str, attempt: Column) -> Column:
         low = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), letter + 1, F.lit(1))
         return F.when(c.rlike(r"\d"), F.pmod(n, F.lit(10)).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(c)
 
-    known = F.struct(digest.alias("digest"), value.rlike(r"^[0-9a-f]+$").alias("is_hex"))
+    known = F.struct(digest.alias("digest"), value.rlike(r"^[0-9A-Fa-f]+$").alias("is_hex"))
     same_length = _let(known, lambda k: F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: one(i, k.digest, k.is_hex)), ""))
     # Short values may leave too few choices: from the fourth attempt on they grow.
     return F.concat(same_length, F.when(attempt > 3, attempt.cast("string")).otherwise(F.lit("")))

@@ -454,6 +454,19 @@ def test_surrogates(spark):
     assert pii.replace_entities(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_capitals(spark):
+    digest = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    text = f'token = "{digest.lower()}" password: hunter2hunter2 db_password=hunter3hunter3 api_key = "abcd1234efgh" md5 {"d3" * 16} jane.doe@mail.example.com'
+    texts = [text, text.upper(), f'TOKEN = "{digest}"', "PASSWORD: Hunter2Hunter2", "Api-Key=Abcd1234Efgh", "CLIENT_SECRET = 'Zyxw9876Vuts'", "the TOKEN is here: a word"]
+    rows = {r.doc_id: r for r in pii.replace_entities(frame(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()}
+    assert [rows[k].n_replaced for k in range(7)] == [6, 6, 1, 1, 1, 1, 0]
+    for real in (digest, "hunter2", "hunter3", "abcd1234efgh", "d3" * 16, "jane.doe", "zyxw9876"):
+        assert not any(real.lower() in r.text.lower() for r in rows.values())
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', rows[2].text) and rows[1].text == rows[1].text.upper()
+    assert rows[1].text.split('"')[1] == rows[2].text.split('"')[1] and rows[6].text == texts[6]
+    assert re.fullmatch(r"PASSWORD: [A-Z][a-z]{5}\d[A-Z][a-z]{5}\d", rows[3].text)
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     numbers = spark.range(1000).select(F.format_string("+1 (555) 12%d-%04d", F.col("id") % 10, "id").alias("value"))
     made = numbers.select(pii.surrogate(F.col("value")).alias("s"))
