@@ -173,3 +173,40 @@ def lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
 def batches(found: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for columns in found:
         yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
+
+
+#: Bytes after which a single very long text is looked at in a further step.
+LONG_TEXT = 8 << 20
+
+
+def _next_gap(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on whose byte is no letter, or the end."""
+    for low in range(at, len(data), 1 << 20):
+        gaps = np.flatnonzero(~LETTERS[data[low : low + (1 << 20)]])
+        if len(gaps):
+            return low + int(gaps[0])
+    return len(data)
+
+
+def text_parts(array: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """As ``text_slices``, with very long texts cut at an ASCII byte that is no letter; the last value marks all parts of a text but its first."""
+    for row, end, data, offsets in text_slices(array, limit):
+        at = 0
+        while end - row == 1 and len(data) - at > LONG_TEXT:
+            stop = _next_gap(data, at + LONG_TEXT)
+            yield row, end, data[at:stop], np.array([0, stop - at]), at > 0
+            at = stop
+        yield row, end, data[at:], offsets if at == 0 else np.array([0, len(data) - at]), at > 0
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """(row, run) of every longest run of the bytes marked by ``inside``, A-Z lower-cased; a run ends with its text."""
+    if not len(data):
+        return np.zeros(0, np.int64), pa.array([], pa.string())
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(inside & (edge[:-1] | ~np.append(False, inside[:-1])))
+    ends = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    places = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    return rows, pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(_LOWER[data[inside]]))
