@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -135,19 +136,39 @@ def anchor_rows(documents: DataFrame, min_bytes: int) -> DataFrame:
     return documents.mapInArrow(rows, "key long, context long, doc_id long, start long, windows int, again boolean")
 
 
-def scan_suffixes(texts: list[bytes], group: np.ndarray, min_bytes: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of at least ``min_bytes`` among texts of one group: (length, [(text, start), ...]).
+@dataclass(frozen=True)
+class IntervalTree:
+    """Maximal repeat groups as the tree of common-prefix intervals; every suffix appears once in each list.
+
+    Group k repeats ``length[k]`` bytes and lies inside group ``parent[k]`` (-1: none), whose repeat is shorter.
+    ``members`` holds (text, start, smallest group of the suffix); a group's occurrences are its members and those
+    of the groups inside it. ``covered`` holds (text, start, length) of the longest repeat of a suffix that occurs
+    at an earlier place too.
+    """
+
+    length: list[int]
+    parent: list[int]
+    members: list[tuple[int, int, int]]
+    covered: list[tuple[int, int, int]]
+
+
+def interval_tree(texts: list[bytes], group: np.ndarray, min_bytes: int, origin: list[tuple[int, int]] | None = None) -> IntervalTree:
+    """Maximal repeats of at least ``min_bytes`` among texts of one group, by a stack scan of their sorted suffixes.
 
     Only suffixes of at least ``min_bytes`` bytes are sorted. A byte to the left that differs, or a text's
-    start, ends a repeat on the left. Repeats never join texts of different groups.
+    start, ends a repeat on the left. Repeats never join texts of different groups. ``origin`` gives the place of
+    each text, its own number by default. An interval is left on the stack with what is still open in it: its
+    suffixes outside smaller groups, these groups, and the suffixes that no repeat covers yet; each closed group
+    leaves its first suffix open alone, so the lists stay as short as the suffixes are many.
     """
+    tree = IntervalTree([], [], [], [])
     sizes = np.array([len(t) for t in texts])
     width = int(sizes.max())
     counts = np.maximum(sizes - min_bytes + 1, 0)
     text = np.repeat(np.arange(len(texts)), counts)
     start = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     if len(text) < 2:
-        return
+        return tree
     flat = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
     begin = (np.cumsum(sizes) - sizes)[text] + start
     rest = sizes[text] - start
@@ -160,40 +181,106 @@ def scan_suffixes(texts: list[bytes], group: np.ndarray, min_bytes: int) -> Iter
     differs = rows[1:] != rows[:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
     common = np.where(same, np.minimum(common, np.minimum(rest[1:], rest[:-1])), 0)
-    left = np.where(start > 0, flat[np.maximum((np.cumsum(sizes) - sizes)[text] + start - 1, 0)].astype(np.int64), -1 - np.arange(len(text)))
-    # Stack of open intervals: [common prefix length, first suffix, the one byte to the left or None].
+    # Beginnings of texts are all different from one another.
+    left = np.where(start > 0, flat[np.maximum((np.cumsum(sizes) - sizes)[text] + start - 1, 0)].astype(np.int64), -1 - np.arange(len(text))).tolist()
+    where = np.array([(k, 0) for k in range(len(texts))] if origin is None else origin, np.int64)
+    place = np.empty(len(text), np.int64)
+    place[np.lexsort((where[text, 1] + start, where[text, 0]))] = np.arange(len(text))
+    place = place.tolist()
     inside = np.flatnonzero(common >= min_bytes)
     if not len(inside):
-        return
-    breaks = np.flatnonzero(np.diff(inside) > 1) + 1
-    for stretch in np.split(inside, breaks):
-        stack: list[list] = []
-        for k in [*stretch.tolist(), -1]:
-            length = int(common[k]) if k >= 0 else 0
-            here = k if k >= 0 else int(stretch[-1]) + 1
-            begin_at, byte = here, int(left[here])
-            while stack and stack[-1][0] > length:
-                size, lo, one = stack.pop()
-                one = one if one == int(left[here]) or lo == here else None
-                # ``here`` is the interval's last suffix.
-                if one is None or one < 0:
-                    yield size, [(int(text[i]), int(start[i])) for i in range(lo, here + 1)]
-                begin_at, byte = lo, one
-                if stack:
-                    stack[-1][2] = stack[-1][2] if stack[-1][2] == one else None
-            if k >= 0:
-                if not stack or stack[-1][0] < length:
-                    stack.append([length, begin_at, byte])
-                elif stack[-1][2] != int(left[here]):
-                    stack[-1][2] = None
-
-
-_SPANS = "doc_id long, start long, length long, first_doc long, first_start long"
+        return tree
+    text, start = text.tolist(), start.tolist()
+
+    def merged(into: _Interval, other: _Interval) -> None:
+        into.left = into.left if into.left == other.left else None
+        for name in ("loose", "groups", "open"):
+            mine, theirs = getattr(into, name), getattr(other, name)
+            if len(mine) < len(theirs):
+                mine, theirs = theirs, mine
+            mine.extend(theirs)
+            setattr(into, name, mine)
+
+    def closed(i: _Interval) -> None:
+        """Make the interval a group if the bytes to its left differ."""
+        if i.left is not None:
+            return
+        number = len(tree.length)
+        tree.length.append(i.length)
+        tree.parent.append(-1)
+        for k in i.groups:
+            tree.parent[k] = number
+        tree.members.extend((text[k], start[k], number) for k in i.loose)
+        first = min(i.open, key=place.__getitem__)
+        tree.covered.extend((text[k], start[k], i.length) for k in i.open if k != first)
+        i.loose, i.groups, i.open = [], [number], [first]
+
+    for stretch in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1):
+        stack: list[_Interval] = []
+        for here in [*stretch.tolist(), int(stretch[-1]) + 1]:
+            length = int(common[here]) if here <= stretch[-1] else 0
+            carried = _Interval(length, left[here], [here], [], [here])
+            if stack and stack[-1].length >= length:
+                merged(stack[-1], carried)
+                carried = None
+            while stack and stack[-1].length > length:
+                top = stack.pop()
+                closed(top)
+                if stack and stack[-1].length >= length:
+                    merged(stack[-1], top)
+                else:
+                    carried = top
+            if length and carried is not None:
+                carried.length = length
+                stack.append(carried)
+    return tree
+
+
+@dataclass
+class _Interval:
+    """An interval on the stack; ``left`` is the one byte to the left of its suffixes, or None."""
+
+    length: int
+    left: int | None
+    loose: list[int]
+    groups: list[int]
+    open: list[int]
+
+
+def scan_suffixes(texts: list[bytes], group: np.ndarray, min_bytes: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(text, start), ...]) of every maximal repeat group with all its occurrences, read off the interval tree.
+
+    Written out like this the occurrences grow with the depth of the tree; jobs keep the tree.
+    """
+    tree = interval_tree(texts, group, min_bytes)
+    places: list[list[tuple[int, int]]] = [[] for _ in tree.length]
+    for t, s, g in tree.members:
+        while g >= 0:
+            places[g].append((t, s))
+            g = tree.parent[g]
+    yield from zip(tree.length, places)
+
+
+_SPANS = "doc_id long, start long, length long"
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(doc_id, start, length) with spans of a document that touch made one."""
+    out: list[list[int]] = []
+    for doc, start, length in sorted(spans):
+        if out and out[-1][0] == doc and start <= out[-1][1] + out[-1][2]:
+            out[-1][2] = max(out[-1][2], start + length - out[-1][1])
+        else:
+            out.append([doc, start, length])
+    return [tuple(x) for x in out]
 
 
 def _mixed_repeats(mixed: DataFrame, min_bytes: int) -> DataFrame:
-    """Occurrences of the maximal repeats of (key, doc_id, start, bytes); the rows of a key are few."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64())])
+    """What maximal repeats of (key, doc_id, start, bytes) cover; the rows of a key are few.
+
+    Spans of one document are joined in the task, so no more rows come out than contexts go in.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 
     def scan(parts):
         held: list[tuple[int, int, int, bytes]] = []
@@ -201,11 +288,9 @@ def _mixed_repeats(mixed: DataFrame, min_bytes: int) -> DataFrame:
 
         def flush(rows):
             keys, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-            out: list[tuple] = []
-            for length, places in scan_suffixes([r[3] for r in rows], group, min_bytes):
-                where = sorted((rows[t][1], rows[t][2] + s) for t, s in places)
-                out += [(d, s, length, *where[0]) for d, s in where[1:]]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], schema=schema)
+            tree = interval_tree([r[3] for r in rows], group, min_bytes, [(r[1], r[2]) for r in rows])
+            out = _joined([(rows[t][1], rows[t][2] + s, length) for t, s, length in tree.covered])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=schema)
 
         for batch in parts:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -233,7 +318,7 @@ def _window_repeats(mixed: DataFrame, min_bytes: int) -> DataFrame:
     place = F.struct("doc_id", "start")
     first = suffixes.groupBy("x", "y").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("count")).filter("count > 1")
     found = suffixes.join(first, ["x", "y"]).filter(place != F.col("first"))
-    return found.select("doc_id", "start", F.lit(min_bytes).cast("long").alias("length"), F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    return found.select("doc_id", "start", F.lit(min_bytes).cast("long").alias("length"))
 
 
 def covered_spans(documents: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
