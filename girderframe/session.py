@@ -6,7 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +54,15 @@ _RUNS: list[str] = []
 
 
 @contextlib.contextmanager
-def run_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside the block are removed at its end, so results must be used up before."""
-    run = f"run-{uuid.uuid4().hex}"
+def run_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside the block are removed at its end, so results must be used up before.
+
+    The block gets a function that stores a result as ``stored`` does, but so that it outlives the block.
+    """
+    run, outer = f"run-{uuid.uuid4().hex}", _RUNS[-1] if _RUNS else None
     _RUNS.append(run)
     try:
-        yield
+        yield lambda df, label: stored(df, label, outer or spark.sparkContext.applicationId)
     finally:
         _RUNS.remove(run)
         jvm = spark.sparkContext._jvm
@@ -67,14 +70,15 @@ def run_tables(spark: SparkSession) -> Iterator[None]:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, run: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, survives lost executors and gives the planner the true
     size of the table, so a later join broadcasts it only when it is small.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/girderframe/{_RUNS[-1] if _RUNS else spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    run = run or (_RUNS[-1] if _RUNS else spark.sparkContext.applicationId)
+    path = f"{work_dir(spark)}/girderframe/{run}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
