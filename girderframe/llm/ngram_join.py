@@ -1,11 +1,11 @@
 """Jaccard join of documents on word n-grams as a blocked sparse matrix product.
 
 The documents form a sparse 0/1 matrix over their n-grams; its product with its transpose counts the
-n-grams that two documents share. The columns are taken in two blocks. The first holds, for each
-document, as many of its n-grams in one fixed order (rare ones first) as make sure that linked documents
-meet in it. The product over this block is aggregated per pair, and a pair is discarded if the overlap
-so far plus all that can follow, given both sizes, stays below what the similarity asks for. The second
-block, all other columns, is only multiplied for the pairs that are left.
+n-grams that two documents share. The first block of columns holds, for each document, as many of its n-grams in
+one fixed order (rare ones first) as make sure that linked documents meet in it; it says which pairs to look
+at. Their overlap is then summed up over blocks of columns, ranges of the n-grams' hashes, one block after the
+other. After each block a pair is discarded if the overlap so far plus all that can follow, given both sizes,
+stays below what the similarity asks for, so later blocks are read for ever fewer pairs.
 
 Classes need no pair twice: equal sets are one row of the matrix, every column is first multiplied
 with its first document alone, and then only across the classes found so far.
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from girderframe.llm.common import Query, column_of, lists, mix, shingles, signed, small_batches, table, text_slices, words
 from girderframe.operators.graph import component_labels
-from girderframe.session import stored
+from girderframe.session import stored, stored_counting
 
 #: N-grams whose frequency is known when they are ordered; all others count as rare. The order has no
 #: influence on the result, only on the number of pairs that are looked at.
 ORDERED = 65_536
 #: Hashes that one count of frequent n-grams looks at, and repeats from which it reports one.
 CHUNK, REPEATS = 2_000_000, 2
+#: Blocks of columns over which overlaps are summed up.
+BLOCKS = 3
 
 
 def _document_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,8 +68,16 @@ def frequent(documents: DataFrame, size: int) -> np.ndarray:
             yield counted(held)
 
     sums = documents.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "h").limit(ORDERED).collect()  # bounded
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    sums = stored(sums, "frequent")
+    # The least power of two that at most ORDERED n-grams reach; there are 63 powers.
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = {r["power"]: r["grams"] for r in sums.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("grams")).collect()}
+    least, total = 63, 0
+    while least and total + sizes.get(least - 1, 0) <= ORDERED:
+        least -= 1
+        total += sizes.get(least, 0)
+    top = sums.filter(power >= least).collect()  # at most ORDERED rows
+    return np.array([r["h"] for r in sorted(top, key=lambda r: (r["n"], r["h"]))], np.int64).view(np.uint64)
 
 
 def _needed(percent: int, a, b):
@@ -109,18 +119,24 @@ def _first_block(documents: DataFrame, size: int, percent: int, common: np.ndarr
     return documents.select("doc_id", "text").mapInArrow(block, "doc_id long, n long, s1 long, s2 long, block array<long>")
 
 
-def _full_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, grams): the whole sets of the documents in ``ids``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+def _set_blocks(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, block, grams): the sets of the documents in ``ids``, cut into ``BLOCKS`` ranges of hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    width = np.uint64((1 << 64) // BLOCKS + 1)
 
-    def whole(parts):
+    def cut(parts):
         for batch in parts:
-            doc = batch.column(batch.schema.get_field_index("doc_id"))
+            doc = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             for first, end, r, h in _document_sets(batch, size):
-                yield pa.RecordBatch.from_arrays([doc.slice(first, end - first).cast(pa.int64()), lists(signed(h), np.bincount(r, minlength=end - first), pa.int64())], schema=schema)
+                # Hashes of a row are sorted, so the blocks of a row follow each other.
+                cells = r * BLOCKS + (h // width).astype(np.int64)
+                at = np.arange((end - first) * BLOCKS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[first:end].astype(np.int64)[at // BLOCKS]), pa.array((at % BLOCKS).astype(np.int32)), lists(signed(h), np.bincount(cells, minlength=len(at)), pa.int64())], schema=schema
+                )
 
     wanted = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(whole, "doc_id long, grams array<long>")
+    return wanted.mapInArrow(cut, "doc_id long, block int, grams array<long>")
 
 
 def _early_enough(percent: int, na, nb, ia, ib):
@@ -129,7 +145,7 @@ def _early_enough(percent: int, na, nb, ia, ib):
 
 
 def _within_bounds(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose overlap in the first block can still grow to what their sizes ask for.
+    """Pairs (a, b) whose overlap in the first block can still grow to what their sizes ask for, with their sizes.
 
     Of the two, the one whose block ends first has met all it shares up to there, so only its other
     columns can add to the overlap.
@@ -139,19 +155,30 @@ def _within_bounds(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
     shared = F.size(F.array_intersect("block_a", "block_b"))
     first_ends = F.element_at("block_a", -1) <= F.element_at("block_b", -1)
     rest = F.when(first_ends, F.col("na") - F.size("block_a")).otherwise(F.col("nb") - F.size("block_b"))
-    return joined.filter(shared + rest >= _needed(percent, F.col("na"), F.col("nb"))).select("a", "b")
+    left = joined.filter(shared + rest >= _needed(percent, F.col("na"), F.col("nb")))
+    return left.select("a", "b", "na", "nb", F.col("na").alias("rest_a"), F.col("nb").alias("rest_b"), F.lit(0).alias("shared"))
 
 
 def _linked(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity, as (source_id, target_id)."""
+    """The pairs whose sets reach the similarity, as (source_id, target_id).
+
+    Block by block the shared n-grams of a pair are added up; ``rest_a`` and ``rest_b`` are what is left of both sets.
+    """
     pairs = stored(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_full_sets(documents, ids, size), "sets")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    shared = F.size(F.array_intersect("ga", "gb")).cast("long")
-    found = pairs.join(a, "a").join(b, "b").select("a", "b", shared.alias("shared"), (F.size("ga") + F.size("gb")).alias("both"))
-    links = found.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("both") - F.col("shared")))
+    ids, count, _ = stored_counting(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted", F.lit(True))
+    sets, rows, _ = stored_counting(_set_blocks(documents, ids, size), "sets", F.lit(True))
+    if rows > count * BLOCKS:  # rows that repeat an id
+        sets = stored(sets.dropDuplicates(["doc_id", "block"]), "sets")
+    for block in range(BLOCKS):
+        own = sets.filter(F.col("block") == block)
+        a = own.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a"))
+        b = own.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b"))
+        met = pairs.join(a, "a").join(b, "b").withColumn("shared", F.col("shared") + F.size(F.array_intersect("grams_a", "grams_b")))
+        met = met.withColumns({"rest_a": F.col("rest_a") - F.size("grams_a"), "rest_b": F.col("rest_b") - F.size("grams_b")})
+        possible = F.col("shared") + F.least("rest_a", "rest_b") >= _needed(percent, F.col("na"), F.col("nb"))
+        pairs = stored(met.filter(possible).select("a", "b", "na", "nb", "rest_a", "rest_b", "shared"), "overlaps")
+    # Nothing is left of the sets: the overlap is whole.
+    links = pairs.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared")))
     return stored(links.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")), "links")
 
 
@@ -206,7 +233,7 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """
     classes = ngram_components(documents, size, percent)
     kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = documents.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    first = documents.join(kept, documents["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(documents.filter("doc_id IS NULL"))
 
 
