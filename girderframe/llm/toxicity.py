@@ -1,9 +1,10 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 Terms are the words of a text and the starts of its words, as sets, hashed to 30 bits. Of all terms of the
-training rows those are kept whose frequency differs most between the two labels. The machine scores
-w0 + sum of w_i + sum over pairs of <v_i, v_j>, so a pair of terms can count for more, or for less, than
-its two terms do.
+training rows those are kept whose frequency differs most between the two labels, and those that tell nothing
+alone but in pairs: the frequent terms are counted together, two by two, and a pair is kept whose frequency
+differs clearly more than that of its terms. The machine scores w0 + sum of w_i + sum over pairs of <v_i, v_j>,
+so a pair of terms can count for more, or for less, than its two terms do.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ FIT_ROWS = 16_000
 TERMS, LEAST_ROWS = 4096, 5
 #: A term is kept if its frequencies differ by so many standard deviations.
 LEAST_DIFFERENCE = 4.0
+#: Terms that are counted in pairs, at most: the most frequent ones and those that differ most alone; a pair is kept
+#: if its frequencies differ by so many standard deviations, and by so many more than those of its terms.
+PAIR_TERMS, PAIR_DIFFERENCE, PAIR_GAIN = 2048, 8.0, 3.0
 HASH_BITS, PREFIXES = 30, (4, 5)
 FACTORS, EPOCHS, RATE, DECAY = 8, 40, 0.1, 1e-4
 
@@ -106,6 +110,33 @@ def fit_machine(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, size:
     return w0, w, v
 
 
+def _difference(n: np.ndarray, positive: np.ndarray, rows: int, positives: int) -> np.ndarray:
+    """By how many standard deviations the positive ones among n rows are more or fewer than their share."""
+    rate = positives / rows
+    return np.abs(positive - n * rate) / np.sqrt(n * rate * (1 - rate) * (1 - n / rows) + 0.05)
+
+
+def telling_pairs(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Columns of pairs that occur together in rows of one label far more often than their two columns do.
+
+    All pairs are counted by products of the incidence matrix with itself, block by block.
+    """
+    incidence = np.zeros((len(labels), size), np.float32)
+    incidence[rows, columns] = 1
+    positive, positives = incidence[labels > 0], int((labels > 0).sum())
+    alone = _difference(incidence.sum(0), positive.sum(0), len(labels), positives)
+    told = np.zeros(size, bool)
+    for low in range(0, size, 256):
+        part = slice(low, low + 256)
+        n = incidence[:, part].T @ incidence
+        z = _difference(n, positive[:, part].T @ positive, len(labels), positives)
+        best = np.maximum(alone[part, None], alone[None, :])
+        i, j = np.nonzero((n >= LEAST_ROWS) & (z >= PAIR_DIFFERENCE) & (z >= best + PAIR_GAIN))
+        apart = i + low != j
+        told[i[apart] + low] = told[j[apart]] = True
+    return np.flatnonzero(told)
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fit on the labelled documents that are not held out; a document with several labels has their highest."""
     small_batches(documents.sparkSession)
@@ -131,8 +162,12 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     sums = rows.mapInArrow(count, "term long, n long, positive long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
     share, part = F.col("n") / F.lit(all_rows), F.col("n") * F.lit(all_positive / all_rows)
     z = F.abs(F.col("positive") - part) / F.sqrt(part * F.lit(1 - all_positive / all_rows) * (F.lit(1.0) - share) + F.lit(0.05))
-    best = sums.filter(f"n >= {LEAST_ROWS}").withColumn("z", z).filter(F.col("z") >= LEAST_DIFFERENCE).orderBy(F.desc("z"), "term").limit(TERMS)
-    terms = np.array(sorted(r["term"] for r in best.select("term").collect()), np.int64)  # at most TERMS
+    sums = stored(sums.filter(f"n >= {LEAST_ROWS}").withColumn("z", z), "terms")
+    best = sums.filter(F.col("z") >= LEAST_DIFFERENCE).orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()
+    often = sums.orderBy(F.desc(F.least("n", F.lit(all_rows) - F.col("n"))), "term").limit(PAIR_TERMS).select("term").collect()
+    alone = [r["term"] for r in best]  # at most TERMS, and PAIR_TERMS in pairs
+    paired = np.array(sorted({r["term"] for r in often} | set(alone[: PAIR_TERMS // 4])), np.int64)
+    terms = np.array(sorted({*paired.tolist(), *alone}), np.int64)
 
     def seen(parts):
         for batch in parts:
@@ -148,8 +183,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         offsets += (np.diff(chunk.offsets.to_numpy())).tolist()
     columns = np.concatenate(column) if column else np.zeros(0, np.int64)
     of_row = np.repeat(np.arange(len(labels_of)), offsets[1:])
-    w0, w, v = fit_machine(of_row, columns, labels_of, len(terms))
-    return Model(terms, w0, w, v)
+    r, c = _found(paired, of_row, terms[columns])
+    kept = np.unique(np.concatenate([np.array(alone, np.int64), paired[telling_pairs(r, c, labels_of, len(paired))]]))
+    r, c = _found(kept, of_row, terms[columns])
+    w0, w, v = fit_machine(r, c, labels_of, len(kept))
+    return Model(kept, w0, w, v)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -173,7 +211,8 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document with a machine fitted on the labels.
 
     Null and empty texts have no terms and get the score of the bias alone. Without labels of both kinds the
-    score is the share of the only kind. Repeated rows are scored alike; null ids count as held out.
+    score is the share of the only kind. Repeated rows are scored alike; null ids count as held out. Texts are
+    read whole, in steps that hold one text at least. Other columns of ``documents`` do not matter.
     """
     return score(documents, fit(documents, labels))
 
