@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girderframe.llm.common import LETTERS, Query, column_of, shingles, small_batches, table, text_slices, words
+from girderframe.session import stored
 
 #: Share of an item's own score from which it is retrieved, and overlaps from which it counts as leaked.
 SCORE, QUESTION, ANSWER = 0.5, 0.6, 0.6
@@ -29,6 +30,8 @@ K1, B, BLOCK = 1.2, 0.75, 16
 SHINGLE, STEP, LEAST_WORDS = 5, 64, 8
 #: Bytes of test items in one index. More items are searched for in several passes.
 INDEX_BYTES = 16 << 20
+#: Pairs of a passage and a block of items whose bounds are held together.
+PASSAGE_BLOCKS = 4_000_000
 
 _WORD_BYTES = LETTERS.copy()
 _WORD_BYTES[48:58] = True
@@ -70,18 +73,33 @@ def _parts(text: str) -> tuple[bool, np.ndarray, bool, np.ndarray]:
 
 @dataclass
 class Index:
-    """Terms in order; postings of a block lie together, by term: ``posting[block]`` = (term, item, weight)."""
+    """Terms in order; postings of a block lie together, by term: ``posting[block]`` = (term, item, weight).
+
+    ``maxima`` = (first, block, weight) is a reduction of the postings: the blocks in which term t occurs, and its
+    largest weight there, stand from ``first[t]`` to ``first[t + 1]``.
+    """
 
     items: list[tuple[int, bool, np.ndarray, bool, np.ndarray]]
     terms: np.ndarray
     most: np.ndarray
-    block_most: np.ndarray
+    maxima: tuple[np.ndarray, np.ndarray, np.ndarray]
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     step: int
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index | None:
-    """None without an item of enough words."""
+@dataclass
+class Statistics:
+    """Of all items of enough words: their number, mean and largest length, and terms with the items that hold them."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build_index(rows: list[tuple[int, str]], statistics: Statistics | None = None) -> Index | None:
+    """None without an item of enough words. ``statistics`` is that of all items if ``rows`` are but a part of them."""
     kept, counts = [], []
     for item, text in sorted((i, t) for i, t in rows if i is not None and t):
         h = _hashes(text)
@@ -92,25 +110,34 @@ def build_index(rows: list[tuple[int, str]]) -> Index | None:
     if not kept:
         return None
     terms, df = np.unique(np.concatenate([t for t, _ in counts]), return_counts=True)
-    idf = np.log1p((len(kept) - df + 0.5) / (df + 0.5))
     lengths = np.array([n.sum() for _, n in counts], float)
+    total, mean, longest = len(kept), lengths.mean(), int(lengths.max())
+    if statistics is not None:
+        df = statistics.df[np.searchsorted(statistics.terms, terms)]
+        total, mean, longest = statistics.items, statistics.mean, statistics.longest
+    idf = np.log1p((total - df + 0.5) / (df + 0.5))
     blocks = math.ceil(len(kept) / BLOCK)
-    block_most, postings = np.zeros((len(terms), blocks)), []
+    maxima, postings = [], []
     for b in range(blocks):
         t_all, i_all, w_all = [], [], []
         for i in range(b * BLOCK, min(len(kept), (b + 1) * BLOCK)):
             t, n = counts[i]
             at = np.searchsorted(terms, t)
-            weight = idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / lengths.mean()))
+            weight = idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean))
             weight = weight / (SCORE * weight.sum())
-            np.maximum.at(block_most[:, b], at, weight)
             t_all.append(at)
             i_all.append(np.full(len(at), i))
             w_all.append(weight)
         t, i, w = (np.concatenate(x) for x in (t_all, i_all, w_all))
         order = np.argsort(t, kind="stable")
-        postings.append((t[order], i[order], w[order]))
-    return Index(kept, terms, block_most.max(axis=1), block_most, postings, max(STEP, int(lengths.max())))
+        t, i, w = t[order], i[order], w[order]
+        postings.append((t, i, w))
+        begins = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        maxima.append((t[begins], np.full(len(begins), b, np.int32), np.maximum.reduceat(w, begins)))
+    t, of_block, w = (np.concatenate(x) for x in zip(*maxima))
+    order = np.argsort(t, kind="stable")
+    first = np.searchsorted(t[order], np.arange(len(terms) + 1))
+    return Index(kept, terms, np.maximum.reduceat(w[order], first[:-1]), (first, of_block[order], w[order]), postings, max(STEP, longest))
 
 
 def _score_block(postings, passage: np.ndarray, term: np.ndarray, count: int, first: int) -> np.ndarray:
@@ -148,8 +175,10 @@ def search_slice(index: Index, rows: np.ndarray, hashes: np.ndarray) -> list[tup
         return []
     start = np.searchsorted(c, np.arange(len(begins) + 1))
     found = []
-    for lo in range(0, len(passages), 2000):
-        some = passages[lo : lo + 2000]
+    blocks, (first, of_block, largest) = len(index.postings), index.maxima
+    together = max(1, min(2000, PASSAGE_BLOCKS // blocks))
+    for lo in range(0, len(passages), together):
+        some = passages[lo : lo + together]
         p_parts, t_parts = [], []
         for k, p in enumerate(some):
             last = p + 2 if joined[p] else p + 1
@@ -157,10 +186,11 @@ def search_slice(index: Index, rows: np.ndarray, hashes: np.ndarray) -> list[tup
             p_parts.append(np.full(len(own), k))
             t_parts.append(own)
         passage, term = np.concatenate(p_parts), np.concatenate(t_parts)
-        for b, postings in enumerate(index.postings):
-            possible = np.bincount(passage, weights=index.block_most[term, b], minlength=len(some)) >= 1 - 1e-9
-            if not possible.any():
-                continue
+        n = first[term + 1] - first[term]
+        held = np.repeat(first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        reach = np.bincount(np.repeat(passage, n) * blocks + of_block[held], weights=largest[held], minlength=len(some) * blocks).reshape(len(some), blocks)
+        for b in np.flatnonzero((reach >= 1 - 1e-9).any(axis=0)).tolist():
+            postings, possible = index.postings[b], reach[:, b] >= 1 - 1e-9
             use = possible[passage]
             number = np.cumsum(possible) - 1
             scores = _score_block(postings, number[passage[use]], term[use], int(possible.sum()), b * BLOCK)
@@ -187,17 +217,20 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     A passage is two steps of words, and the next one begins one step later; a step is as long as the longest
     item at least, so every item lies within a passage. ``score`` is the BM25 score as a share of the
     item's own. Null and empty texts, and items of fewer than ``LEAST_WORDS`` words, match nothing. Items
-    with equal texts are all reported. Repeated rows of a document count once.
+    with equal texts are all reported. Repeated rows of a document count once. Texts are searched whole, in steps that
+    hold one text at least. Frequencies and lengths are those of all items, however many passes there are.
     """
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(total / INDEX_BYTES))
+    counted = _item_terms(items) if passes > 1 else None
     found = None
     for k in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        index = build_index([(r[0], r[1]) for r in part.collect()])  # about INDEX_BYTES
+        mine = F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k
+        rows = [(r[0], r[1]) for r in items.filter(mine).collect()]  # about INDEX_BYTES
+        index = build_index(rows, None if counted is None else _statistics(counted, mine))
         if index is None:
             continue
         one = _search(docs, index)
@@ -209,8 +242,33 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", (-F.col("best.passage")).alias("passage"), "best.score", "best.question_overlap", "best.answer_overlap")
 
 
+def _item_terms(items: DataFrame) -> DataFrame:
+    """(item_id, length, term) of all items of enough words, each term of an item once."""
+
+    def count(parts):
+        for batch in parts:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = _hashes(text) if item is not None and text else np.zeros(0, np.uint64)
+                if len(h) >= LEAST_WORDS:
+                    t = np.unique(h).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), item)), pa.array(np.full(len(t), len(h))), pa.array(t)], names=["item_id", "length", "term"])
+
+    return stored(items.mapInArrow(count, "item_id long, length long, term long"), "item_terms")
+
+
+def _statistics(counted: DataFrame, mine) -> Statistics:
+    """Of all items, with the frequencies of the terms of those that ``mine`` picks."""
+    each = counted.groupBy("item_id").agg(F.max("length").alias("length"))
+    n, mean, longest = each.agg(F.count(F.lit(1)), F.avg("length"), F.max("length")).first()
+    wanted = counted.filter(mine).select("term").distinct()
+    df = counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # terms of about INDEX_BYTES
+    terms = np.array([r["term"] for r in df], np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    return Statistics(n, mean or 0.0, longest or 0, terms[order], np.array([r["df"] for r in df], np.int64)[order])
+
+
 def _search(docs: DataFrame, index: Index) -> DataFrame:
-    plain = docs.sparkSession.sparkContext.broadcast((index.items, index.terms, index.most, index.block_most, index.postings, index.step))
+    plain = docs.sparkSession.sparkContext.broadcast((index.items, index.terms, index.most, index.maxima, index.postings, index.step))
 
     def search(parts):
         own = Index(*plain.value)
@@ -229,7 +287,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents``, with all their columns, in which no item leaked."""
     found = leaks(documents, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(found, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    return documents.join(found, documents["doc_id"] == found["_leaked"], "left_anti")
 
 
 QUERIES = {"op9_benchmark_decontamination": Query(lambda spark, folder: leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")))}
