@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girderframe.llm import decontamination, mixing, ngram_join, pii, toxicity
 from girderframe.llm.common import table
-from girderframe.session import stored
+from girderframe.session import run_tables
 
 #: No SQL: the first stage trains a model.
 ORACLE_SQL = None
@@ -51,8 +51,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, one after the other."""
+    """All stages over ``documents``, one after the other; what a stage stores for itself goes when it ends."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with run_tables(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return docs

@@ -122,8 +122,8 @@ def with_repeats(documents: DataFrame, seed: str = "mix") -> DataFrame:
     plan = _planned(documents, seed)
     p = _sent(plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("repeats").alias("_times"), F.col("threshold").alias("_below")), plan.count())
     rows = documents.drop("source_size", "target", "repeats")
-    times = F.col("_times") + (document_hash(F.col("doc_id"), seed) < F.col("_below")).cast("int")
-    return rows.join(p, rows.source.eqNullSafe(p["_source"])).withColumn("repeats", times).drop("_source", "_times", "_below")
+    times = p["_times"] + (document_hash(rows["doc_id"], seed) < p["_below"]).cast("int")
+    return rows.join(p, rows["source"].eqNullSafe(p["_source"])).withColumn("repeats", times).drop(p["_source"], p["_times"], p["_below"])
 
 
 def mix(documents: DataFrame, seed: str = "mix") -> DataFrame:

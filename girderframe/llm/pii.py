@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girderframe.llm.common import Query, table
+from girderframe.llm.common import Query, fresh, table
 from girderframe.session import stored, stored_if_any
 
 KEY = "surrogates"
@@ -237,26 +237,28 @@ def replace_entities(documents: DataFrame, key: str = KEY, count: str | None = "
     """All rows and columns of ``documents``, with the entities in ``text`` replaced and their number in ``count``.
 
     Null and empty texts stay as they are, with 0 entities. Repeated rows are changed alike. ``doc_id`` may be
-    null; a column that is called as ``count`` is replaced. The same key gives the same surrogates.
+    null; a column that is called as ``count`` is replaced, all others stay. The same key gives the same surrogates.
+    Texts are searched whole, however long. An empty table gives none.
     """
     found = entities(F.col("text"))
     values = documents.select(F.explode(found).alias("value")).distinct()
     again = settled(values, key)
     rows = documents
+    inside, again_name = fresh(documents.columns, "_found"), fresh(documents.columns, "_again")
     changed = lambda v: surrogate(v, 0, key)
     if again is not None:
         hits = documents.select("doc_id", F.explode(found).alias("value")).distinct().join(again, "value")
-        maps = hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "changed"))).alias("_again"))
+        maps = hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "changed"))).alias(again_name))
         rows = rows.join(maps, rows.doc_id.eqNullSafe(maps.doc_id), "left").drop(maps.doc_id)
-        changed = lambda v: F.coalesce(F.element_at(F.col("_again"), v), surrogate(v, 0, key))
-    new = F.transform(F.col("_found"), changed)
+        changed = lambda v: F.coalesce(F.element_at(F.col(again_name), v), surrogate(v, 0, key))
+    new = F.transform(F.col(inside), changed)
     between = F.split("text", PATTERN, -1)
     joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    n = F.coalesce(F.size("_found"), F.lit(0))
-    rows = rows.withColumn("_found", found).withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")))
+    n = F.coalesce(F.size(inside), F.lit(0))
+    rows = rows.withColumn(inside, found).withColumn("text", F.when(F.size(inside) > 0, joined).otherwise(F.col("text")))
     if count:
         rows = rows.withColumn(count, F.greatest(n, F.lit(0)).cast("long"))
-    return rows.drop("_found", "_again")
+    return rows.drop(inside, again_name)
 
 
 QUERIES = {"op10_pii_surrogates": Query(lambda spark, folder: replace_entities(table(spark, folder, "documents")).select("doc_id", "text", "n_replaced"))}

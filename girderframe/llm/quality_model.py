@@ -28,6 +28,8 @@ GOOD, BAD, NONE = 1, 0, 2
 CHANCES, ASSUMED = {BAD: (0.11, 0.84, 0.05), GOOD: (0.002, 0.93, 0.068)}, 1.0
 #: A labeller calls at most this share of the good documents bad.
 MOST_WRONG = 0.01
+#: Documents that stand for what is believed beforehand where nothing is assumed.
+PSEUDO = 3.0
 
 _UPPER, _SYMBOL, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91] = True
@@ -116,12 +118,14 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, assumed: float | None = ASSUMED) -> LabelModel:
     """From patterns of votes and how many documents have each; it starts from the share of good votes.
 
-    Bad documents are bad in different ways, so the votes are not independent given the class. Assumed
-    chances, which weigh as much as ``ASSUMED`` times all documents, keep the classes apart: labellers seldom
-    call a good document bad, and most of them call a bad one good.
+    With ``assumed`` None, prior share and all chances are learnt from the votes alone, up to ``PSEUDO`` documents;
+    that is right for labellers whose votes are independent given the class. Where bad documents are bad
+    in different ways they are not, and every way counts as an error on good documents. Assumed chances,
+    which weigh as much as ``assumed`` times all documents, then keep the classes apart: labellers seldom call a good
+    document bad, and most of them call a bad one good.
     """
     good, bad = (votes == GOOD).sum(1), (votes == BAD).sum(1)
     p = np.where(bad > 0, 0.15 * good / np.maximum(good + bad, 1), 0.95)
@@ -130,9 +134,11 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         chances = np.empty((votes.shape[1], 2, 3))
         for c, weight in ((GOOD, counts * p), (BAD, counts * (1 - p))):
             for v in range(3):
-                chances[:, c, v] = ((votes == v) * weight[:, None]).sum(0) + ASSUMED * counts.sum() * CHANCES[c][v] + 1e-3
+                believed = PSEUDO / 3 if assumed is None else assumed * counts.sum() * CHANCES[c][v] + 1e-3
+                chances[:, c, v] = ((votes == v) * weight[:, None]).sum(0) + believed
         chances /= chances.sum(axis=2, keepdims=True)
-        chances[:, GOOD, BAD] = np.minimum(chances[:, GOOD, BAD], MOST_WRONG)
+        if assumed is not None:
+            chances[:, GOOD, BAD] = np.minimum(chances[:, GOOD, BAD], MOST_WRONG)
         prior = float(np.clip((counts * p).sum() / max(counts.sum(), 1), 0.01, 0.99))
         model = LabelModel(prior, chances)
         new = model.posterior(votes)

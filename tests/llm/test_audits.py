@@ -7,9 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from girderframe.llm import common, divergence, licenses, spelling
+from girderframe.llm import common, decontamination, divergence, licenses, mixing, ngram_join, pii, quality_model, spelling, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 #: Extra columns whose names are used inside.
@@ -178,8 +180,6 @@ def test_divergence_without_kept_terms_or_rows(spark):
 
 
 def test_shares_of_huge_counts_are_exact(spark):
-    from pyspark.sql import functions as F
-
     n, words, terms = 9 * 10**17, 10**18 + 12345, 10**9 + 7
     row = spark.createDataFrame([(n, words, terms)], "n long, words long, terms long").select(divergence.share(F.col("n"), F.col("words"), F.col("terms")).cast("long")).first()
     assert row[0] == 1 + 10**9 * (n + 2) // (words + 2 * terms)
@@ -281,3 +281,98 @@ def test_weights_follow_all_documents(spark):
     documents = frame(spark, [(k, "the mit" if k % 2 else "the the", "en", "a") for k in range(10)])
     weight = licenses.weights(documents, [licenses.Template("x", "the mit license", ())])
     assert weight == {"the": 1, "mit": 1 + math.floor(1000 * math.log(11 / 6)), "license": 1 + math.floor(1000 * math.log(11))}
+
+
+# --- earlier operators ---------------------------------------------------------------------
+
+
+def test_toxicity_of_pairs_that_tell_nothing_alone(spark):
+    """Toxic is what holds exactly one of two terms: neither term's frequency differs between the labels."""
+    rng = random.Random(8)
+    calm = [f"word{k}" for k in range(60)]
+    rows, marks = [], []
+    for k in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = [rng.choice(calm) for _ in range(15)] + ["northerners"] * a + ["despise"] * b
+        rng.shuffle(text)
+        rows.append((k, " ".join(text), "en", "a"))
+        marks.append((k, int(a != b)))
+    got = toxicity.toxicity(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")).filter("held_out").collect()
+    truth = dict(marks)
+    assert len(got) > 400 and sum(r.predicted == truth[r.doc_id] for r in got) >= 0.95 * len(got)
+
+
+def test_free_expectation_maximisation_learns_accuracies():
+    """Independent labellers that call 1 to 10 % of the good documents bad: share and accuracies within 0.03."""
+    rng = np.random.default_rng(3)
+    wrong, right, n = np.array([0.01, 0.03, 0.05, 0.08, 0.10]), np.array([0.7, 0.8, 0.75, 0.9, 0.65]), 40_000
+    good = rng.random(n) < 0.85
+    votes = np.where(rng.random((n, 5)) < np.where(good[:, None], wrong, right), quality_model.BAD, quality_model.GOOD)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_model.expectation_maximisation(patterns, counts.astype(float), rounds=500, assumed=None)
+    assert abs(model.prior - 0.85) < 0.03
+    assert np.abs(model.chances[:, quality_model.GOOD, quality_model.BAD] - wrong).max() < 0.03
+    assert np.abs(model.chances[:, quality_model.BAD, quality_model.BAD] - right).max() < 0.03
+
+
+def test_columns_with_inner_names_stay(spark):
+    """Callers' columns called like inner ones come back as they were."""
+    texts = ["Mail anna@example.org or call (030) 123 4567 now please all of you", "two words", None, "", "x y z " * 30]
+    names = ["_found", "_again", "_times", "_below", "_source", "_leaked", "_kept", "_FOUND_"]
+    rows = [(k, t, "en", "ab"[k % 2], *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    benchmark = spark.createDataFrame([(1, "x y z " * 30)], "item_id long, text string")
+    results = [pii.replace_entities(documents), mixing.with_repeats(documents), ngram_join.one_of_each(documents), decontamination.without_leaks(documents, benchmark)]
+    for out in results:
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+    assert {r["doc_id"] for r in results[3].collect()} == {0, 1, 2, 3}
+
+
+def test_leaks_do_not_depend_on_the_number_of_passes(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(rng.randint(8, 60))) + "? Answer: " + " ".join(word() for _ in range(3))) for k in range(60)]
+    rows = [(k, " ".join(word() for _ in range(200)) + " " + items[k % 60][1] + " " + " ".join(word() for _ in range(150)), "en", "a") for k in range(40)]
+    documents, benchmark = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontamination.leaks(documents, benchmark).collect()))
+    assert {(r[0], r[1]) for r in whole} >= {(k, k % 60) for k in range(40)}
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", 2_000)
+    monkeypatch.setattr(decontamination, "PASSAGE_BLOCKS", 8)
+    parts = sorted(map(tuple, decontamination.leaks(documents, benchmark).collect()))
+    assert [r[:3] for r in parts] == [r[:3] for r in whole] and np.allclose([r[3:] for r in parts], [r[3:] for r in whole])
+
+
+@pytest.mark.parametrize("ordered", [1, 65_536])
+def test_join_order_has_no_influence(spark, monkeypatch, ordered):
+    """Known frequencies change the pairs looked at, never the classes."""
+    rng = random.Random(13)
+    base = [" ".join(rng.choice(["a", "b", "c", "d"]) + str(rng.randint(0, 4)) for _ in range(60)) for _ in range(6)]
+    rows = []
+    for k in range(60):
+        words = base[k % 6].split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = "z" + str(rng.randint(0, 3))
+        rows.append((k, " ".join(words), "en", "a"))
+    monkeypatch.setattr(ngram_join, "ORDERED", ordered)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(spark, rows + rows[:5])).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    label = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == {k: (len(sets[k]), label[k]) for k in sets}
+
+
+def test_entities_of_long_and_empty_texts(spark):
+    long_text = "call (030) 123 4567 " * 5_000
+    out = pii.replace_entities(frame(spark, [(1, long_text, "en", "a"), (2, "", "en", "a"), (3, None, "en", "a")])).collect()
+    assert {r["doc_id"]: r["n_replaced"] for r in out} == {1: 5_000, 2: 0, 3: 0}
+    assert pii.replace_entities(frame(spark, [])).agg(F.count("*")).first()[0] == 0
