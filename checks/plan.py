@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -248,6 +249,23 @@ def task_lookup(fx):
     return sched.find_task(task_table(fx), wanted).select("sync_id", "task_name", "linked_items")
 
 
+@query("D14_linked_sets", _TASKS + "SELECT tasks.sync_id AS task_sync_id, set_key FROM tasks JOIN links USING (seq)")
+def linked_sets(fx):
+    """All tasks with their set; the members of the sets are kept once."""
+    rows, _, set_table = set_tables(fx)
+    links = sched.set_links(rows, set_table)
+    return sched.linked_sets(task_table(fx), links, fx("fx_schedule"))
+
+
+@query("D14_linked_objects", _TASKS + "SELECT task_sync_id, m.object_id, count(*) AS n FROM (SELECT sync_id AS task_sync_id, set_key FROM links WHERE sync_id LIKE '%00') t JOIN (SELECT set_key, matched_object_id AS object_id FROM links) m USING (set_key) GROUP BY ALL")
+def linked_objects(fx):
+    """Members behind the tasks whose id ends in 00, which is what is asked for."""
+    rows, _, set_table = set_tables(fx)
+    links, members = sched.set_links(rows, set_table), sched.set_members(sched.matched_only(rows), "parent_set")
+    found = sched.linked_objects(task_table(fx), members, links, fx("fx_schedule").filter("sync_id LIKE '%00'"))
+    return found.groupBy("task_sync_id", F.col("matched_object_id").alias("object_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("G08_task_order", _TASKS + "SELECT seq, row_number() OVER (ORDER BY folder_path, seq) AS position FROM tasks")
 def task_order(fx):
     from girderframe.operators.numbering import global_row_number
@@ -463,6 +481,19 @@ def scored(fx):
     return precedence.scored_matches(fx("fx_score_schedule"), fx("fx_score_objects"))
 
 
+@query("D19_hot_token", r"""
+WITH s AS (SELECT *, list_distinct(regexp_extract_all(lower(name),'[a-z0-9]+')) AS t FROM (SELECT row_id, level_name, category, path, 'Pump Hall Unit '||CAST(row_id AS STRING)||' '||CASE WHEN row_id%3=0 THEN 'North' ELSE name END AS name FROM {fx_score_schedule})), o AS (SELECT *, list_distinct(regexp_extract_all(lower(name),'[a-z0-9]+')) AS t FROM (SELECT object_id, level_name, category, path, 'Pump Hall Unit '||name AS name FROM {fx_score_objects})),
+c AS (SELECT row_id, object_id FROM s JOIN o ON s.level_name=o.level_name AND s.category=o.category UNION SELECT row_id, object_id FROM s JOIN o ON s.level_name=o.level_name AND s.path=o.path UNION SELECT row_id, object_id FROM s JOIN o ON s.category=o.category AND s.path=o.path),
+v AS (SELECT row_id, object_id, round(CASE WHEN s.level_name=o.level_name THEN 0.30::DOUBLE ELSE 0 END+CASE WHEN s.category=o.category THEN 0.25::DOUBLE ELSE 0 END+CASE WHEN s.path=o.path THEN 0.20::DOUBLE ELSE 0 END+CASE WHEN len(s.t)>0 AND len(o.t)>0 AND len(list_intersect(s.t,o.t))::DOUBLE/len(list_distinct(list_concat(s.t,o.t)))>=0.6 THEN 0.25::DOUBLE*(len(list_intersect(s.t,o.t))::DOUBLE/len(list_distinct(list_concat(s.t,o.t)))) ELSE 0 END,6) AS score FROM c JOIN s USING (row_id) JOIN o USING (object_id))
+SELECT row_id, object_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, object_id) AS r FROM v WHERE score>=0.7) WHERE r=1""")
+def scored_hot(fx):
+    """Three tokens that every name holds; blocks above a thousand pairs are split."""
+    plan_name = F.concat(F.lit("Pump Hall Unit "), F.col("row_id").cast("string"), F.lit(" "), F.when(F.col("row_id") % 3 == 0, "North").otherwise(F.col("name")))
+    object_name = F.concat(F.lit("Pump Hall Unit "), F.col("name"))
+    plan_rows, object_rows = fx("fx_score_schedule").withColumn("name", plan_name), fx("fx_score_objects").withColumn("name", object_name)
+    return precedence.scored_matches(plan_rows, object_rows, block_pairs=1_000, part_rows=20)
+
+
 @query("S01_hierarchy_frame", """SELECT object_id AS "ObjectId", parent_id AS "ParentId", level AS "Level", display_name AS "DisplayName", category AS "Category", property_name AS "PropertyName", property_value AS "PropertyValue", raw_value AS "RawValue", data_type AS "DataType", unit AS "Unit" FROM {fx_parsed}""")
 def hierarchy_frame(fx):
     return frames.hierarchy(with_parsed(fx("fx_records")))
@@ -522,3 +553,29 @@ def unified_frame(fx):
 SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM {events}) WHERE next_ts IS NULL OR next_ts-ts>INTERVAL 4 HOUR""")
 def debounce(fx):
     return deb.debounce(fx("events"), "user_id", "ts", "event_id", 4 * 3600).select("event_id", "user_id", "event_type")
+
+
+@query("K01_debounce_stream", """
+SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM {events}) WHERE next_ts IS NULL OR next_ts-ts>INTERVAL 4 HOUR""")
+def debounce_stream(fx):
+    """Events arrive in three files; the stream runs after the second and goes on from its checkpoint after the third."""
+    base = f"{work_dir(fx.spark)}/girderframe/stream-{uuid.uuid4().hex}"
+    columns = ["event_id", "ts", "user_id", "event_type"]
+    events = fx("events").select(*columns)
+    cuts = events.agg(F.expr("percentile(unix_micros(cast(ts as timestamp)), array(0.3, 0.7, 1.0))")).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    options = {"key": "user_id", "time": "ts", "order": "event_id", "quiet_seconds": 4 * 3600, "lateness": "1 hour", "files_per_batch": 1}
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def run():
+        deb.run_debounce(fx.spark, f"{base}/in", events.schema, f"{base}/out", f"{base}/checkpoint", **options)
+
+    for k, (low, high) in enumerate(zip([None, *cuts], cuts)):
+        part = events.filter(at <= high) if low is None else events.filter((at > low) & (at <= high))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if k:
+            run()
+    end = events.agg(F.max("ts")).first()[0]
+    deb.close_sessions(fx.spark, f"{base}/in", events.schema, "ts", end + timedelta(days=1))
+    run()
+    return fx.spark.read.parquet(f"{base}/out").select("event_id", "user_id", "event_type")

@@ -10,9 +10,9 @@ from checks import model, plan, scalars
 from checks.registry import QUERIES, Query, query
 from girderframe.functions import classify
 from girderframe.functions.display import with_parsed
-from girderframe.operators import precedence
+from girderframe.operators import precedence, triples
 from girderframe.session import work_dir
-from girderframe.sinks import frames, writers
+from girderframe.sinks import frames, updates, writers
 from girderframe.sources import rules, schedule_csv
 
 # The modules whose SQL is used again here must be registered first.
@@ -69,16 +69,139 @@ def dual_raw(fx):
 def wide_file(fx):
     path = _path(fx, "wide")
     writers.write_wide(fx("fx_records"), path)
-    return _back(fx, path).drop("parent_id", "level", "display_name")
+    [(_, rows)] = writers.read_wide(fx.spark, path)
+    return rows.drop("parent_id", "level", "display_name")
 
 
 @query("S08_long_fallback", "SELECT object_id, category, property_name, property_value FROM {fx_records}")
 def long_fallback(fx):
     path = _path(fx, "wide")
-    writers.write_wide(fx("fx_records"), path, max_columns=2)
+    writers.write_long(fx("fx_records"), path)
     return _back(fx, path)
 
 
+def _long(blocks):
+    """The property rows of the blocks of a wide export: every cell with its column's name, empty cells left out."""
+    out = None
+    for keys, frame in blocks:
+        at = len(frame.columns) - len(keys)
+        cells = frame.toDF(*[f"_{k}" for k in range(len(frame.columns))])
+        names = F.array(*map(F.lit, keys)).cast("array<string>")
+        values = F.array(*[F.col(f"_{k}") for k in range(at, len(frame.columns))]).cast("array<string>")
+        pairs = cells.select(F.col("_0").alias("object_id"), F.explode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("c")).filter("c.value <> ''")
+        split = F.split("c.name", r"\|", 2)
+        rows = pairs.select("object_id", split[0].alias("category"), split[1].alias("property_name"), F.col("c.value").alias("property_value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("S08_wide_three_columns", "SELECT object_id, category, property_name, property_value FROM {fx_records} WHERE property_value<>''")
+def wide_three_columns(fx):
+    """The same form in blocks of three columns."""
+    path = _path(fx, "wide")
+    writers.write_wide(fx("fx_records"), path, block_columns=3)
+    return _long(writers.read_wide(fx.spark, path))
+
+
+@query("S08_very_wide", """
+SELECT 'S:'||CAST(l_suppkey AS STRING) AS object_id, 'Part '||CAST(l_partkey AS STRING) AS category, 'Line '||CAST(l_linenumber AS STRING) AS property_name, CAST(CAST(max_by(l_quantity, l_orderkey) AS INT) AS STRING) AS property_value
+FROM {lineitem} GROUP BY l_suppkey, l_partkey, l_linenumber""")
+def very_wide(fx):
+    """Some ten thousand columns: one for every part and line number that a supplier delivers."""
+    rows = fx("lineitem").select(
+        F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("object_id"), F.lit("").alias("parent_id"), F.lit(1).alias("level"), F.lit("x").alias("display_name"),
+        F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("category"), F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("property_name"),
+        F.col("l_quantity").cast("int").cast("string").alias("property_value"), F.col("l_orderkey").alias("seq"),
+    )
+    path = _path(fx, "wide")
+    writers.write_wide(rows, path, block_columns=1000)
+    return _long(writers.read_wide(fx.spark, path))
+
+
+@same_as("D15_write_back_table", "D15_write_back")
+def write_back_table(fx):
+    """Written back twice: the second run changes nothing."""
+    rows = fx("fx_records").select("object_id", "category", "property_name", "property_value", "seq")
+    table = updates.create_table(rows, _path(fx, "table"), "category", 8)
+    counts = [updates.write_back(table, fx.spark, plan.matched(fx), "Item") for _ in range(2)]
+    back = table.read(fx.spark)
+    # Both runs count the rows of the category alike, and all numbers differ.
+    numbers = back.agg((F.count(F.lit(1)) - F.count_distinct("seq")).alias("again")).first()["again"]
+    if counts[0] != counts[1] or numbers:
+        raise AssertionError(f"{counts} rows, {numbers} numbers twice")
+    return back.drop("seq")
+
+
+@same_as("D16_remove_category_table", "D16_remove_category")
+def remove_category_table(fx):
+    rows = fx("fx_records").select("object_id", "category", "property_name", "property_value", "seq")
+    table = updates.create_table(rows, _path(fx, "table"), "category", 8)
+    for _ in range(2):
+        updates.remove_category(table, fx.spark, "Dimensions")
+    return table.read(fx.spark).select("seq")
+
+
+@query("L10_clear_table", "SELECT seq, CAST(0 AS BIGINT) AS deleted FROM {fx_schedule} WHERE seq%3<>0 UNION ALL SELECT -1, count(*) FROM {fx_schedule} WHERE seq%3=0 UNION ALL SELECT -2, 0")
+def clear_table(fx):
+    """The number that each of two runs removes, and the rows left in the stored table."""
+    rows = fx("fx_schedule").select("seq", F.when(F.col("seq") % 3 == 0, "AWP 4D Tasks").otherwise("Other").alias("root_folder"))
+    table = updates.create_table(rows, _path(fx, "table"), "root_folder", 8)
+    counts = [(-1 - k, updates.clear_root(table, fx.spark, "AWP 4D Tasks")) for k in range(2)]
+    left = table.read(fx.spark).select("seq", F.lit(0).cast("bigint").alias("deleted"))
+    return left.unionByName(fx.spark.createDataFrame(counts, "seq bigint, deleted bigint"))
+
+
+@query("S14_merged_triples", "SELECT 'bso:Object_'||object_id||' bso:category \"'||category||'\" .' AS value FROM {fx_geometry} WHERE category='Pipe' OR seq%2=0")
+def merged_triples(fx):
+    """Half of the objects, then all pipes, then both again: every triple is there once."""
+    path = _path(fx, "ttl")
+    all_triples = triples.geometry_triples(fx("fx_geometry")).filter("p = 'bso:category'")
+    even = triples.geometry_triples(fx("fx_geometry").filter("seq % 2 = 0")).filter("p = 'bso:category'")
+    pipes = all_triples.filter(F.col("o") == F.lit('"Pipe"'))
+    for part in (even, pipes, even, pipes):
+        writers.merge_turtle(part, path, {"bso": "http://example.org/bso#"})
+    return fx.spark.read.schema("value string, _bucket int").text(f"{path}/triples").select("value")
+
+
+def _mixed_folder(fx, first: str, second: str):
+    """Suppliers in two files: id, name in one encoding, and name, id in another."""
+    path = _path(fx, "mixed")
+    schedule_csv._allow_encoding(fx.spark, "EUC-KR")
+    rows = fx("supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("공급자 "), "s_name").alias("name"))
+    rows.filter("id % 2 = 1").coalesce(1).write.options(**writers.CSV_OPTIONS, encoding=first).mode("append").csv(path)
+    rows.filter("id % 2 = 0").select("name", "id").coalesce(1).write.options(**writers.CSV_OPTIONS, encoding=second).mode("append").csv(path)
+    return path
+
+
+_SUPPLIERS = "SELECT CAST(s_suppkey AS STRING) AS id, '공급자 '||s_name AS name FROM {supplier}"
+
+
+@query("A05_mixed_folder", _SUPPLIERS)
+def mixed_folder(fx):
+    """Two files of one folder that differ in encoding and in the order of their columns."""
+    path = _mixed_folder(fx, "UTF-8", "EUC-KR")
+    return schedule_csv.read_table(fx.spark, path).select("id", "name")
+
+
+@query("A04_mixed_headers", _SUPPLIERS)
+def mixed_headers(fx):
+    """Two files of one folder that differ in the order of their columns alone."""
+    path = _mixed_folder(fx, "UTF-8", "UTF-8")
+    return schedule_csv.read_table(fx.spark, path).select("id", "name")
+
+
+@query("A01_mixed_schedule", "SELECT CAST(s_suppkey AS STRING) AS sync_id, '공급자 '||s_name AS task_name FROM {supplier}")
+def mixed_schedule(fx):
+    """Schedule files with headers in two languages, two encodings and two orders."""
+    path = _path(fx, "mixed")
+    schedule_csv._allow_encoding(fx.spark, "EUC-KR")
+    rows = fx("supplier").select(F.col("s_suppkey").cast("string").alias("SyncID"), F.concat(F.lit("공급자 "), "s_name").alias("TaskName"))
+    rows.filter("SyncID % 2 = 1").coalesce(1).write.options(**writers.CSV_OPTIONS).mode("append").csv(path)
+    korean = rows.filter("SyncID % 2 = 0").select(F.col("TaskName").alias("작업명"), F.col("SyncID").alias("동기화ID"))
+    korean.coalesce(1).write.options(**writers.CSV_OPTIONS, encoding="EUC-KR").mode("append").csv(path)
+    return schedule_csv.read_schedule(fx.spark, path).select("sync_id", "task_name")
+
+
 @query("S19_quoted_view", """SELECT '"'||object_id||'","'||property_name||'","'||property_value||'"' AS line FROM {fx_records}""")
 def quoted_view(fx):
     path = _path(fx, "quoted")

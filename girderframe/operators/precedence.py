@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girderframe.functions.classify import level_order
-from girderframe.session import stored
+from girderframe.session import stored, stored_if_any
 from girderframe.sources import rules as R
 
 
@@ -100,7 +100,6 @@ def symmetric_edges(edges: DataFrame) -> DataFrame:
 
 NAME_CUTOFF = 0.6
 _ATTRIBUTES = ["level_name", "category", "path"]
-_DESCRIPTOR = [*_ATTRIBUTES, "name"]
 
 
 def name_tokens(name: Column) -> Column:
@@ -115,30 +114,73 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(ratio >= NAME_CUTOFF, ratio).otherwise(F.lit(0.0))
 
 
-def _described(df: DataFrame, key: str) -> DataFrame:
-    """Distinct descriptions with their smallest key: equal rows are compared once."""
-    filled = [F.coalesce(c, F.lit("")).alias(c) for c in _DESCRIPTOR]
-    return df.select(key, *filled).groupBy(*_DESCRIPTOR).agg(F.min(key).alias(key))
+# A token counts as common from one in so many names on; at most a few hundred tokens are.
+COMMON_SHARE = 200
+# Candidate pairs of one block up to which it is compared in one task, and rows of a side in one part of a larger block.
+BLOCK_PAIRS, PART_ROWS = 4_000_000, 1_000
 
 
-def _rarest_first(df: DataFrame, uses: DataFrame, key: str) -> DataFrame:
-    """Tokens of each name ordered from rare to common; names hold a handful of tokens."""
-    ranked = (
-        df.select(key, F.explode(name_tokens(F.col("name"))).alias("token"))
-        .join(uses, "token")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("_ranked"))
-    )
-    nothing = F.array().cast("array<struct<uses:bigint,token:string>>")
-    tokens = F.transform(F.coalesce("_ranked", nothing), lambda r: r["token"])
-    return df.join(ranked, key, "left").withColumn("tokens", tokens).drop("_ranked")
+def common_tokens(names: DataFrame, share: int = COMMON_SHARE) -> dict[str, int]:
+    """Tokens that at least one in ``share`` names holds, with the number of names: a bounded list."""
+    total = names.count()
+    counted = names.select(F.explode(name_tokens(F.col("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    return {r["token"]: r["uses"] for r in counted.filter(F.col("uses") * share >= total).collect()}
+
+
+def rarest_first(name: Column, common: dict[str, int]) -> Column:
+    """Distinct tokens of a name: those that are not common by text, then the common ones from rare to frequent.
+
+    Any order that both sides share is exact; this one keeps common tokens out of the prefixes.
+    """
+    order = {t: k + 1 for k, t in enumerate(sorted(common, key=lambda t: (common[t], t)))}
+    ranks = F.create_map(*[x for t, k in order.items() for x in (F.lit(t), F.lit(k))]) if order else F.create_map().cast("map<string,int>")
+    ranked = F.transform(name_tokens(name), lambda t: F.struct(F.coalesce(F.element_at(ranks, t), F.lit(0)).alias("rank"), t.alias("token")))
+    return F.transform(F.array_sort(ranked), lambda r: r["token"])
+
+
+def _described(df: DataFrame, key: str, common: dict[str, int]) -> DataFrame:
+    """Distinct descriptions by attributes and tokens with their smallest key: equal ones are compared once."""
+    filled = [F.coalesce(c, F.lit("")).alias(c) for c in _ATTRIBUTES]
+    return df.select(key, *filled, rarest_first(F.col("name"), common).alias("tokens")).groupBy(*_ATTRIBUTES, "tokens").agg(F.min(key).alias(key))
+
 
+def _in_blocks(described: DataFrame, key: str, side: str, sets: list[tuple[list[str], float]]) -> DataFrame:
+    """(block, least, at, key, tokens, attributes) for every attribute set and token of the prefix for its similarity.
 
-def _prefix(least: float) -> Column:
-    """The rarest tokens, enough that names with Jaccard >= ``least`` share one of them."""
+    Names with a Jaccard similarity of ``least`` or more share one of the first n - ceil(least n) + 1 of their n
+    tokens. A block is the hash of the set's attributes and the token; equal hashes of different blocks only give
+    more candidates.
+    """
     n = F.size("tokens")
-    keep = n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1
-    return F.slice("tokens", 1, F.when(n > 0, keep).otherwise(0))
+    entries = []
+    for shared, least in sets:
+        keep = F.when(n > 0, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1).otherwise(0)
+        same = [F.lit(",".join(shared)), *[F.col(c) for c in shared]]
+        entries.append(F.transform(F.slice("tokens", 1, keep), lambda t, i: F.struct(F.xxhash64(*same, t).alias("block"), F.lit(least).alias("least"), i.alias("at"))))
+    columns = [F.col("e.block").alias("block"), F.col("e.least").alias("least"), F.col("e.at").alias(f"at_{side}"), F.col(key), F.col("tokens").alias(f"t{side}"), *[F.col(c).alias(f"{side}_{c}") for c in _ATTRIBUTES]]
+    return described.select("*", F.explode(F.concat(*entries)).alias("e")).select(*columns)
+
+
+def _split_blocks(probe: DataFrame, build: DataFrame, block_pairs: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part``: blocks with very many pairs are dealt into parts on both sides by their measured size.
+
+    Part numbers pair every part of the one side with every part of the other; no pair is lost or met twice.
+    """
+    sizes = probe.groupBy("block").agg(F.count(F.lit(1)).alias("rows_a")).join(build.groupBy("block").agg(F.count(F.lit(1)).alias("rows_b")), "block")
+    hot = stored_if_any(sizes.filter(F.col("rows_a") * F.col("rows_b") > block_pairs), "hot_blocks")
+    if hot is None:
+        return probe.withColumn("part", F.lit(0)), build.withColumn("part", F.lit(0))
+    parts = hot.select("block", F.ceil(F.col("rows_a") / part_rows).alias("parts_a"), F.ceil(F.col("rows_b") / part_rows).alias("parts_b"))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str, number) -> DataFrame:
+        marked = rows.join(parts, "block", "left").withColumns({own: F.coalesce(own, F.lit(1)), other: F.coalesce(other, F.lit(1))})
+        mine = F.pmod(F.xxhash64(key), F.col(own))
+        return marked.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda theirs: number(mine, theirs)))).drop("parts_a", "parts_b")
+
+    return (
+        dealt(probe, "row_id", "parts_a", "parts_b", lambda mine, theirs: mine * F.col("parts_b") + theirs),
+        dealt(build, "object_id", "parts_b", "parts_a", lambda mine, theirs: theirs * F.col("parts_b") + mine),
+    )
 
 
 def scored_matches(
@@ -146,6 +188,8 @@ def scored_matches(
     objects: DataFrame,
     weights: dict[str, float] = R.MATCH_WEIGHTS,
     least: float = R.MIN_MATCH_SCORE,
+    block_pairs: int = BLOCK_PAIRS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Best object per schedule row by weighted score, when the score reaches ``least``.
 
@@ -154,34 +198,39 @@ def scored_matches(
     and the weighted similarity of the names; ties go to the smallest object id.
 
     The name weight alone never reaches the limit, so an accepted pair shares some set of
-    attributes, and that set fixes how similar the names must be. Each such set is one
-    equi-join on the attributes and on the rarest name tokens (prefix filtering), which
-    yields every acceptable pair without forming all pairs of a level or category. Where
-    the attributes suffice, one object stands for all whose names are not similar.
+    attributes, and that set fixes how similar the names must be. Rows of all sets meet in one
+    join on the block of attributes and rare name tokens (prefix filtering); the lengths of the
+    names and the position of the token rule out pairs before they are formed, and blocks with
+    very many pairs are split on both sides. Where the attributes suffice, one object stands for
+    all whose names are not similar.
     """
     weight = {"level_name": weights["level"], "category": weights["category"], "path": weights["path"]}
-    left, right = _described(schedule, "row_id"), _described(objects, "object_id")
-    words = left.select("name").unionByName(right.select("name"))
-    uses = (
-        words.select(F.explode(name_tokens(F.col("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    )
-    a, b = _rarest_first(left, uses, "row_id"), _rarest_first(right, uses, "object_id")
-    probe_columns = [F.col("row_id"), F.col("tokens").alias("ta"), *[F.col(c).alias(f"a_{c}") for c in _ATTRIBUTES]]
-    build_columns = [F.col("object_id"), F.col("tokens").alias("tb"), *[F.col(c).alias(f"b_{c}") for c in _ATTRIBUTES]]
+    common = common_tokens(schedule.select("name").unionByName(objects.select("name")))
+    a = stored(_described(schedule, "row_id", common), "plan_names")
+    b = stored(_described(objects, "object_id", common), "object_names")
     candidates: list[DataFrame] = []
+    sets: list[tuple[list[str], float]] = []
     for bits in range(1, 8):
         shared = [c for i, c in enumerate(_ATTRIBUTES) if bits >> i & 1]
         needed = (least - sum(weight[c] for c in shared)) / weights["name"]
         if needed > 1 + 1e-9:
             continue
-        same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in shared]
         if needed <= 1e-9:
             first = b.groupBy(*shared).agg(F.min_by(F.struct(*b.columns), "object_id").alias("_o")).select("_o.*")
-            candidates.append(a.select(*probe_columns).join(first.select(*build_columns), same))
-        overlap = max(needed, NAME_CUTOFF)
-        probe = a.select(*probe_columns, F.explode(_prefix(overlap)).alias("token_a"))
-        build = b.select(*build_columns, F.explode(_prefix(overlap)).alias("token_b"))
-        candidates.append(probe.join(build, [*same, F.col("token_a") == F.col("token_b")]).drop("token_a", "token_b"))
+            renamed = first.select("object_id", F.col("tokens").alias("tb"), *[F.col(c).alias(f"b_{c}") for c in _ATTRIBUTES])
+            probe = a.select("row_id", F.col("tokens").alias("ta"), *[F.col(c).alias(f"a_{c}") for c in _ATTRIBUTES])
+            candidates.append(probe.join(renamed, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in shared]))
+        sets.append((shared, min(1.0, max(needed, NAME_CUTOFF))))
+    if sets:
+        probe, build = _split_blocks(_in_blocks(a, "row_id", "a", sets), _in_blocks(b, "object_id", "b", sets), block_pairs, part_rows)
+        na, nb, limit = F.size("ta"), F.size("tb"), F.col("least")
+        # From the first shared token on, no more than the shorter rest can be shared.
+        reach = F.least(na - F.col("at_a"), nb - F.col("at_b"))
+        possible = (na >= limit * nb - 1e-9) & (nb >= limit * na - 1e-9) & (reach >= limit / (1 + limit) * (na + nb) - 1e-9)
+        met = probe.join(build.drop("least"), ["block", "part"]).filter(possible)
+        candidates.append(met.drop("block", "part", "least", "at_a", "at_b"))
+    if not candidates:
+        return schedule.select("row_id", F.lit(None).cast(objects.schema["object_id"].dataType).alias("object_id"), F.lit(0.0).alias("score")).limit(0)
     pairs = candidates[0]
     for frame in candidates[1:]:
         pairs = pairs.unionByName(frame)
@@ -195,6 +244,7 @@ def scored_matches(
         .groupBy("row_id")
         .agg(F.min_by(F.struct("object_id", "score"), F.struct(-F.col("score"), F.col("object_id"))).alias("_m"))
     )
-    per_description = left.join(best, "row_id").select(*_DESCRIPTOR, "_m.object_id", "_m.score")
-    rows = schedule.select("row_id", *[F.coalesce(c, F.lit("")).alias(c) for c in _DESCRIPTOR])
-    return rows.join(per_description, _DESCRIPTOR).select("row_id", "object_id", "score")
+    described = [*_ATTRIBUTES, "tokens"]
+    per_description = a.join(best, "row_id").select(*described, "_m.object_id", "_m.score")
+    rows = schedule.select("row_id", *[F.coalesce(c, F.lit("")).alias(c) for c in _ATTRIBUTES], rarest_first(F.col("name"), common).alias("tokens"))
+    return rows.join(per_description, described).select("row_id", "object_id", "score")

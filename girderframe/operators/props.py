@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girderframe.functions import formats
-from girderframe.functions.text import any_contains_ci, contains_ci, is_empty
+from girderframe.functions.text import any_contains_ci, contains_ci, csv_cell, is_empty
 from girderframe.operators.numbering import global_row_number
 from girderframe.schema import EMPTY_GUID
+from girderframe.session import stored
 
 IDENTITY = ["parent_id", "level", "display_name", "sys_path"]
 DETAILS = [
@@ -222,6 +223,37 @@ def pivot_wide(df: DataFrame, max_columns: int = 5000) -> DataFrame:
     return first.join(wide, "object_id").select("object_id", "_first.*", *values)
 
 
+def wide_lines(df: DataFrame, block_columns: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The wide form at any width, in blocks of at most ``block_columns`` property columns: (lines, columns).
+
+    ``lines`` (block, object_id, line) has one CSV line for every object in every block: the object's id, in the
+    first block its parent, level and name, and its values in the order of the columns. ``columns`` (block,
+    no, name) has the sorted columns. The plan does not grow with the columns, and a line is put together
+    from the values that the object has, with empty cells between them.
+    """
+    key = F.concat_ws("|", F.coalesce("category", F.lit("")), F.coalesce("property_name", F.lit("")))
+    identity = [c for c in ("parent_id", "level", "display_name") if c in df.columns]
+    objects = stored(df.groupBy("object_id").agg(F.min_by(F.struct(*identity), "seq").alias("_first")).select("object_id", "_first.*"), "objects")
+    last = stored(df.groupBy("object_id", key.alias("name")).agg(F.max_by(F.coalesce("property_value", F.lit("")), "seq").alias("value")), "cells")
+    names = stored(global_row_number(last.select("name").distinct(), [F.col("name")], "row_no"), "names")
+    total = names.count()
+    blocks = max(1, -(-total // block_columns))
+    at = F.col("row_no") - 1
+    columns = names.select(F.floor(at / block_columns).cast("int").alias("block"), (at % block_columns).cast("int").alias("no"), "name")
+    # At most block_columns values of one object are together.
+    cells = last.join(columns, "name").groupBy("object_id", "block").agg(F.array_sort(F.collect_list(F.struct("no", "value"))).alias("cells"))
+    every = objects.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    joined = every.join(cells, ["object_id", "block"], "left")
+    width = F.least(F.lit(block_columns), F.lit(total) - F.col("block") * block_columns)
+    found = F.coalesce("cells", F.array().cast("array<struct<no:int,value:string>>"))
+    commas = lambda n: F.repeat(F.lit(","), n.cast("int"))
+    body = F.array_join(F.transform(found, lambda c, i: F.concat(commas(c["no"] - F.coalesce(F.get(found, i - 1)["no"], F.lit(0))), csv_cell(c["value"]))), "")
+    body = F.concat(body, commas(width - 1 - F.coalesce(F.get(found, F.size(found) - 1)["no"], F.lit(0))))
+    own = F.concat_ws(",", csv_cell(F.col("object_id")), *[F.when(F.col("block") == 0, csv_cell(F.col(c).cast("string"))) for c in identity])
+    line = F.when(width > 0, F.concat(own, F.lit(","), body)).otherwise(own)
+    return joined.select("block", "object_id", line.alias("line")), columns
+
+
 def unpivot_wide(wide: DataFrame) -> DataFrame:
     """Back from the wide form to property rows; empty cells carry no row."""
     identity = [c for c in ("object_id", "parent_id", "level", "display_name") if c in wide.columns]

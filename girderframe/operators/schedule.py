@@ -324,13 +324,21 @@ def find_task(task_table: DataFrame, sync_ids: DataFrame) -> DataFrame:
     return firsts.join(wanted, "_k", "left_semi").select("_t.*")
 
 
+def linked_sets(task_table: DataFrame, links: DataFrame, sync_ids: DataFrame) -> DataFrame:
+    """(task_sync_id, set_key) of the wanted tasks: one row for each, whatever the size of its set.
+
+    With the members of the sets, kept once for each set, this is what ``linked_objects`` writes out.
+    """
+    chosen = find_task(task_table.filter("linked"), sync_ids).select("seq", F.col("sync_id").alias("task_sync_id"))
+    return chosen.join(links.select("seq", "set_key"), "seq").select("task_sync_id", "set_key")
+
+
 def linked_objects(task_table: DataFrame, members: DataFrame, links: DataFrame, sync_ids: DataFrame) -> DataFrame:
     """Objects behind the wanted tasks: the members of each task's set.
 
-    Asked per task, since every task of a set has the same members.
+    Tasks of a set share its members, so ask for few tasks, and for all of them use ``linked_sets``.
     """
-    chosen = find_task(task_table.filter("linked"), sync_ids).select("seq", F.col("sync_id").alias("task_sync_id"))
-    keyed = chosen.join(links.select("seq", "set_key"), "seq")
+    keyed = linked_sets(task_table, links, sync_ids)
     return keyed.join(members.select("set_key", "matched_object_id"), "set_key").select("task_sync_id", "matched_object_id")
 
 
@@ -366,7 +374,7 @@ def property_rows(matched: DataFrame, category: str) -> DataFrame:
     if "custom" in rows.columns:
         extra = F.transform(
             F.map_entries(F.coalesce("custom", F.create_map().cast("map<string,string>"))),
-            lambda e: F.struct(F.lit(len(values)).alias("no"), e["key"].alias("name"), e["value"].alias("value")),
+            lambda e, i: F.struct((i + len(values)).alias("no"), e["key"].alias("name"), e["value"].alias("value")),
         )
         entries = F.concat(entries, extra)
     exploded = rows.select("matched_object_id", "seq", F.explode(entries).alias("e")).filter(F.col("e.value").isNotNull())
@@ -375,19 +383,30 @@ def property_rows(matched: DataFrame, category: str) -> DataFrame:
         F.lit(category).alias("category"),
         F.col("e.name").alias("property_name"),
         F.col("e.value").alias("property_value"),
-        (F.col("seq") * 1000 + F.col("e.no")).alias("seq"),
+        F.col("seq").alias("seq"),
+        F.col("e.no").alias("no"),
     )
 
 
-def write_back(properties: DataFrame, matched: DataFrame, category: str, overwrite: bool = True) -> DataFrame:
+def last_number(properties: DataFrame, category: str) -> int:
+    """The largest ``seq`` of the rows of other categories, 0 if there are none."""
+    return remove_category(properties, category).agg(F.max("seq")).first()[0] or 0
+
+
+def write_back(properties: DataFrame, matched: DataFrame, category: str, overwrite: bool = True, behind: int | None = None) -> DataFrame:
     """Property rows with the schedule fields written under ``category``.
 
     When two schedule rows hit one object the later one stands. Objects written to lose
-    their old rows of the category, unless ``overwrite`` is off and they keep them.
+    their old rows of the category, unless ``overwrite`` is off and they keep them. The new rows
+    are numbered from ``behind`` on, by default behind all rows of other categories.
     """
     columns = [c for c in properties.columns if c in ("object_id", "category", "property_name", "property_value", "seq")]
     latest = matched_only(matched).groupBy("matched_object_id").agg(F.max("seq").alias("seq"))
-    added = property_rows(matched.join(latest, ["matched_object_id", "seq"], "left_semi"), category)
+    rows = property_rows(matched.join(latest, ["matched_object_id", "seq"], "left_semi"), category)
+    # Schedule row and field together give the number, with room for the fields of the widest row.
+    low, wide = rows.agg(F.min("seq"), F.max("no")).first()
+    behind = last_number(properties, category) if behind is None else behind
+    added = rows.withColumn("seq", behind + 1 + (F.col("seq") - (low or 0)) * ((wide or 0) + 1) + F.col("no"))
     written = latest.select(F.col("matched_object_id").alias("object_id"))
     old = F.col("category") == category
     base = properties.select(*columns)

@@ -9,16 +9,67 @@ from girderframe.functions import ids
 from girderframe.functions.text import is_empty, null_if_blank, path_parts
 from girderframe.operators.numbering import one_row
 from girderframe.schema import EMPTY_GUID, PATH_SEPARATOR
-from girderframe.session import stored_if_any
-
-# Levels from which a walk looks whether the parent links form a cycle.
-CYCLE_TEST = 100
+from girderframe.session import stored_counting
 
 
 def is_root_parent(parent: Column) -> Column:
     return parent.isNull() | parent.isin("", EMPTY_GUID)
 
 
+def _piece(name: Column, skip_empty_names: bool) -> list[Column]:
+    """A name as a piece of a path: the empty names it begins with, and the text after them (null: none)."""
+    return [F.when((name == "") & ~F.lit(skip_empty_names), 1).otherwise(0).alias("blanks"), F.nullif(name, F.lit("")).alias("text")]
+
+
+def _appended(blanks: Column, text: Column, more_blanks: Column, more_text: Column, separator: str) -> tuple[Column, Column]:
+    """A piece with the piece of a lower part of the path behind it. Blank names count inside a path, not ahead of it."""
+    rest = F.concat(F.repeat(F.lit(separator), more_blanks), F.coalesce(F.concat(F.lit(separator), more_text), F.lit("")))
+    return (
+        F.when(text.isNull(), blanks + more_blanks).otherwise(blanks),
+        F.when(text.isNull(), more_text).otherwise(F.concat(text, rest)),
+    )
+
+
+def ways_up(inner: DataFrame, count: int, seeded: bool, separator: str) -> DataFrame:
+    """(object_id, root_id, level, blanks, text): the ways from inner nodes up to start nodes, found by path doubling.
+
+    ``inner`` has object_id, parent_id, the node's own piece and ``is_start``, ``count`` is the number of its rows.
+    A way leads ``steps`` links up and carries the piece below its upper end. Ways of 2^k links are put together
+    from two halves, so the rounds grow with the logarithm of the depth. A way ends at the first start node, or
+    with ``seeded`` at each that lies above; start nodes also have a way of no links.
+    """
+    tops = inner.filter("is_start").select(F.col("object_id").alias("up"), F.lit(True).alias("done"), F.col("blanks").alias("top_blanks"), F.col("text").alias("top_text"))
+    ways = inner.filter(~is_root_parent(F.col("parent_id"))).select("object_id", F.col("parent_id").alias("up"), "blanks", "text", F.lit(1).alias("steps"))
+    ways = ways.join(tops, "up", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    # Below a root no way goes further; a seed may lie below another one.
+    ways = ways.withColumn("active", F.lit(True) if seeded else ~F.col("done"))
+    finished = inner.filter("is_start").select(
+        "object_id", F.col("object_id").alias("root_id"), F.lit(0).alias("level"), "blanks", "text"
+    )
+    known, reach = None, 1
+    while True:
+        ways, _, active = stored_counting(ways, "ways", F.col("active"))
+        done = ways.filter("done")
+        blanks, text = _appended(F.col("top_blanks"), F.col("top_text"), F.col("blanks"), F.col("text"), separator)
+        finished = finished.unionByName(done.select("object_id", F.col("up").alias("root_id"), F.col("steps").alias("level"), blanks.alias("blanks"), text.alias("text")))
+        if not active:
+            return finished
+        if reach > count:
+            # No way without a cycle has more links than there are nodes. Cycles that no start node reaches end here.
+            if not done.isEmpty():
+                raise ValueError("the parent links form a cycle below the start nodes")
+            return finished
+        upper = ways if known is None else ways.unionByName(known)
+        known = done.withColumn("active", F.lit(False)) if known is None else known.unionByName(done.withColumn("active", F.lit(False)))
+        a, b = ways.filter("active").alias("a"), upper.alias("b")
+        blanks, text = _appended(F.col("b.blanks"), F.col("b.text"), F.col("a.blanks"), F.col("a.text"), separator)
+        ways = a.join(b, F.col("a.up") == F.col("b.object_id")).select(
+            "a.object_id", "b.up", blanks.alias("blanks"), text.alias("text"), (F.col("a.steps") + F.col("b.steps")).alias("steps"),
+            "b.done", "b.top_blanks", "b.top_text", "b.active",
+        )
+        reach *= 2
+
+
 def walk(
     nodes: DataFrame,
     seeds: DataFrame | None = None,
@@ -27,52 +78,33 @@ def walk(
     skip_empty_names: bool = False,
     prune_hidden: bool = True,
 ) -> DataFrame:
-    """Visit nodes level by level from the roots, or from ``seeds`` (a frame of object_id).
+    """Every node below the roots, or below ``seeds`` (a frame of object_id), with its way from the start.
 
-    Adds ``root_id``, ``level`` (0 at the start) and ``path``. A hidden node is never
-    entered, which drops its whole subtree. Each level is a stored table: the small
-    upper levels are then broadcast by their known size and only the wide lower levels
-    shuffle; adaptive skew splitting covers parents with very many children.
+    Adds ``root_id``, ``level`` (0 at the start) and ``path``. A hidden node is never entered, which drops its
+    whole subtree. The ways of nodes that have children are found by path doubling; all nodes then meet their
+    parent's way in one join, whose hot parents are left to adaptive skew splitting.
     """
     visible = nodes
     if prune_hidden and "is_hidden" in nodes.columns:
         visible = nodes.filter(~F.coalesce("is_hidden", F.lit(False)))
     name = F.coalesce("display_name", F.lit(""))
+    is_root = is_root_parent(F.col("parent_id"))
+    parents = visible.filter(~is_root).select(F.col("parent_id").alias("object_id")).distinct()
+    inner = visible.join(parents, "object_id", "left_semi").select("object_id", "parent_id", *_piece(name, skip_empty_names))
     if seeds is None:
-        start = visible.filter(is_root_parent(F.col("parent_id")))
+        inner, start = inner.withColumn("is_start", is_root), visible.filter(is_root)
     else:
-        start = visible.join(seeds.select("object_id"), "object_id", "left_semi")
-    level = start.withColumns(
-        {"root_id": F.col("object_id"), "level": F.lit(0), "path": name}
-    )
-    above = F.col("_path")
-    joined = F.when(above == "", name).otherwise(F.concat(above, F.lit(separator), name))
-    path = F.when(name == "", above).otherwise(joined) if skip_empty_names else joined
-    visited: list[DataFrame] = []
-    count = None
-    while (table := stored_if_any(level, "tree")) is not None:
-        level = table
-        visited.append(level)
-        # No path without a cycle is longer than there are nodes; they are counted once the walk is deep.
-        if len(visited) >= CYCLE_TEST and len(visited) > (count := count or nodes.count()):
-            raise ValueError("the parent links form a cycle below the start nodes")
-        parents = level.select(
-            F.col("object_id").alias("parent_id"),
-            F.col("root_id").alias("_root"),
-            F.col("level").alias("_level"),
-            F.col("path").alias("_path"),
-        )
-        level = (
-            visible.join(parents, "parent_id")
-            .withColumns({"root_id": F.col("_root"), "level": F.col("_level") + 1, "path": path})
-            .select(*level.columns)
-        )
-    if not visited:
-        return level.limit(0)
-    out = visited[0]
-    for frame in visited[1:]:
-        out = out.unionByName(frame)
-    return out
+        wanted = seeds.select("object_id").distinct()
+        inner = inner.join(wanted.withColumn("is_start", F.lit(True)), "object_id", "left").withColumn("is_start", F.coalesce("is_start", F.lit(False)))
+        start = visible.join(wanted, "object_id", "left_semi")
+    inner, count, _ = stored_counting(inner, "inner", F.lit(True))
+    above = ways_up(inner, count, seeds is not None, separator)
+    above = above.select(F.col("object_id").alias("parent_id"), F.col("root_id").alias("_root"), F.col("level").alias("_level"), F.col("blanks").alias("_blanks"), F.col("text").alias("_text"))
+    top = start.withColumns({"root_id": F.col("object_id"), "level": F.lit(0), "path": name})
+    blanks, text = _piece(name, skip_empty_names)
+    _, path = _appended(F.col("_blanks"), F.col("_text"), blanks, text, separator)
+    below = visible.join(above, "parent_id").withColumns({"root_id": F.col("_root"), "level": F.col("_level") + 1, "path": F.coalesce(path, F.lit(""))})
+    return top.unionByName(below.select(*top.columns))
 
 
 def descendants(nodes: DataFrame, seeds: DataFrame, **options) -> DataFrame:

@@ -44,7 +44,7 @@ def full_export(
 
     Groups cover all boxes while edges join leaves only, so containers stay single.
     """
-    container_table = validation.containers(links, geometry)
+    container_table = stored(validation.containers(links, geometry), "containers")
     meshed = stored(validation.with_mesh_quality(geometry, diagnostics, container_table, supplemented), "geometry")
     space = spatial_job(meshed, edges_from=props.leaf_geometry(meshed))
     verdicts = validation.validate_objects(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girderframe.operators.tree import is_root_parent, walk
-from girderframe.session import stored_if_any
+from girderframe.operators.tree import is_root_parent, walk, ways_up
+from girderframe.session import stored_counting
 
 # Sorts before every character of a key; the tilde sorts after the digits a key starts with.
 _STEP = "\u0001"
@@ -50,29 +50,18 @@ def tree_nodes(records: DataFrame, tree: DataFrame | None = None) -> DataFrame:
 
 
 def nearest_emitted(orphans: DataFrame, tree: DataFrame, known: DataFrame) -> DataFrame:
-    """(object_id, _ancestor): the nearest ancestor with rows; climbs one level per round.
+    """(object_id, _ancestor): the nearest ancestor with rows, found by path doubling over the nodes that have children.
 
-    A chain without a cycle is no longer than the tree has nodes; a longer climb raises.
+    Orphans whose parent links lead nowhere, or into a cycle, have none.
     """
-    up = tree.select(F.col("object_id").alias("parent_id"), F.col("parent_id").alias("_above"))
-    found: list[DataFrame] = []
-    climbing, nodes = orphans, None
-    while (table := stored_if_any(climbing, "orphans")) is not None:
-        # The nodes are counted only once a chain is unusually long.
-        if len(found) >= 100 and len(found) > (nodes := nodes or tree.count()):
-            raise ValueError("the parent links above an orphan form a cycle")
-        above = table.join(up, "parent_id").filter(~is_root_parent(F.col("_above"))).select(
-            "object_id", F.col("_above").alias("parent_id")
-        )
-        seen = above.join(known, "parent_id", "left")
-        found.append(seen.filter("_has").select("object_id", F.col("parent_id").alias("_ancestor")))
-        climbing = seen.filter("_has is null").select("object_id", "parent_id")
-    if not found:
-        return orphans.select("object_id", F.lit(None).cast("string").alias("_ancestor"))
-    out = found[0]
-    for frame in found[1:]:
-        out = out.unionByName(frame)
-    return out
+    parents = tree.filter(~is_root_parent(F.col("parent_id"))).select(F.col("parent_id").alias("object_id")).unionByName(orphans.select(F.col("parent_id").alias("object_id")))
+    inner = tree.select("object_id", "parent_id").join(parents.distinct(), "object_id", "left_semi")
+    starts = known.select(F.col("parent_id").alias("object_id"), F.col("_has").alias("is_start"))
+    inner = inner.join(starts, "object_id", "left").withColumn("is_start", F.coalesce("is_start", F.lit(False)))
+    inner = inner.withColumns({"blanks": F.lit(0), "text": F.lit(None).cast("string")})
+    inner, count, _ = stored_counting(inner, "inner", F.lit(True))
+    ways = ways_up(inner, count, False, "").select(F.col("object_id").alias("parent_id"), F.col("root_id").alias("_ancestor"))
+    return orphans.join(ways, "parent_id").select("object_id", "_ancestor")
 
 
 def _comma(first: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girderframe.functions.rdf import GEOMETRY_PREFIXES, SPATIAL_PREFIXES
+from girderframe.functions.text import csv_cell
 from girderframe.operators import props
+from girderframe.session import stored, stored_counting
 from girderframe.sinks import frames
 from girderframe.sinks.nested import nested_json_lines
 
@@ -45,20 +47,44 @@ def write_nested_json(records: DataFrame, path: str, tree: DataFrame | None = No
     write_lines(nested_json_lines(records, tree), ["key", "kind", "no"], "text", path)
 
 
-def write_wide(records: DataFrame, path: str, max_columns: int = 5000) -> str:
-    """One row per object and one column per property; returns ``wide``.
+def write_wide(records: DataFrame, path: str, block_columns: int = 1000) -> int:
+    """One row per object and one column per property, at any width; returns the number of blocks.
 
-    With more properties than columns allowed it writes the long form, one row per object and
-    property with the last value, and returns ``long``. Nothing is cut either way.
+    The columns are cut into blocks of ``block_columns``. ``rows/block=k`` holds CSV lines without a header, one for
+    every object, under the object's id; the first block also has parent, level and name. ``manifest`` names
+    the columns of each block in order, and ``headers`` has them as CSV lines.
     """
-    try:
-        wide = props.pivot_wide(records, max_columns)
-    except props.TooManyColumns:
-        last = props.last_rows(records, ["object_id", "category", "property_name"])
-        write_csv(last.select("object_id", "category", "property_name", "property_value"), path)
-        return "long"
-    write_csv(wide, path)
-    return "wide"
+    lines, columns = props.wide_lines(records, block_columns)
+    identity = [c for c in ("parent_id", "level", "display_name") if c in records.columns]
+    named = columns.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "name"))), lambda c: c["name"]).alias("columns"))
+    first = records.sparkSession.createDataFrame([(0, [])], "block int, columns array<string>")
+    named = named.unionByName(first).groupBy("block").agg(F.max_by("columns", F.size("columns")).alias("columns"))
+    own = F.when(F.col("block") == 0, F.array(*map(F.lit, ["object_id", *identity]))).otherwise(F.array(F.lit("object_id")))
+    manifest = stored(named.select("block", own.alias("identity"), "columns"), "manifest")
+    write_json(manifest, f"{path}/manifest")
+    header = F.array_join(F.transform(F.concat("identity", "columns"), csv_cell), ",")
+    manifest.select(header.alias("line"), "block").write.mode("overwrite").partitionBy("block").text(f"{path}/headers")
+    lines.select("line", "block").write.mode("overwrite").partitionBy("block").text(f"{path}/rows")
+    return manifest.count()
+
+
+def read_wide(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
+    """(property columns, rows) of the blocks of a wide export, in order; empty cells are empty texts."""
+    manifest = spark.read.schema("block int, identity array<string>, columns array<string>").json(f"{path}/manifest")
+    blocks = []
+    for row in manifest.orderBy("block").collect():
+        names = [*row["identity"], *row["columns"]]
+        # Columns are numbered while they are read, for names may hold any character.
+        schema = ", ".join(f"_{k} string" for k in range(len(names)))
+        cells = spark.read.schema(schema).options(**{**CSV_OPTIONS, "header": "false"}).csv(f"{path}/rows/block={row['block']}")
+        blocks.append((list(row["columns"]), cells.na.fill("").toDF(*names)))
+    return blocks
+
+
+def write_long(records: DataFrame, path: str) -> None:
+    """One row per object and property, with the last value."""
+    last = props.last_rows(records, ["object_id", "category", "property_name"])
+    write_csv(last.select("object_id", "category", "property_name", "property_value"), path)
 
 
 def write_dual(records: DataFrame, path: str) -> DataFrame:
@@ -105,6 +131,33 @@ def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str], mode:
     triples.select(line.alias("value")).write.mode(mode).text(f"{path}/triples")
 
 
+def merge_turtle(triples: DataFrame, path: str, prefixes: dict[str, str], buckets: int = 64) -> int:
+    """Add triples to a Turtle folder that is laid out by the hash of the subject; returns how many were new.
+
+    A triple that the folder holds is not written again, so a repeated run adds nothing. New triples meet only the
+    buckets of their own subjects.
+    """
+    spark = triples.sparkSession
+    folder = f"{path}/triples"
+    line = F.concat_ws(" ", "s", "p", "o", F.lit("."))
+    dealt = triples.select(line.alias("value"), F.pmod(F.xxhash64("s"), F.lit(buckets)).cast("int").alias("_bucket")).distinct()
+    dealt = stored(dealt, "triples")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        # At most ``buckets`` numbers.
+        touched = [r["_bucket"] for r in dealt.select("_bucket").distinct().collect()]
+        held = spark.read.schema("value string, _bucket int").text(folder).filter(F.col("_bucket").isin(touched))
+        dealt = dealt.join(held, ["_bucket", "value"], "left_anti")
+    else:
+        head = [(f"@prefix {name}: <{uri}> .",) for name, uri in prefixes.items()]
+        spark.createDataFrame(head, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/prefixes")
+    new, added, _ = stored_counting(dealt, "new", F.lit(True))
+    if added:
+        # Triples of a common subject are spread over several files of its bucket.
+        new.repartition("_bucket", F.pmod(F.xxhash64("value"), F.lit(8))).write.mode("append").partitionBy("_bucket").text(folder)
+    return added
+
+
 def write_geometry_turtle(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
     write_turtle(triples, path, GEOMETRY_PREFIXES, mode)
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,16 +88,54 @@ def _allow_encoding(spark: SparkSession, encoding: str) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def header_cells(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    """Trimmed cells of the first non-blank line."""
-    _allow_encoding(spark, encoding)
-    reader = spark.read.options(**CSV_OPTIONS, encoding=encoding)
-    # Of a folder, the first file by name that is not empty holds the header.
-    row = next((found for file in sorted(reader.csv(path).inputFiles()) if (found := reader.csv(file).limit(1).collect())), None)
-    if not row:
+# Python's names of the encodings.
+_CODECS = {"UTF-8": "utf-8-sig", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be", "EUC-KR": "euc_kr"}
+
+
+@dataclass(frozen=True)
+class FileFacts:
+    """What a reader must know of one file: its encoding and the cells of its first line that is not blank."""
+
+    path: str
+    encoding: str
+    cells: tuple[str, ...]
+
+
+def file_facts(spark: SparkSession, path: str, encoding: str | None = None) -> list[FileFacts]:
+    """The facts of every file under ``path`` that has a line, by name.
+
+    All lines are looked at where they lie: a file is UTF-16 by its byte order mark, UTF-8 if all of its lines
+    are, else EUC-KR. One row for each file reaches the driver, which holds the list of files anyway.
+    """
+    value = F.col("value")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), value.cast("binary").alias("line"), F.is_valid_utf8(value).alias("valid"),
+        # Lines in their order within a file.
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("place"),
+        (F.btrim(value, F.lit(" \t\r\x0b\x0c\x00\ufeff")) == "").alias("blank"),
+    )
+    facts = lines.groupBy("file").agg(
+        F.min_by(F.substring("line", 1, 2), "place").alias("head"), F.bool_and("valid").alias("valid"),
+        F.min_by("line", F.when(~F.col("blank"), F.col("place"))).alias("first"),
+    )
+    found = []
+    for row in facts.filter("first IS NOT NULL").orderBy("file").collect():
+        head = bytes(row["head"] or b"")
+        marked = {b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}.get(head)
+        name = encoding or marked or ("UTF-8" if row["valid"] else "EUC-KR")
+        text = bytes(row["first"])
+        text = text[: len(text) // 2 * 2] if name.startswith("UTF-16") else text
+        text = text.decode(_CODECS.get(name, name), "replace").lstrip("\ufeff")
+        cells = next(csv.reader([text], skipinitialspace=True), [])
+        found.append(FileFacts(unquote(row["file"]), name, tuple(c.strip() for c in cells)))
+    if not found:
         raise ScheduleFileError("the file is empty")
-    cells = ["" if c is None else c.strip() for c in row[0]]
-    return [cells[0].lstrip("﻿"), *cells[1:]]
+    return found
+
+
+def header_cells(spark: SparkSession, path: str, encoding: str | None = None) -> list[str]:
+    """Trimmed cells of the header: the first line that is not blank, of a folder that of the first file by name."""
+    return list(file_facts(spark, path, encoding)[0].cells)
 
 
 def table_columns(cells: list[str]) -> list[str]:
@@ -110,32 +154,56 @@ def table_columns(cells: list[str]) -> list[str]:
     return names
 
 
-def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def _read_alike(spark: SparkSession, files: list[str], encoding: str, cells: Sequence[str], has_header: bool) -> DataFrame:
+    """Files of one encoding and order of columns; a header is the first line by its place, whatever later lines say."""
+    _allow_encoding(spark, encoding)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in table_columns(list(cells))])
+    options = {**CSV_OPTIONS, "header": str(has_header).lower(), "enforceSchema": "true", "encoding": encoding}
+    if encoding.startswith("UTF-16"):
+        options["lineSep"] = "\n"  # cut at the two bytes of a line break, not at one
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]
+    return spark.read.schema(schema).options(**options).csv(literal)
+
+
+def _parts(spark: SparkSession, path: str, encoding: str | None, own_headers: bool, is_header) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """(header, rows) for every group of files that are alike, the first file's group ahead."""
+    facts = file_facts(spark, path, encoding)
+    first = facts[0].cells
+    groups: dict[tuple, list[str]] = {}
+    for f in facts:
+        headed = own_headers or f.cells == first or sorted(f.cells) == sorted(first) or is_header(f.cells)
+        groups.setdefault((f.encoding, f.cells if headed else first, headed), []).append(f.path)
+    return [(cells, _read_alike(spark, files, name, cells, headed)) for (name, cells, headed), files in groups.items()]
+
+
+def read_table(spark: SparkSession, path: str, encoding: str | None = None, own_headers: bool = False) -> DataFrame:
     """Any CSV as text columns. Short rows are padded with NULL, long rows are cut.
 
-    Lines equal to the header are header lines, wherever they stand, so a folder may repeat the
-    header in every part file, or hold it in one of them.
+    Every file of a folder is judged by itself: its encoding, unless one is given, and the order of its columns.
+    A file whose first line holds the first file's header cells, in any order, has a header; any other file
+    goes on with the columns of the first. With ``own_headers`` the first line of every file is its header, and
+    the files are put together by column name. Lines that look like the header further down are rows.
     """
-    cells = header_cells(spark, path, encoding)
-    names = table_columns(cells)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {**CSV_OPTIONS, "header": "false", "enforceSchema": "true", "encoding": encoding}
-    rows = spark.read.schema(schema).options(**options).csv(path)
-    is_header = F.lit(True)
-    for name, cell in zip(names, cells):
-        value = F.trim(F.ltrim(F.coalesce(F.col(f"`{name}`"), F.lit("")), F.lit("\ufeff")))
-        is_header = is_header & (value == F.lit(cell))
-    return rows.filter(~is_header)
-
-
-def read_schedule(spark: SparkSession, path: str, encoding: str = "UTF-8", strict_aliases: bool = False) -> DataFrame:
+    parts = _parts(spark, path, encoding, own_headers, lambda cells: False)
+    out = parts[0][1]
+    for _, rows in parts[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def read_schedule(spark: SparkSession, path: str, encoding: str | None = None, strict_aliases: bool = False) -> DataFrame:
     """Schedule CSV with aliased headers; rows with a blank sync id are dropped.
 
-    Cells of unknown headers go to the map ``custom`` when they are not empty.
+    Cells of unknown headers go to the map ``custom`` when they are not empty. The files of a folder may differ in
+    encoding, order and spelling of their headers; a first line that names the sync id is a header.
     """
-    cells = header_cells(spark, path, encoding)
-    raw = read_table(spark, path, encoding)
-    return shape_schedule(raw, cells, strict_aliases)
+    aliases = alias_table(strict_aliases)
+    names_id = lambda cells: any(aliases.get(c.lower()) == "sync_id" for c in cells)
+    parts = [shape_schedule(rows, list(cells), strict_aliases) for cells, rows in _parts(spark, path, encoding, False, names_id)]
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 def shape_schedule(raw: DataFrame, headers: list[str] | None = None, strict_aliases: bool = False) -> DataFrame:
