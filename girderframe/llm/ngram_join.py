@@ -46,8 +46,17 @@ def _document_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int,
         yield first, end, r, h
 
 
+def _filled(sizes: dict[int, int], above: int, room: int) -> tuple[int, int]:
+    """Going down from ``above``, the first key whose size is more than the room left, or 0, and that room."""
+    key = above
+    while key > 0 and sizes.get(key, 0) <= room:
+        room -= sizes.get(key, 0)
+        key -= 1
+    return key, room
+
+
 def frequent(documents: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent n-grams, the least frequent of them first; at most ``ORDERED``."""
+    """Hashes of the most frequent n-grams, the least frequent of them first; about ``ORDERED`` at most."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -69,14 +78,17 @@ def frequent(documents: DataFrame, size: int) -> np.ndarray:
 
     sums = documents.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     sums = stored(sums, "frequent")
-    # The least power of two that at most ORDERED n-grams reach; there are 63 powers.
-    power = F.floor(F.log2("n")).cast("int")
-    sizes = {r["power"]: r["grams"] for r in sums.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("grams")).collect()}
-    least, total = 63, 0
-    while least and total + sizes.get(least - 1, 0) <= ORDERED:
-        least -= 1
-        total += sizes.get(least, 0)
-    top = sums.filter(power >= least).collect()  # at most ORDERED rows
+    # Counts by power of two, then the power in which the list gets full in 1,024 steps, then a part of that step by
+    # hash: about ORDERED rows reach the driver, and none is sorted.
+    count_of, power = F.count(F.lit(1)).alias("grams"), F.floor(F.log2("n")).cast("int")
+    powers = {r["k"]: r["grams"] for r in sums.groupBy(power.alias("k")).agg(count_of).collect()}
+    full, room = _filled(powers, 63, ORDERED)
+    low, step = 1 << full, max(1, (1 << full) // 1024)
+    at = F.floor((F.col("n") - low) / step)
+    steps = {r["k"]: r["grams"] for r in sums.filter(power == full).groupBy(at.alias("k")).agg(count_of).collect()}
+    last, room = _filled(steps, low // step, room)
+    part = F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * room / max(steps.get(last, 0), room, 1))
+    top = sums.filter((F.col("n") >= low + (last + 1) * step) | ((power == full) & (at == last) & part)).collect()
     return np.array([r["h"] for r in sorted(top, key=lambda r: (r["n"], r["h"]))], np.int64).view(np.uint64)
 
 
