@@ -121,19 +121,23 @@ def telling_pairs(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, siz
 
     All pairs are counted by products of the incidence matrix with itself, block by block.
     """
-    incidence = np.zeros((len(labels), size), np.float32)
-    incidence[rows, columns] = 1
-    positive, positives = incidence[labels > 0], int((labels > 0).sum())
-    alone = _difference(incidence.sum(0), positive.sum(0), len(labels), positives)
+    incidence = np.zeros((len(labels), size), np.uint8)
+    for low in range(0, len(rows), 1 << 20):
+        incidence[rows[low : low + (1 << 20)], columns[low : low + (1 << 20)]] = 1
+    toxic = np.flatnonzero(labels > 0)
+    alone = _difference(incidence.sum(0, dtype=np.int64), incidence[toxic].sum(0, dtype=np.int64), len(labels), len(toxic))
     told = np.zeros(size, bool)
+    # Two blocks of columns are held as numbers at a time.
     for low in range(0, size, 256):
-        part = slice(low, low + 256)
-        n = incidence[:, part].T @ incidence
-        z = _difference(n, positive[:, part].T @ positive, len(labels), positives)
-        best = np.maximum(alone[part, None], alone[None, :])
-        i, j = np.nonzero((n >= LEAST_ROWS) & (z >= PAIR_DIFFERENCE) & (z >= best + PAIR_GAIN))
-        apart = i + low != j
-        told[i[apart] + low] = told[j[apart]] = True
+        a = incidence[:, low : low + 256].astype(np.float32)
+        for other in range(low, size, 256):
+            b = incidence[:, other : other + 256].astype(np.float32)
+            n = a.T @ b
+            z = _difference(n, a[toxic].T @ b[toxic], len(labels), len(toxic))
+            best = np.maximum(alone[low : low + 256, None], alone[None, other : other + 256])
+            i, j = np.nonzero((n >= LEAST_ROWS) & (z >= PAIR_DIFFERENCE) & (z >= best + PAIR_GAIN))
+            apart = i + low != j + other
+            told[i[apart] + low] = told[j[apart] + other] = True
     return np.flatnonzero(told)
 
 
@@ -173,21 +177,24 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for batch in parts:
             for first, end, r, t in _terms(batch):
                 r, c = _found(terms, r, t)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first), lists(c, np.bincount(r, minlength=end - first), pa.int64())], names=["y", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first), lists(c.astype(np.int32), np.bincount(r, minlength=end - first), pa.int32())], names=["y", "terms"])
 
-    found = rows.mapInArrow(seen, "y int, terms array<long>").toArrow().combine_chunks()  # at most FIT_ROWS rows
-    offsets, column = [0], []
+    found = rows.mapInArrow(seen, "y int, terms array<int>").toArrow()  # at most FIT_ROWS rows of len(terms) numbers
     labels_of = found.column("y").to_numpy().astype(float)
-    for chunk in found.column("terms").chunks:
-        column.append(chunk.flatten().to_numpy())
-        offsets += (np.diff(chunk.offsets.to_numpy())).tolist()
-    columns = np.concatenate(column) if column else np.zeros(0, np.int64)
-    of_row = np.repeat(np.arange(len(labels_of)), offsets[1:])
-    r, c = _found(paired, of_row, terms[columns])
-    kept = np.unique(np.concatenate([np.array(alone, np.int64), paired[telling_pairs(r, c, labels_of, len(paired))]]))
-    r, c = _found(kept, of_row, terms[columns])
-    w0, w, v = fit_machine(r, c, labels_of, len(kept))
-    return Model(kept, w0, w, v)
+    chunks = found.column("terms").chunks
+    columns = np.concatenate([c.flatten().to_numpy() for c in chunks])
+    of_row = np.repeat(np.arange(len(labels_of), dtype=np.int32), np.concatenate([np.diff(c.offsets.to_numpy()) for c in chunks]))
+    del found, chunks
+
+    def only(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of the terms in ``some``."""
+        number = np.full(len(terms), -1, np.int32)
+        number[np.searchsorted(terms, some)] = np.arange(len(some))
+        at = number[columns]
+        return of_row[at >= 0], at[at >= 0]
+
+    kept = np.unique(np.concatenate([np.array(alone, np.int64), paired[telling_pairs(*only(paired), labels_of, len(paired))]]))
+    return Model(kept, *fit_machine(*only(kept), labels_of, len(kept)))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
