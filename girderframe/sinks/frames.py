@@ -9,6 +9,7 @@ from girderframe.functions import rdf
 from girderframe.functions.boxes import Box
 from girderframe.functions.display import with_parsed
 from girderframe.functions.formats import group_code
+from girderframe.functions.scheduling import iso_date
 from girderframe.functions.text import fixed
 from girderframe.schema import BOX_COLUMNS
 
@@ -213,7 +214,7 @@ def schedule(df: DataFrame, date_mode: str) -> DataFrame:
     """Generated tasks in 7 columns, or 9 with actual dates."""
 
     def day(name: str) -> Column:
-        return F.coalesce(F.date_format(name, "yyyy-MM-dd"), F.lit(""))
+        return F.coalesce(iso_date(name), F.lit(""))
 
     actual = [] if date_mode == "planned_only" else [day("actual_start").alias("ActualStart"), day("actual_end").alias("ActualEnd")]
     return df.select(

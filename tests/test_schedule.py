@@ -212,6 +212,14 @@ def test_generated_file_reads_back(spark, tmp_path):
     assert sorted(back.select("sync_id", *key).collect()) == sorted(made.select("sync_id", *key).collect())
 
 
+def test_generated_dates_beyond_year_9999_have_no_sign(spark):
+    rows = property_frame(spark, [("o1", "Item", "Type", "Beam"), ("o2", "Item", "Type", "Beam")])
+    made = sched.generate(rows, start="2026-02-01", days=17_999_998, prefix="p", date_mode="actual_from_planned")
+    got = [tuple(r) for r in frames.schedule(made, "actual_from_planned").orderBy("TaskName").select("PlannedStart", "PlannedEnd", "ActualEnd").collect()]
+    assert got[0] == ("2026-02-01", "51308-05-29", "51308-05-29")
+    assert got[1][0] == "51308-05-29"
+
+
 def test_linked_objects_of_a_task(spark, small):
     plan, rows = small
     run = jobs.schedule_job(plan, rows)
