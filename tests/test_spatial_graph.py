@@ -61,6 +61,14 @@ def test_split_cells_give_the_same_pairs(spark):
     assert pairs(spatial.adjacency(frame(spark, boxes), 0.15, options)) == brute(boxes, 0.15)
 
 
+def test_evenly_full_cells_are_not_copied_into_many_blocks(spark):
+    boxes = [(k % 40 * 10.1, 0.1, 0.1, k % 40 * 10.1 + 0.1, 0.2, 0.2) for k in range(40 * 60)]
+    placed = frame(spark, boxes).withColumns({"reach": F.lit(0.0), "own_grid": F.lit(0)})
+    rows = spatial._register(placed, 0.5, [0])
+    own, everything = spatial._split_hot_cells(rows, rows.filter("own"), spatial.GridOptions(hot_pairs=20, block=3))
+    assert own.count() <= 4 * rows.count() and everything.count() <= 4 * rows.count()
+
+
 def test_pair_across_a_cell_border(spark):
     boxes = [(0.1, 0, 0, 0.4375, 0.1, 0.1), (0.5625, 0, 0, 0.9, 0.1, 0.1), (1.04, 0, 0, 1.2, 0.1, 0.1)]
     assert pairs(spatial.adjacency(frame(spark, boxes), 0.125)) == {("b00000", "b00001")}
