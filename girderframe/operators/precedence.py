@@ -108,9 +108,10 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda t: t != ""))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two token arrays; values under the cut-off count as 0."""
-    ratio = F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
+def name_similarity(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """Jaccard similarity of two names with ``na`` and ``nb`` tokens, by the arrays that hold what they share; values under the cut-off count as 0."""
+    both = F.size(F.array_intersect(a, b))
+    ratio = F.try_divide(both.cast("double"), na + nb - both)
     return F.when(ratio >= NAME_CUTOFF, ratio).otherwise(F.lit(0.0))
 
 
@@ -141,23 +142,33 @@ def rarest_first(name: Column, common: dict[str, int]) -> Column:
 def _described(df: DataFrame, key: str, common: dict[str, int]) -> DataFrame:
     """Distinct descriptions by attributes and tokens with their smallest key: equal ones are compared once."""
     filled = [F.coalesce(c, F.lit("")).alias(c) for c in _ATTRIBUTES]
-    return df.select(key, *filled, rarest_first(F.col("name"), common).alias("tokens")).groupBy(*_ATTRIBUTES, "tokens").agg(F.min(key).alias(key))
+    rows = df.select(key, *filled, rarest_first(F.col("name"), common).alias("tokens")).groupBy(*_ATTRIBUTES, "tokens").agg(F.min(key).alias(key))
+    known = F.array(*map(F.lit, common)).cast("array<string>")
+    rare = F.size(F.array_except("tokens", known))
+    return rows.withColumns({"n": F.size("tokens"), "rare": F.slice("tokens", F.lit(1), rare), "often": F.slice("tokens", rare + 1, F.size("tokens"))})
 
 
-def _in_blocks(described: DataFrame, key: str, side: str, sets: list[tuple[list[str], float]]) -> DataFrame:
-    """(block, least, at, key, tokens, attributes) for every attribute set and token of the prefix for its similarity.
+#: What a name that shares no rare token is compared by.
+_OUTLINE = [*_ATTRIBUTES, "often", "n"]
+
+
+def _in_blocks(described: DataFrame, key: str, side: str, sets: list[tuple[list[str], float]], tokens: str) -> DataFrame:
+    """(block, least, at, key, tokens, n, attributes) for every attribute set and token of the prefix for its similarity.
 
     Names with a Jaccard similarity of ``least`` or more share one of the first n - ceil(least n) + 1 of their n
     tokens. A block is the hash of the set's attributes and the token; equal hashes of different blocks only give
-    more candidates.
+    more candidates. ``tokens`` names the part of the tokens that makes blocks: ``rare`` ones, which come first, or
+    those that occur ``often``.
     """
-    n = F.size("tokens")
+    n = F.col("n")
+    before = F.lit(0) if tokens == "rare" else n - F.size(tokens)
     entries = []
     for shared, least in sets:
         keep = F.when(n > 0, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1).otherwise(0)
+        keep = F.greatest(keep - before, F.lit(0))
         same = [F.lit(",".join(shared)), *[F.col(c) for c in shared]]
-        entries.append(F.transform(F.slice("tokens", 1, keep), lambda t, i: F.struct(F.xxhash64(*same, t).alias("block"), F.lit(least).alias("least"), i.alias("at"))))
-    columns = [F.col("e.block").alias("block"), F.col("e.least").alias("least"), F.col("e.at").alias(f"at_{side}"), F.col(key), F.col("tokens").alias(f"t{side}"), *[F.col(c).alias(f"{side}_{c}") for c in _ATTRIBUTES]]
+        entries.append(F.transform(F.slice(tokens, F.lit(1), keep), lambda t, i: F.struct(F.xxhash64(*same, t).alias("block"), F.lit(least).alias("least"), (i + before).alias("at"))))
+    columns = [F.col("e.block").alias("block"), F.col("e.least").alias("least"), F.col("e.at").alias(f"at_{side}"), F.col(key), F.col(tokens if tokens == "often" else "tokens").alias(f"t{side}"), n.alias(f"n{side}"), *[F.col(c).alias(f"{side}_{c}") for c in _ATTRIBUTES]]
     return described.select("*", F.explode(F.concat(*entries)).alias("e")).select(*columns)
 
 
@@ -183,6 +194,11 @@ def _split_blocks(probe: DataFrame, build: DataFrame, block_pairs: int, part_row
     )
 
 
+def _best(scored: DataFrame) -> DataFrame:
+    """The highest score of each row, ties by object id."""
+    return scored.groupBy("row_id").agg(F.min_by(F.struct("object_id", "score"), F.struct(-F.col("score"), F.col("object_id"))).alias("_m")).select("row_id", "_m.*")
+
+
 def scored_matches(
     schedule: DataFrame,
     objects: DataFrame,
@@ -201,8 +217,10 @@ def scored_matches(
     attributes, and that set fixes how similar the names must be. Rows of all sets meet in one
     join on the block of attributes and rare name tokens (prefix filtering); the lengths of the
     names and the position of the token rule out pairs before they are formed, and blocks with
-    very many pairs are split on both sides. Where the attributes suffice, one object stands for
-    all whose names are not similar.
+    very many pairs are split on both sides. Names that share no rare token are as similar as their
+    common tokens and lengths say, so they are compared by these alone, once for all names with the
+    same outline, and the smallest object stands for its outline. Where the attributes suffice, one
+    object stands for all whose names are not similar.
     """
     weight = {"level_name": weights["level"], "category": weights["category"], "path": weights["path"]}
     common = common_tokens(schedule.select("name").unionByName(objects.select("name")))
@@ -210,6 +228,10 @@ def scored_matches(
     b = stored(_described(objects, "object_id", common), "object_names")
     candidates: list[DataFrame] = []
     sets: list[tuple[list[str], float]] = []
+
+    def named(df: DataFrame, side: str, key: str, tokens: str) -> DataFrame:
+        return df.select(key, F.col(tokens).alias(f"t{side}"), F.col("n").alias(f"n{side}"), *[F.col(c).alias(f"{side}_{c}") for c in _ATTRIBUTES])
+
     for bits in range(1, 8):
         shared = [c for i, c in enumerate(_ATTRIBUTES) if bits >> i & 1]
         needed = (least - sum(weight[c] for c in shared)) / weights["name"]
@@ -217,34 +239,41 @@ def scored_matches(
             continue
         if needed <= 1e-9:
             first = b.groupBy(*shared).agg(F.min_by(F.struct(*b.columns), "object_id").alias("_o")).select("_o.*")
-            renamed = first.select("object_id", F.col("tokens").alias("tb"), *[F.col(c).alias(f"b_{c}") for c in _ATTRIBUTES])
-            probe = a.select("row_id", F.col("tokens").alias("ta"), *[F.col(c).alias(f"a_{c}") for c in _ATTRIBUTES])
-            candidates.append(probe.join(renamed, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in shared]))
+            candidates.append(named(a, "a", "row_id", "tokens").join(named(first, "b", "object_id", "tokens"), [F.col(f"a_{c}") == F.col(f"b_{c}") for c in shared]))
         sets.append((shared, min(1.0, max(needed, NAME_CUTOFF))))
-    if sets:
-        probe, build = _split_blocks(_in_blocks(a, "row_id", "a", sets), _in_blocks(b, "object_id", "b", sets), block_pairs, part_rows)
-        na, nb, limit = F.size("ta"), F.size("tb"), F.col("least")
+
+    def met(x: DataFrame, y: DataFrame, tokens: str) -> DataFrame:
+        probe, build = _split_blocks(_in_blocks(x, "row_id", "a", sets, tokens), _in_blocks(y, "object_id", "b", sets, tokens), block_pairs, part_rows)
+        na, nb, limit = F.col("na"), F.col("nb"), F.col("least")
         # From the first shared token on, no more than the shorter rest can be shared.
         reach = F.least(na - F.col("at_a"), nb - F.col("at_b"))
         possible = (na >= limit * nb - 1e-9) & (nb >= limit * na - 1e-9) & (reach >= limit / (1 + limit) * (na + nb) - 1e-9)
-        met = probe.join(build.drop("least"), ["block", "part"]).filter(possible)
-        candidates.append(met.drop("block", "part", "least", "at_a", "at_b"))
+        # The rows of all blocks are far larger than the stored names, whose size must not lead to a broadcast.
+        found = probe.join(build.drop("least").hint("merge"), ["block", "part"]).filter(possible)
+        return found.drop("block", "part", "least", "at_a", "at_b")
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        score = F.lit(0.0)
+        for c in _ATTRIBUTES:
+            score = score + F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), weight[c]).otherwise(0.0)
+        score = F.round(score + name_similarity(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb")) * weights["name"], 6)
+        return _best(pairs.select("row_id", "object_id", score.alias("score")).filter(F.col("score") >= least))
+
+    if sets:
+        candidates.append(met(a, b, "rare"))
     if not candidates:
         return schedule.select("row_id", F.lit(None).cast(objects.schema["object_id"].dataType).alias("object_id"), F.lit(0.0).alias("score")).limit(0)
     pairs = candidates[0]
     for frame in candidates[1:]:
         pairs = pairs.unionByName(frame)
-    score = F.lit(0.0)
-    for c in _ATTRIBUTES:
-        score = score + F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), weight[c]).otherwise(0.0)
-    score = F.round(score + name_similarity(F.col("ta"), F.col("tb")) * weights["name"], 6)
-    best = (
-        pairs.select("row_id", "object_id", score.alias("score"))
-        .filter(F.col("score") >= least)
-        .groupBy("row_id")
-        .agg(F.min_by(F.struct("object_id", "score"), F.struct(-F.col("score"), F.col("object_id"))).alias("_m"))
-    )
+    best = best_of(pairs)
+    if common:
+        outlines = a.groupBy(*_OUTLINE).agg(F.min("row_id").alias("row_id"))
+        places = b.groupBy(*_OUTLINE).agg(F.min("object_id").alias("object_id"))
+        by_outline = best_of(met(stored(outlines, "plan_outlines"), stored(places, "object_outlines"), "often"))
+        by_outline = outlines.join(by_outline, "row_id").drop("row_id")
+        best = _best(best.unionByName(a.hint("merge").join(by_outline, _OUTLINE).select("row_id", "object_id", "score")))
     described = [*_ATTRIBUTES, "tokens"]
-    per_description = a.join(best, "row_id").select(*described, "_m.object_id", "_m.score")
+    per_description = a.hint("merge").join(best, "row_id").select(*described, "object_id", "score")
     rows = schedule.select("row_id", *[F.coalesce(c, F.lit("")).alias(c) for c in _ATTRIBUTES], rarest_first(F.col("name"), common).alias("tokens"))
-    return rows.join(per_description, described).select("row_id", "object_id", "score")
+    return rows.hint("merge").join(per_description, described).select("row_id", "object_id", "score")

@@ -104,6 +104,19 @@ def test_hot_blocks_are_split_without_loss(spark, fx):
     assert whole == split and whole
 
 
+def test_common_tokens_form_no_pairs_of_single_rows(spark):
+    """Names that share common words alone meet by outline: far fewer candidates than rows squared, and the same matches as brute force."""
+    plan = spark.range(600).select(F.col("id").alias("row_id"), F.lit("L").alias("level_name"), F.lit("C").alias("category"), F.lit("P").alias("path"), F.concat(F.lit("Pump Hall Unit "), (F.col("id") * 7).cast("string")).alias("name"))
+    objects = plan.select(F.format_string("o%04d", "row_id").alias("object_id"), "level_name", "category", F.lit("Q").alias("path"), F.concat(F.lit("Pump Hall Unit "), F.col("row_id").cast("string")).alias("name"))
+    found = {r["row_id"]: (r["object_id"], r["score"]) for r in precedence.scored_matches(plan, objects).collect()}
+    # Three shared words of five are 0.6, just enough; an equal number is better.
+    assert found == {k: (f"o{7 * k:04d}", 0.8) if 7 * k < 600 else ("o0000", 0.7) for k in range(600)}
+    names = precedence._described(plan, "row_id", {"pump": 1200, "hall": 1200, "unit": 1200})
+    rare = precedence._in_blocks(names, "row_id", "a", [(["level_name", "category"], 0.6)], "rare")
+    assert rare.groupBy("block").count().agg(F.max("count")).first()[0] == 1
+    assert names.select(*precedence._OUTLINE).distinct().count() == 1
+
+
 def test_common_tokens_come_last(spark):
     names = spark.createDataFrame([(f"Pump north {k}",) for k in range(300)] + [("Pump",)] * 30, "name string")
     common = precedence.common_tokens(names)
