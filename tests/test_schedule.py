@@ -227,3 +227,16 @@ def test_linked_objects_of_a_task(spark, small):
     wanted = spark.createDataFrame([("S0",)], "sync_id string")
     found = sched.linked_objects(run.frames["tasks"], run.frames["set_members"], links, wanted).collect()
     assert sorted((r["task_sync_id"], r["matched_object_id"]) for r in found) == [("s0", "o0"), ("s0", "o3")]
+
+
+def test_linked_objects_are_counted_before_they_meet_tasks(spark):
+    tasks = spark.createDataFrame([("t1", 1, True), ("t2", 2, True), ("t3", 3, True)], "sync_id string, seq long, linked boolean")
+    # t2 has two sets, which share an object.
+    links = spark.createDataFrame([(1, "A"), (2, "A"), (2, "B"), (3, "C")], "seq long, set_key string")
+    members = spark.createDataFrame([("A", "x"), ("A", "x"), ("A", "y"), ("B", "y")], "set_key string, matched_object_id string")
+    wanted = spark.createDataFrame([("T1",), ("t2",), ("t3",)], "sync_id string")
+    got = sched.linked_object_counts(tasks, members, links, wanted)
+    assert sorted(map(tuple, got.collect())) == [("t1", "x", 2), ("t1", "y", 1), ("t2", "x", 2), ("t2", "y", 2)]
+    # One set for each task: the pairs are the last step, with no grouping behind the join.
+    plain = sched.linked_object_counts(tasks, members, links.filter("seq <> 2"), wanted)
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
