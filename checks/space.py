@@ -64,14 +64,12 @@ members AS (SELECT l.object_id, l.label, s.group_id, s.element_count FROM labels
 
 @query("J01_connected_components", _COMPONENTS + "SELECT object_id, label FROM labels")
 def labels(fx):
-    edges = spatial.adjacency(fx("fx_geometry"), TOLERANCE)
-    return graph.component_labels(edges, fx("fx_geometry"))
+    return spatial.component_labels(fx("fx_geometry"), TOLERANCE)
 
 
 @query("G04_component_numbers", _COMPONENTS + "SELECT object_id, group_id, element_count FROM members")
 def numbered(fx):
-    edges = spatial.adjacency(fx("fx_geometry"), TOLERANCE)
-    return graph.components(edges, fx("fx_geometry"))
+    return graph.number_groups(spatial.component_labels(fx("fx_geometry"), TOLERANCE))
 
 
 _STATS = _COMPONENTS + """, g AS (SELECT m.group_id, m.object_id, x.* EXCLUDE (object_id) FROM members m JOIN {fx_geometry} x ON x.object_id=m.object_id),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from girderframe.operators import graph, spatial
 from girderframe.operators.numbering import global_row_number
+from girderframe.session import stored
 
 SCHEMA = "object_id string, category string, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, seq bigint"
 
@@ -164,3 +165,21 @@ def test_closure_stops_at_the_depth(spark):
     assert {(r["pred_k"], r["succ_k"], r["depth"]) for r in found} == {
         (names[i], names[i + d], d) for i in range(8) for d in range(1, 6) if i + d < 8
     }
+
+
+@pytest.mark.parametrize("tolerance", [0.15, None])
+def test_labels_of_boxes_equal_those_of_all_edges(spark, tolerance):
+    boxes = random_boxes(7) + [(0, 0, 0, 0.1, 0.1, 0.1)] * 60 + [(20 + 0.24 * k, 0, 0, 20.1 + 0.24 * k, 0.1, 0.1) for k in range(60)]
+    geometry = frame(spark, boxes)
+    options = spatial.GridOptions(hot_pairs=50, block=7)
+    whole = graph.component_labels(spatial.adjacency(geometry, tolerance), geometry)
+    got = spatial.component_labels(geometry, tolerance, options=options)
+    assert sorted(map(tuple, got.select("object_id", "label").collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_labels_of_boxes_do_not_make_all_pairs(spark, monkeypatch):
+    """600 boxes at one place have 179,700 pairs; no stored table holds more than a few rows a box."""
+    written = []
+    monkeypatch.setattr(spatial, "stored", lambda df, label: written.append(df.count()) or stored(df, label))
+    labels = spatial.component_labels(frame(spark, [(0, 0, 0, 0.1, 0.1, 0.1)] * 600), 0.15)
+    assert {r["label"] for r in labels.collect()} == {"b00000"} and max(written) <= 8 * 600
