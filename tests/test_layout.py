@@ -117,6 +117,16 @@ def test_common_tokens_form_no_pairs_of_single_rows(spark):
     assert names.select(*precedence._OUTLINE).distinct().count() == 1
 
 
+def test_cells_of_a_wide_export_are_read_in_one_plan(spark, tmp_path):
+    rows = [("a", "", 1, "A,1", "C", f"P{k:02d}", f'v"{k},', k) for k in range(25)] + [("b", "", 1, "B", "C", "P07", "w", 99), ("b", "", 1, "B", "C", "P08", "", 100)]
+    frame = spark.createDataFrame(rows, "object_id string, parent_id string, level int, display_name string, category string, property_name string, property_value string, seq long")
+    path = str(tmp_path / "w")
+    assert writers.write_wide(frame, path, 2) == 13
+    cells = writers.read_wide_cells(spark, path)
+    assert sorted(map(tuple, cells.collect())) == sorted([("a", f"C|P{k:02d}", f'v"{k},') for k in range(25)] + [("b", "C|P07", "w")])
+    assert cells._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
 def test_common_tokens_come_last(spark):
     names = spark.createDataFrame([(f"Pump north {k}",) for k in range(300)] + [("Pump",)] * 30, "name string")
     common = precedence.common_tokens(names)
