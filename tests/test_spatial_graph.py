@@ -183,3 +183,64 @@ def test_labels_of_boxes_do_not_make_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "stored", lambda df, label: written.append(df.count()) or stored(df, label))
     labels = spatial.component_labels(frame(spark, [(0, 0, 0, 0.1, 0.1, 0.1)] * 600), 0.15)
     assert {r["label"] for r in labels.collect()} == {"b00000"} and max(written) <= 8 * 600
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.15])
+def test_edge_counts_equal_the_edges(spark, tolerance):
+    rng = random.Random(3)
+    places = [(x, y, z, x + 1, y + 1, z + 1) for x, y, z in ((rng.randint(0, 6) * 0.55, rng.randint(0, 6) * 0.55, rng.choice([0, 1.1])) for _ in range(60))]
+    # Copies, a large box, touching boxes, and copies with swapped corners that are far from themselves.
+    boxes = frame(spark, [*places, *places[:9], (0, 0, 0, 9, 9, 9), (20, 0, 0, 21, 1, 1), (21, 0, 0, 22, 1, 1), (40, 0, 0, 30, 1, 1), (40, 0, 0, 30, 1, 1)])
+    boxes = boxes.withColumn("category", F.when(F.col("seq") % 2 == 0, "Pipe").otherwise("Structure"))
+    ends = spatial.adjacency(boxes, tolerance).select("relation", F.explode(F.array("source_id", "target_id")).alias("object_id"))
+    want = {r["object_id"]: tuple(r)[1:] for r in ends.groupBy("object_id").agg(F.count(F.lit(1)), *[F.count_if(F.col("relation") == k) for k in spatial.RELATIONS.values()]).collect()}
+    for options in (spatial.GridOptions(), spatial.GridOptions(hot_pairs=20, block=3)):
+        assert {r["object_id"]: tuple(r)[1:] for r in spatial.edge_counts(boxes, tolerance, options).collect()} == want
+
+
+def test_statistics_of_groups_make_no_edges(spark, fx, monkeypatch):
+    from girderframe.plans import jobs
+
+    geometry = fx("fx_geometry")
+    edges = spatial.adjacency(geometry, 2.0)
+    groups = graph.components(edges, geometry)
+    want = [sorted(map(tuple, df.collect())) for df in (groups, graph.group_statistics(groups, geometry, edges), graph.spatial_summary(edges, groups))]
+
+    def refuse(*_args, **_options):
+        raise AssertionError("edges were made")
+
+    monkeypatch.setattr(spatial, "adjacency", refuse)
+    space = jobs.spatial_job(geometry, 2.0)
+    assert [sorted(map(tuple, space[name].collect())) for name in ("groups", "statistics", "summary")] == want
+
+
+def test_copies_of_a_box_cost_no_pairs(spark, fx):
+    """4,000 boxes at one place have 7,998,000 edges; their counts follow from one box."""
+    boxes = spark.range(4_000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("object_id"), F.lit("Pipe").alias("category"), *[F.lit(float(v)).alias(c) for c, v in zip(spatial.BOX_COLUMNS, (0, 0, 0, 1, 1, 1))])
+    assert spatial.edge_counts(boxes, 0.1).agg(F.min("adjacency_count"), F.max("overlaps"), F.sum("touches")).first() == (3_999, 3_999, 0)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_names_of_edges_come_with_the_boxes(spark, fx):
+    geometry = fx("fx_mesh_geometry")
+    named = spatial.named_adjacency(geometry, 0.15)
+    assert exchanges(named) == exchanges(spatial.adjacency(geometry, 0.15))
+    joined = spatial.with_names(spatial.adjacency(geometry, 0.15), geometry)
+    assert sorted(map(str, named.select(*sorted(named.columns)).collect())) == sorted(map(str, joined.select(*sorted(named.columns)).collect()))
+
+
+def test_edge_triples_format_only_what_is_kept(spark):
+    from girderframe.functions import rdf
+    from girderframe.operators import triples
+
+    values = [0.0, 0.0000005, 0.0000015, 0.15, 0.1234565, 1.9999995, 1.9999999, 999999.9999999, 1e6, 1e20, -0.25, 0.1 + 0.2, 2 / 3, float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = rows.select("v", rdf.fixed_text(F.col("v"), 6).alias("a"), F.format_string("%.6f", "v").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    edges = spark.createDataFrame([("a-1", "b", 0.05, 0.0), ("b", "c", 0.0, 0.5)], "source_id string, target_id string, distance double, overlap_volume double")
+    made = triples.edge_triples(edges)
+    assert made.count() == 5 and {r["s"] for r in made.collect()} == {"inst:obj_a_1", "inst:obj_b"}
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
