@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girderframe.session import parts_for
+
 #: Bits of the curve for each axis.
 AXIS_BITS = 20
 
@@ -42,13 +44,15 @@ def write_boxes(geometry: DataFrame, path: str, files: int = 64, rows_per_file:
     ordered.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def save_by_object(properties: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+def save_by_object(properties: DataFrame, name: str, path: str, buckets: int = 64, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Property rows as an external table bucketed by object and sorted by object and ``seq``; returns the table.
 
     Work on single objects (grouping, first and last rows, the merge with geometry) then needs no exchange of
-    the property rows. An object with very many rows stays in one bucket.
+    the property rows. There are at least ``buckets``, and more for a large table, since one task sorts, writes and
+    later reads a whole bucket. An object with very many rows stays in one bucket.
     """
     spark: SparkSession = properties.sparkSession
+    buckets = parts_for(properties, rows_per_bucket, buckets)
     writer = properties.repartition(buckets, "object_id").write.mode("overwrite").format("parquet").option("path", path)
     writer.bucketBy(buckets, "object_id").sortBy("object_id", "seq").saveAsTable(name)
     return spark.table(name)

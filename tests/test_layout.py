@@ -346,6 +346,22 @@ def test_bucketed_properties_need_no_exchange(spark, fx, tmp_path):
     spark.sql("DROP TABLE by_object_test")
 
 
+def test_buckets_and_report_tasks_grow_with_the_table(spark, fx, tmp_path):
+    from girderframe.functions.display import with_parsed
+    from girderframe.operators import quality
+
+    rows = with_parsed(fx("fx_records")).localCheckpoint()
+    many = clustered.save_by_object(rows, "by_object_many", str(tmp_path / "b"), 4, rows_per_bucket=500)
+    described = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED by_object_many").collect()}
+    assert int(described["Num Buckets"]) == -(-rows.count() // 500)
+    assert many.count() == rows.count()
+    spark.sql("DROP TABLE by_object_many")
+    report = quality.report(rows, rows_per_task=500)
+    assert "RepartitionByExpression [object_id" in report._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {-(-rows.count() // 500)}" in report._jdf.queryExecution().optimizedPlan().toString()
+    assert report.collect() == quality.report(rows).collect()
+
+
 # --- debounce as a running query -----------------------------------------------------------
 
 
