@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girderframe.functions.text import is_blank, is_empty
+from girderframe.session import parts_for
 
 # Unit patterns by kind, in the order they are listed.
 UNIT_PATTERNS = [
@@ -160,9 +161,13 @@ def all_issues(df: DataFrame, required: dict[str, list[str]] = REQUIRED_PROPERTI
     return unit_issues(df).unionByName(missing_issues(df, required)).unionByName(type_issues(df))
 
 
-def report(df: DataFrame, required: dict[str, list[str]] = REQUIRED_PROPERTIES) -> DataFrame:
-    """One row of totals, from a single pass: rows → (object, category) → object → totals."""
-    per_category = df.groupBy("object_id", "category").agg(
+def report(df: DataFrame, required: dict[str, list[str]] = REQUIRED_PROPERTIES, rows_per_task: int = 1_000_000) -> DataFrame:
+    """One row of totals: rows → (object, category) → object → totals.
+
+    The rows are counted first and dealt out by object, so that a task groups about ``rows_per_task`` of them.
+    """
+    dealt = df.repartition(parts_for(df, rows_per_task, df.sparkSession.sparkContext.defaultParallelism), "object_id")
+    per_category = dealt.groupBy("object_id", "category").agg(
         F.count(F.lit(1)).alias("rows"), *_unit_firsts(), *_required_flags(required),
         F.count_if(type_mismatch()).alias("type_warnings"),
     )
