@@ -294,6 +294,30 @@ def test_indexed_search_reads_few_postings(spark, fx, tmp_path):
     assert found.candidates * 50 < texts
 
 
+def test_index_postings_of_blocks_count_their_texts(spark, tmp_path):
+    """Texts that follow each other share their postings; the counts of trigrams are those of the texts."""
+    said = [f"Straße {k} ÄÖ" for k in range(1000)] + ["aaaa", "AAAA", "ab", "", None]
+    rows = spark.createDataFrame(list(enumerate(said)), "seq long, said string")
+    text_index.build(rows, "seq", ["said"], str(tmp_path / "i"))
+    counts = {r["gram"]: r["texts"] for r in spark.read.parquet(str(tmp_path / "i/grams")).collect()}
+    want = Counter(g for text in said if text for g in {text.lower()[k : k + 3] for k in range(len(text) - 2)})
+    assert counts == want
+    assert spark.read.parquet(str(tmp_path / "i/postings")).count() * 3 < sum(counts.values())
+    for asked in ("aaa", "straße 99", "äö", "ab", ""):
+        found = text_index.search(spark, str(tmp_path / "i"), asked)
+        assert sorted(r["key"] for r in found.rows.collect()) == [k for k, text in enumerate(said) if text is not None and asked in text.lower()]
+
+
+def test_index_lookups_agree_however_many_keys(spark, fx, tmp_path, monkeypatch):
+    rows = fx("fx_records").limit(3000)
+    text_index.build(rows, "seq", ["display_name", "property_value"], str(tmp_path / "i"))
+    want = sorted(r["seq"] for r in rows.filter("contains(lower(display_name), 'ment 1') OR contains(lower(property_value), 'ment 1')").collect())
+    for few, many in ((10**6, 10**6), (0, 10**6), (0, 0)):
+        monkeypatch.setattr(text_index, "FEW", few)
+        monkeypatch.setattr(text_index, "MANY", many)
+        assert sorted(r["key"] for r in text_index.search(spark, str(tmp_path / "i"), "Ment 1").rows.collect()) == want
+
+
 # --- layouts -------------------------------------------------------------------------------
 
 
