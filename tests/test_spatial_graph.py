@@ -70,6 +70,17 @@ def test_evenly_full_cells_are_not_copied_into_many_blocks(spark):
     assert own.count() <= 4 * rows.count() and everything.count() <= 4 * rows.count()
 
 
+
+def test_boxes_of_one_shape_meet_others_as_one(spark, monkeypatch):
+    """All pairs of copies come out, each once; the join sees packs, not boxes."""
+    monkeypatch.setattr(spatial, "PACK", 7)
+    boxes = [(0, 0, 0, 1, 1, 1)] * 40 + [(1.1, 0, 0, 2, 1, 1)] * 30 + [(9, 9, 9, 9.5, 9.5, 9.5), (2.05, 0, 0, 3, 1, 1)]
+    for options in (spatial.GridOptions(), spatial.GridOptions(hot_pairs=10, block=3, shares=8)):
+        assert pairs(spatial.adjacency(frame(spark, boxes), 0.15, options)) == brute(boxes, 0.15)
+    measured, _ = spatial._measured(frame(spark, boxes), 0.15, spatial.GridOptions())
+    assert spatial._packs(measured, ()).count() < 30
+
+
 def test_pair_across_a_cell_border(spark):
     boxes = [(0.1, 0, 0, 0.4375, 0.1, 0.1), (0.5625, 0, 0, 0.9, 0.1, 0.1), (1.04, 0, 0, 1.2, 0.1, 0.1)]
     assert pairs(spatial.adjacency(frame(spark, boxes), 0.125)) == {("b00000", "b00001")}
