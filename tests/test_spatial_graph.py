@@ -255,3 +255,39 @@ def test_edge_triples_format_only_what_is_kept(spark):
     made = triples.edge_triples(edges)
     assert made.count() == 5 and {r["s"] for r in made.collect()} == {"inst:obj_a_1", "inst:obj_b"}
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_are_not_shuffled(spark, fx, monkeypatch):
+    """Boxes are shuffled by tile; their rows in cells, some for each box, stay in the task, and Java compiles what makes them."""
+    import re
+
+    plans = {}
+
+    def plan_of(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, label):
+        plans[label] = plan_of(df)
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen"))
+        assert label != "boxes" or all(int(n) < 8_000 for n in sizes)
+        return stored(df, label)
+
+    monkeypatch.setattr(spatial, "stored", noted)
+    geometry = fx("fx_geometry")
+    for name, df in (("edges", spatial.adjacency(geometry, 0.15)), ("counts", spatial.edge_counts(geometry, 0.15))):
+        plans[name] = plan_of(df)
+    spatial.component_labels(geometry, 0.15)
+    for name in ("edges", "counts", "near", "mixed"):
+        assert not re.search(r"Exchange hashpartitioning\([^)]*cx#", plans[name]) and "hashpartitioning(grid#" in plans[name].replace("own_grid#", "grid#"), name
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.15])
+def test_labels_of_repeated_and_missing_ids(spark, tolerance):
+    """Boxes of one id are one node wherever they lie; nodes without a box keep their own label."""
+    rng = random.Random(5)
+    places = [tuple(rng.randint(0, 9) * 0.6 for _ in range(3)) for _ in range(80)]
+    boxes = frame(spark, [(x, y, z, x + 0.5, y + 0.5, z + 0.5) for x, y, z in places] + [(90, 0, 0, 80, 1, 1), (85, 0, 0, 86, 1, 1)])
+    odd = boxes.withColumn("object_id", F.when(F.col("seq") % 9 == 4, F.lit(None)).when(F.col("seq") % 7 == 3, F.lit("twice")).otherwise(F.col("object_id")))
+    nodes = odd.select("object_id").unionByName(spark.createDataFrame([("alone",)], "object_id string"))
+    whole = graph.component_labels(spatial.adjacency(odd, tolerance), nodes)
+    assert sorted(map(str, spatial.component_labels(odd, tolerance, nodes).select("object_id", "label").collect())) == sorted(map(str, whole.select("object_id", "label").collect()))
